@@ -1,0 +1,102 @@
+"""Exact positions in a distributed sort: the part that percentiles and packing share."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named by the cluster; set here only where it is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not folder:
+        folder = context._jsc.sc().getCheckpointDir()
+        folder = folder.get() if folder.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), "phonolake-checkpoints")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: a lost executor costs nothing, lineage is cut."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/phonolake/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sorted_parts(df: DataFrame, keys: list[str], order: list[str], weight: str | None = None) -> DataFrame:
+    """``df`` sorted over all partitions by ``keys`` and ``order``, with ``part`` and ``before``.
+
+    ``before`` counts, within the partition, the rows (or their ``weight``) of the same keys
+    that come earlier. Range partitioning samples the rows, so a hot key spreads over many
+    partitions as long as ``order`` tells its rows apart. The result is stored, so that the
+    two readings that follow see the same partitions.
+    """
+    names = [*keys, *order]
+    ranged = df.repartitionByRange(*[F.col(f"`{c}`").asc_nulls_first() for c in names]).sortWithinPartitions(*[F.col(f"`{c}`").asc_nulls_first() for c in names])
+    ranged = ranged.withColumn("part", F.spark_partition_id())
+    columns = ranged.columns
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pandas as pd
+
+        last, carried = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            group = table.select(keys).to_pandas()
+            own = np.ones(len(group), np.int64) if weight is None else table.column(weight).to_numpy().astype(np.int64)
+            new = np.zeros(len(group), bool)
+            for c in keys:
+                x = group[c]
+                new[1:] |= ~((x.values[1:] == x.values[:-1]) | (pd.isna(x.values[1:]) & pd.isna(x.values[:-1])))
+            key = tuple(None if pd.isna(x) else x for x in group.iloc[0])
+            total = np.cumsum(own) - own
+            starts = np.flatnonzero(new)
+            base = np.zeros(len(group), np.int64)
+            if len(starts):
+                base[starts] = np.diff(total[np.concatenate([[0], starts])])
+                base = np.cumsum(base)
+            before = total - base
+            if key == last:
+                end = starts[0] if len(starts) else len(group)
+                before[:end] += carried
+            last = tuple(None if pd.isna(x) else x for x in group.iloc[-1])
+            carried = int(before[-1] + own[-1])
+            yield from table.append_column("before", pa.array(before, pa.int64())).to_batches()
+
+    schema = ranged.schema.add("before", "bigint")
+    assert columns == ranged.columns
+    return stored(ranged.mapInArrow(count, schema))
+
+
+def with_position(parts: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """Adds ``position`` (rows of the keys before this one, over all partitions) and ``total``.
+
+    The offsets are one row for each partition and key that meets in it: a hot key has a row
+    for each of its partitions, a rare one a row; they are summed in a window over the parts
+    of a key and joined back. No row of the data goes through that window.
+    """
+    size = F.count(F.lit(1)) if weight is None else F.sum(F.col(f"`{weight}`"))
+    counts = parts.groupBy("part", *keys).agg(size.cast("bigint").alias("n"))
+    names = ", ".join(f"`{k}`" for k in keys)
+    counts.createOrReplaceTempView(view := f"counts_{uuid.uuid4().hex}")
+    offsets = parts.sparkSession.sql(
+        f"SELECT part, {names}, coalesce(sum(n) OVER (PARTITION BY {names} ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(n) OVER (PARTITION BY {names}) AS total FROM {view}"
+    )
+    on = None
+    for c in ["part", *keys]:
+        term = parts[c].eqNullSafe(offsets[c])
+        on = term if on is None else on & term
+    kept = [parts[c] for c in parts.columns]
+    return parts.join(offsets, on).select(*kept, (parts["before"] + offsets["start"]).alias("position"), offsets["total"])
