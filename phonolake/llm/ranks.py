@@ -8,8 +8,9 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,7 +44,6 @@ def sorted_parts(df: DataFrame, keys: list[str], order: list[str], weight: str |
     names = [*keys, *order]
     ranged = df.repartitionByRange(*[F.col(f"`{c}`").asc_nulls_first() for c in names]).sortWithinPartitions(*[F.col(f"`{c}`").asc_nulls_first() for c in names])
     ranged = ranged.withColumn("part", F.spark_partition_id())
-    columns = ranged.columns
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -75,8 +75,7 @@ def sorted_parts(df: DataFrame, keys: list[str], order: list[str], weight: str |
             carried = int(before[-1] + own[-1])
             yield from table.append_column("before", pa.array(before, pa.int64())).to_batches()
 
-    schema = ranged.schema.add("before", "bigint")
-    assert columns == ranged.columns
+    schema = T.StructType([*ranged.schema.fields, T.StructField("before", T.LongType())])
     return stored(ranged.mapInArrow(count, schema))
 
 
@@ -89,14 +88,10 @@ def with_position(parts: DataFrame, keys: list[str], weight: str | None = None)
     """
     size = F.count(F.lit(1)) if weight is None else F.sum(F.col(f"`{weight}`"))
     counts = parts.groupBy("part", *keys).agg(size.cast("bigint").alias("n"))
-    names = ", ".join(f"`{k}`" for k in keys)
-    counts.createOrReplaceTempView(view := f"counts_{uuid.uuid4().hex}")
-    offsets = parts.sparkSession.sql(
-        f"SELECT part, {names}, coalesce(sum(n) OVER (PARTITION BY {names} ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(n) OVER (PARTITION BY {names}) AS total FROM {view}"
-    )
-    on = None
-    for c in ["part", *keys]:
-        term = parts[c].eqNullSafe(offsets[c])
-        on = term if on is None else on & term
-    kept = [parts[c] for c in parts.columns]
-    return parts.join(offsets, on).select(*kept, (parts["before"] + offsets["start"]).alias("position"), offsets["total"])
+    own = Window.partitionBy(*keys)
+    earlier = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in ["part", *keys]], F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__start"), F.sum("n").over(own).alias("total"))
+    on = F.col("part") == F.col("__part")
+    for c in keys:
+        on &= F.col(f"`{c}`").eqNullSafe(F.col(f"`__{c}`"))
+    return parts.join(offsets, on).select(*[F.col(f"`{c}`") for c in parts.columns], (F.col("before") + F.col("__start")).alias("position"), "total")
