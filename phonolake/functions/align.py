@@ -8,9 +8,12 @@ is evaluated only for them. Null arrays give null; an empty side gives the size
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phonolake.functions import text as tx
 
@@ -30,14 +33,23 @@ def fold_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(b) == 0, F.size(a)).otherwise(F.element_at(table, -1))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, also where it stands in inner functions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def token_distance(a: Column, b: Column) -> Column:
     """Distance of two token arrays."""
-    known = F.array_distinct(F.concat(a, b))
-    spelt = lambda x: F.array_join(F.transform(x, lambda w: F.chr(F.array_position(known, w))), "")
-    return F.when(F.size(known) <= LETTERS, F.levenshtein(spelt(a), spelt(b))).otherwise(fold_distance(a, b)).cast("int")
+    def body(s: Column) -> Column:
+        x, y, known = s["a"], s["b"], s["known"]
+        spelt = lambda v: F.array_join(F.transform(v, lambda w: F.chr(F.array_position(known, w))), "")
+        return F.when(F.size(known) <= LETTERS, F.levenshtein(spelt(x), spelt(y))).otherwise(fold_distance(x, y)).cast("int")
 
+    both = let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.struct(s["a"], s["b"], F.array_distinct(F.concat(s["a"], s["b"])).alias("known")))
+    return let(both, body)
 
-@F.pandas_udf("int")
+
+@F.pandas_udf(T.IntegerType())
 def token_distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same in Arrow batches, for engines that plan Python anyway."""
     def one(x, y) -> int | None:
@@ -61,12 +73,15 @@ def rate(errors: Column, length: Column) -> Column:
 
 def counts(reference: Column, hypothesis: Column) -> Column:
     """Struct of word and character errors and lengths of a normalized pair; a null hypothesis counts as empty."""
-    ref, hyp = tx.split_words(reference), tx.split_words(F.coalesce(hypothesis, F.lit("")))
-    ref_chars, hyp_chars = tx.squeezed(reference), tx.squeezed(F.coalesce(hypothesis, F.lit("")))
-    return F.struct(
-        token_distance(ref, hyp).alias("word_errors"), F.size(ref).alias("reference_words"),
-        F.levenshtein(ref_chars, hyp_chars).alias("character_errors"), F.length(ref_chars).alias("reference_characters"),
-    )
+    def body(s: Column) -> Column:
+        ref, hyp = tx.split_words(s["r"]), tx.split_words(s["h"])
+        ref_chars, hyp_chars = tx.squeezed(s["r"]), tx.squeezed(s["h"])
+        return F.struct(
+            token_distance(ref, hyp).alias("word_errors"), F.size(ref).alias("reference_words"),
+            F.levenshtein(ref_chars, hyp_chars).alias("character_errors"), F.length(ref_chars).alias("reference_characters"),
+        )
+
+    return let(F.struct(reference.alias("r"), F.coalesce(hypothesis, F.lit("")).alias("h")), body)
 
 
 def metric(c: Column) -> Column:

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Model(Protocol):
@@ -156,7 +157,7 @@ def spoken_to_digits(text: str | None, language: str = "en") -> str | None:
     return " ".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def inverse_normalized(text: pd.Series, language: pd.Series) -> pd.Series:
     """Spoken numbers to digits by language, English rules for other languages, the raw text on any failure."""
     def one(t, lang):

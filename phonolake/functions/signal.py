@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MU = 255.0
 
@@ -74,7 +75,7 @@ def clipped(a: Column, low: float = -1.0, high: float = 1.0) -> Column:
     return F.transform(a, lambda x: F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def noise(n: pd.Series, seed: pd.Series) -> pd.Series:
     """Gaussian noise of deviation 0.008, by the seed of the row."""
     return pd.Series([None if pd.isna(k) or pd.isna(s) else np.random.default_rng(int(s)).normal(0, 0.008, int(k)).astype(np.float32).astype(float) for k, s in zip(n, seed)])
@@ -101,7 +102,7 @@ def speed_factor(key: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in SPEEDS]), (F.pmod(F.xxhash64(key), F.lit(len(SPEEDS))) + 1).cast("int"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def change_speed(a: pd.Series, factor: pd.Series) -> pd.Series:
     def one(x, f):
         if x is None or not len(x):
@@ -126,7 +127,7 @@ def polyphase(rate: int, target: int, taps: int = 10):
     kernel = np.sinc(t / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
     kernel *= up / kernel.sum()
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(a: pd.Series) -> pd.Series:
         def one(x):
             if x is None or not len(x) or up == down:

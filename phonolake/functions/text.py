@@ -136,7 +136,7 @@ def parent(path: Column) -> Column:
 
 def line_id(line: Column) -> Column:
     """First token of a line without the colons at its end."""
-    return F.regexp_replace(F.regexp_extract(F.trim(line), r"(?U)^(\S+)", 1), ":+$", "")
+    return F.regexp_replace(F.regexp_extract(line, r"(?U)^\s*(\S+)", 1), ":+$", "")
 
 
 def line_text(line: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from phonolake.plans import register
+from phonolake.plans import text_queries  # noqa: F401  (registers its queries)
 
 
-def queries() -> dict[str, Callable]:
-    return {}
+def queries() -> dict[str, register.Query]:
+    return dict(register.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(register.SQL)
