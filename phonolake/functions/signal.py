@@ -81,11 +81,11 @@ def noise(n: pd.Series, seed: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(k) or pd.isna(s) else np.random.default_rng(int(s)).normal(0, 0.008, int(k)).astype(np.float32).astype(float) for k, s in zip(n, seed)])
 
 
-def telephony(a: Column, rate: int, seed: Column, narrow: int = 8000) -> Column:
-    """To a narrow rate, mu-law there and back, seeded noise, back to the rate, clipped."""
-    down = companded(resample(a, rate, narrow))
-    noisy = F.zip_with(down, noise(F.size(down), seed), lambda x, e: x + e)
-    return clipped(resample(noisy, narrow, rate))
+def telephony(df: DataFrame, a: str, rate: int, seed: Column, narrow: int = 8000, name: str = "telephony") -> DataFrame:
+    """Adds the signal taken to a narrow rate, mu-law there and back, with seeded noise, back at the rate and clipped."""
+    down = df.withColumn("__down", companded(resample(F.col(a), rate, narrow))).withColumn("__noise", noise(F.size("__down"), seed))
+    noisy = down.withColumn("__noisy", F.zip_with("__down", "__noise", lambda x, e: x + e))
+    return noisy.withColumn(name, clipped(resample(F.col("__noisy"), narrow, rate))).drop("__down", "__noise", "__noisy")
 
 
 def training_telephony(a: Column, rate: int, narrow: int = 8000) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phonolake.functions.align import let
+
 LIMIT = 12
 
 
@@ -30,10 +32,13 @@ def merge_words(a: Column, b: Column, limit: int = LIMIT) -> Column:
 
 def merge(previous: Column, current: Column, limit: int = LIMIT) -> Column:
     """Two texts; an empty or equal one changes nothing; null counts as empty."""
-    p, c = F.trim(F.coalesce(previous, F.lit(""))), F.trim(F.coalesce(current, F.lit("")))
-    a, b = _words(p), _words(c)
-    n = overlap(a, b, limit)
-    return F.when(p == "", c).when((c == "") | (p == c) | (n == F.size(b)), p).otherwise(F.array_join(F.concat(a, F.slice(b, n + 1, F.size(b))), " "))
+    def body(s: Column) -> Column:
+        p, c, a, b = s["p"], s["c"], s["a"], s["b"]
+        join = let(overlap(a, b, limit), lambda n: F.when(n == F.size(b), p).otherwise(F.array_join(F.concat(a, F.slice(b, n + 1, F.size(b))), " ")))
+        return F.when(p == "", c).when((c == "") | (p == c), p).otherwise(join)
+
+    both = F.struct(F.trim(F.coalesce(previous, F.lit(""))).alias("p"), F.trim(F.coalesce(current, F.lit(""))).alias("c"))
+    return let(let(both, lambda s: F.struct(s["p"], s["c"], _words(s["p"]).alias("a"), _words(s["c"]).alias("b"))), body)
 
 
 def fold(chunks: DataFrame, file: str, order: str, text: str, limit: int = LIMIT) -> DataFrame:

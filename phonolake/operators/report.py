@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phonolake.functions import align
+from phonolake.operators.ranks import numbered
 
 
 def scored(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
@@ -47,16 +48,8 @@ def delta(df: DataFrame, key: str, value: str, baseline: str) -> DataFrame:
 
 
 def with_index(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
-    """Row number from 0 over the whole table in an order: positions within range-sorted partitions plus the counts before them.
-
-    The order must tell the rows apart. No single task sees all rows; only one count for each
-    partition is summed up.
-    """
-    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
-    inner = ranged.withColumn("__id", F.monotonically_increasing_id())
-    inner = inner.withColumn("__part", F.shiftright("__id", 33)).withColumn("__pos", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id")
-    before = inner.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return inner.join(F.broadcast(before), "__part").withColumn(name, F.col("__pos") + F.col("__start")).drop("__part", "__pos", "__start")
+    """Row number from 0 over the whole table in an order that tells the rows apart; no task sees all rows."""
+    return numbered(df, [], list(order), name)
 
 
 def batches(df: DataFrame, size: int, *order: str) -> DataFrame:
@@ -70,5 +63,5 @@ def attributed(df: DataFrame, elapsed: str, batch: str = "batch_id") -> DataFram
 
 
 def shown(value: Column, digits: int = 4) -> Column:
-    """A number for the console, N/A for none."""
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit("N/A"))
+    """A number for the console, rounded half up in its decimal form; N/A for none."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", F.round(value, digits))).otherwise("N/A")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phonolake.operators.ranks import runs
+
 # Fixed values of the rules.
 SILENCE, LOW_LOGPROB, HIGH_NO_SPEECH = 0.8, -0.8, 0.6
 NO_LOGPROB, NO_NO_SPEECH = -99.0, 1.0
@@ -32,23 +34,14 @@ def choose_speaker(durations: Column, target: str = "longest") -> Column:
 def islands(events: DataFrame, key: str, start: Column, end: Column, gap: float, least: float = 0.0, pad: float = 0.0) -> DataFrame:
     """Runs of events of a key that no silence longer than ``gap`` parts, of at least ``least``, padded and joined again.
 
-    Gives key, start, end, n. The window is by key; a hot key is one sort of its events, which
-    spills, not a list in memory.
+    Gives key, start, end, n. A key that holds many of the events is spread over partitions.
+    Rows without start or end are left out.
     """
-    own = Window.partitionBy(key).orderBy("__s", "__e")
-    rows = events.select(F.col(key), start.alias("__s"), end.alias("__e")).filter(F.col("__s").isNotNull() & F.col("__e").isNotNull())
-    reach = F.max("__e").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("__new", F.when(reach.isNull() | (F.col("__s") - reach > gap), 1).otherwise(0))
-    rows = rows.withColumn("__run", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy(key, "__run").agg(F.min("__s").alias("start"), F.max("__e").alias("end"), F.count(F.lit(1)).alias("n")).filter(F.col("end") - F.col("start") >= least)
+    rows = events.select(F.col(key), start.alias("s"), end.alias("e"), F.lit(1).cast("bigint").alias("n")).filter(F.col("s").isNotNull() & F.col("e").isNotNull())
+    done = runs(rows, key, gap).filter(F.col("end") - F.col("start") >= least)
     if not pad:
-        return runs.select(key, "start", "end", "n")
-    wide = runs.select(key, (F.col("start") - pad).alias("__s"), (F.col("end") + pad).alias("__e"), "n")
-    own = Window.partitionBy(key).orderBy("__s", "__e")
-    reach = F.max("__e").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    wide = wide.withColumn("__new", F.when(reach.isNull() | (F.col("__s") > reach), 1).otherwise(0))
-    wide = wide.withColumn("__run", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    return wide.groupBy(key, "__run").agg(F.min("__s").alias("start"), F.max("__e").alias("end"), F.sum("n").alias("n")).select(key, "start", "end", "n")
+        return done
+    return runs(done.select(key, (F.col("start") - pad).alias("s"), (F.col("end") + pad).alias("e"), "n"), key, 0.0)
 
 
 def trailing_silence(duration: Column, last_end: Column) -> Column:

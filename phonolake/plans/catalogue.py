@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from phonolake.plans import register
-from phonolake.plans import text_queries  # noqa: F401  (registers its queries)
+from phonolake.plans import report_queries, signal_queries, text_queries  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, register.Query]:
