@@ -116,7 +116,7 @@ def steps() -> list:
             f"WHEN regexp_matches(w, '[A-Za-z\\x{{00C0}}-\\x{{024F}}]') THEN {tr('w', CYRILLIC_LOOKALIKES, CYRILLIC_AS_LATIN)} ELSE w END"
         )
         by_word = f"array_to_string(list_transform(regexp_extract_all({tr(s, ODD_CYRILLIC, ODD_AS_LATIN)}, '[\\pL\\pM]+|[^\\pL\\pM]+'), lambda w: {word}), '')"
-        return f"CASE WHEN NOT regexp_matches({s}, '[{CYRILLIC_LOOKALIKES}]') THEN {s} WHEN NOT regexp_matches({s}, '[{CYRILLIC_ONLY}]') THEN {all_latin} ELSE {by_word} END"
+        return f"CASE WHEN NOT regexp_matches({s}, '[{CYRILLIC_LOOKALIKES}{CYRILLIC_ONLY}]') THEN {s} WHEN NOT regexp_matches({s}, '[{CYRILLIC_ONLY}]') THEN {all_latin} ELSE {by_word} END"
 
     return [
         lambda s: invisible(s).replace("{0}", s),
@@ -156,7 +156,8 @@ def suspect() -> str:
         if b not in one:
             by_first.setdefault(cls(firsts), []).append(b)
     single = f"[{INVISIBLE}{SPACES}{HYPHENS}\\x{{200C}}\\x{{200D}}{cls(one)}]"
-    return "|".join([single, *(f"[{a}][{cls(b)}]" for a, b in by_first.items()), *(a for a, _ in SPLIT_VOWELS)])
+    mixed = [f"[{LATIN_IN_CYRILLIC}][{CYRILLIC_ONLY}]", f"[{CYRILLIC_ONLY}][{LATIN_IN_CYRILLIC}]"]
+    return "|".join([single, *mixed, *(f"[{a}][{cls(b)}]" for a, b in by_first.items()), *(a for a, _ in SPLIT_VOWELS)])
 
 
 @cache

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonolake.llm.ranks import sorted_parts, stored, with_position
+from phonolake.operators.ranks import sorted_parts, stored, with_position
 
 CAPACITY = 2048
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonolake.llm.ranks import sorted_parts, with_position
+from phonolake.operators.ranks import sorted_parts, with_position
 
 POINTS = (0.5, 0.9, 0.95, 0.99)
 
