@@ -126,7 +126,7 @@ def k05(spark, folder):
     return row.select("result_id", F.from_csv("value", F.lit("cell string"), {"escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})["cell"].alias("cell"))
 
 
-@query("k08_console", "SELECT result_id, rpad(coalesce(stage, ''), 35, ' ') || ' ' || lpad(coalesce(printf('%.4f', round(wer, 4)), 'N/A'), 10, ' ') || ' ' || lpad(coalesce(printf('%.4f', round(cer, 4)), 'N/A'), 10, ' ') || ' ' || lpad(coalesce(printf('%.4f', round(rtf_total, 4)), 'N/A'), 10, ' ') AS row FROM experiment_results WHERE stage IS NOT NULL AND NOT coalesce(isnan(wer), false) AND NOT coalesce(isnan(rtf_total), false)")
+@query("k08_console", "SELECT result_id, rpad(coalesce(stage, ''), 35, ' ') || ' ' || lpad(coalesce(printf('%.4f', floor(wer * 10000 + 0.5) / 10000), 'N/A'), 10, ' ') || ' ' || lpad(coalesce(printf('%.4f', floor(cer * 10000 + 0.5) / 10000), 'N/A'), 10, ' ') || ' ' || lpad(coalesce(printf('%.4f', floor(rtf_total * 10000 + 0.5) / 10000), 'N/A'), 10, ' ') AS row FROM experiment_results WHERE stage IS NOT NULL AND NOT coalesce(isnan(wer), false) AND NOT coalesce(isnan(rtf_total), false)")
 def k08(spark, folder):
     df = table(spark, folder, "experiment_results").filter("stage is not null and not coalesce(isnan(wer), false) and not coalesce(isnan(rtf_total), false)")
     cells = [F.rpad("stage", 35, " "), *[F.lpad(report.shown(F.col(c)), 10, " ") for c in ("wer", "cer", "rtf_total")]]
