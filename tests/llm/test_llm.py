@@ -107,9 +107,9 @@ def test_form_is_stable_and_prefilter_whole():
 
     rng = random.Random(3)
     pool = [a for a, _ in FORMS] + PLAIN
-    texts = ["".join(rng.sample("".join(pool), 12)) for _ in range(400)]
+    texts = [" ".join(rng.choices(pool, k=4)) for _ in range(400)] + ["".join(rng.sample("".join(pool), 12)) for _ in range(400)]
     once = p2.canonical_array(pa.array(texts))
-    assert p2.canonical_array(pa.array(once)) == p2.canonical_array(pa.array(p2.canonical_array(pa.array(once))))
+    assert p2.canonical_array(pa.array(once[:400])) == once[:400]
     full = p2.run_sql(p2.canonical_sql("t", "x").replace(f"WHERE regexp_matches(t, '{p2.suspect()}')", ""), pa.table({"t": texts}), "x").column("canon").to_pylist()
     assert once == full
     assert not re.search("[\u200b\u2060\u00ad\ufeff\u00a0\u2007]", "".join(once))
