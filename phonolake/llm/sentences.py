@@ -42,8 +42,8 @@ SHORT = set(
 PLAIN = {c: chr(c - 0xFEE0) for c in range(0xFF10, 0xFF5B) if chr(c).isalnum()} | {c: " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F)}
 #: Shortenings that often end a sentence.
 SHORT_LAST = {"etc", "usw", "p.m", "a.m", "p.m.", "и т.д", "т.д", "т.п", "др", "al", "jr", "sr"}
-#: Cyrillic letters that look like Latin ones, in words that are otherwise Latin.
-LIKE_LATIN = str.maketrans("аеорсухѕіјАВЕЅІЈКМНОРСТУХ", "aeopcyxsijABESIJKMHOPCTYX")
+#: Cyrillic and Greek letters that look like Latin ones, in words that are otherwise Latin.
+LIKE_LATIN = str.maketrans("аеорсухѕіјАВЕЅІЈКМНОРСТУХοΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxsijABESIJKMHOPCTYXoABEZHIKMNOPTYX")
 GHOSTS = "­​‌‍⁠﻿"
 
 GAP = re.compile(rf"[{re.escape(MARKS)}][{re.escape(MARKS + CLOSERS + GHOSTS)}]*|(?<=[{THAI}]) +(?=[{THAI}])|[ \t]*[{BREAKS}]\s*")
@@ -211,6 +211,8 @@ def gaps(text: str) -> list[Gap]:
                 context = "q?"  # the sentence may begin with the quotation
             else:
                 context = "qw"
+            if any(c in MARKS for c in marks[closed[1] - a + 1 :]):
+                context = "qm"  # a mark of the sentence's own follows the quotation
             tail = stripped.rstrip(":：,，、،")
             intro = (BEFORE.search(tail).group() if tail and ord(tail[-1]) < 0x2E80 else tail[-1:]).lower()
         elif any(c in CLOSERS for c in marks):
@@ -225,6 +227,8 @@ def gaps(text: str) -> list[Gap]:
         begins = start == 0 or not plain[:start].strip(BLANKS + GHOSTS + '"“«„(') or plain[max(0, start - 30) : start].rstrip(" \t")[-1:] in tuple(BREAKS) or bool(SPEAKER.search(plain, max(0, start - 50), start))
         follows = bool(out) and out[-1].next is not None and out[-1].next >= start - 2 and lead[-1:] in tuple(MARKS + CLOSERS)
         look = shape(right, capitals, False)
+        if len(look) > 2:
+            look = "z" if right[0] >= "\u2e80" else "x"  # letters without case, whatever the script
         if {script(spelt), script(right)} in SWITCHES:
             look += "*"
         out.append(Gap(b, None, (m_, word, shape(spelt, capitals), context, intro, "" if blank else "0", begins), (right.lower(), look), follows, k))
@@ -249,7 +253,7 @@ class HiddenEvents:
             quote = "q0" if starts else "qw"
         first = begins or starts
         first = first and kind in ("9", "I", "S")
-        steps = [(m,), (m, quote), (m, quote, kind), (m, quote, kind, first), (m, quote, blank, kind, first), (m, quote, word)]
+        steps = [(m,), *([("*", quote)] if quote != "n" else []), (m, quote), (m, quote, kind), (m, quote, kind, first), (m, quote, blank, kind, first), (m, quote, word)]
         if intro:
             steps += [(m, quote, "i", intro), (m, quote, "i", intro, word)]
         return steps
@@ -257,7 +261,7 @@ class HiddenEvents:
     @staticmethod
     def _words(event: int, left: tuple, right: tuple, starts: bool) -> list[tuple]:
         m, _, kind, quote, *_ = left
-        quote = "q" if quote[0] == "q" else quote
+        quote = "q" if quote[0] == "q" and quote != "qm" else quote
         word, look = right
         known = kind if kind in ("9", "I", "S") else "w"
         return [((event, m), look), ((event, m, quote), look), ((event, m, quote, known), look), ((event, m, quote, known), word, look)]
@@ -364,7 +368,7 @@ def train(samples: list[tuple[str, str]], rounds: int = 60, seed: int = 11) -> H
     """Counts from strings of labelled sentences (language, text): each sentence has no boundary inside and one at its end.
 
     ``rounds`` strings start at each sentence, which counts once in all of them; in some a pause
-    is written as dots after one of its words. They follow on with sentences of the same
+    is written as dots after one of its words, and some are in capitals. They follow on with sentences of the same
     language, and now and then of another one, with a blank, two blanks or, after marks that
     aren't a point, nothing between.
     """
@@ -388,6 +392,8 @@ def train(samples: list[tuple[str, str]], rounds: int = 60, seed: int = 11) -> H
                 glue = " " if last in ".'" or rng.random() < 0.8 and ord(last) < 0x2E80 else "" if not last.isascii() or rng.random() < 0.3 else "  "
                 ends.append(len(joined))
                 joined += glue + p
+            if rng.random() < 0.1 and len(joined.upper()) == len(joined):
+                joined = joined.upper()
             wanted, before = set(ends), NONE
             for g in gaps(joined):
                 if g.fixed is not None:
