@@ -28,7 +28,7 @@ from phonolake.llm.sentences import BLANKS, trained
 BUCKETS, WIDTH, ORDERS = 2**15, 16, (1, 2, 3, 4)
 PARTS, EPOCHS, RATE = 8, 9, 1.0
 #: Probability under which a sentence alone is not trusted; price of a change of language.
-REJECT, CHANGE = 0.55, 3.0
+REJECT, CHANGE = 0.55, 1.2
 CHARS = 1_000_000
 #: Rows of a labelled table that the training takes at most; share of right labels it counts with; how sure a sentence's language must be.
 LABELLED, RIGHT, SURE = 4000, 0.85, 0.9
@@ -97,11 +97,31 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bucket[order], own[order]
 
 
+#: Blocks of the scripts: letters outside them count as Latin.
+SCRIPTS = {"cyrillic": "[\u0400-\u052f]", "arabic": "[\u0600-\u06ff\u0750-\u077f]", "devanagari": "[\u0904-\u0939\u0958-\u0961]", "bengali": "[\u0980-\u09ff]", "tamil": "[\u0b80-\u0bff]", "thai": "[\u0e00-\u0e7f]", "kana": "[\u3041-\u30ff]", "han": "[\u3400-\u9fff]"}
+SCRIPT_RES = [re.compile(x) for x in SCRIPTS.values()]
+
+
+def scripts_of(text: str) -> np.ndarray:
+    """Which of the scripts a text has letters of."""
+    return np.zeros(len(SCRIPT_RES), bool) if text.isascii() else np.array([bool(r.search(text)) for r in SCRIPT_RES])
+
+
+def once(text: str) -> str:
+    """Each word of a text once: what is said again tells nothing new."""
+    return " ".join(dict.fromkeys(text.split()))
+
+
 class Classifier:
-    """Embeddings times weights in one table: the score of a text is the average of its subwords' rows."""
+    """Embeddings times weights in one table: the score of a text is the average of its subwords' rows.
+
+    ``uses`` tells the share of each class's training sentences with letters of each script; a
+    class that has never or nearly never a script of the text, or always one that it lacks, is
+    out of the question for it.
+    """
 
-    def __init__(self, table: np.ndarray, bias: np.ndarray, classes: list[str], heat: float) -> None:
-        self.table, self.bias, self.classes, self.heat = table, bias, classes, heat
+    def __init__(self, table: np.ndarray, bias: np.ndarray, classes: list[str], heat: float, uses: np.ndarray) -> None:
+        self.table, self.bias, self.classes, self.heat, self.uses = table, bias, classes, heat, uses
         self.languages = sorted({c.split("-")[0] for c in classes})
         self.sums = np.array([[c.split("-")[0] == lang for lang in self.languages] for c in classes], np.float64)
 
@@ -126,8 +146,15 @@ class Classifier:
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         """Calibrated probability of each language; even where a text has no letters."""
-        z, size = self.scores(texts)
-        p = softmax(z * self.heat) @ self.sums
+        z, size = self.scores([once(t) for t in texts])
+        has = np.stack([scripts_of(t) for t in texts]) if texts else np.zeros((0, len(SCRIPT_RES)), bool)
+        # a class of a script of its own needs letters of one of its scripts; one without kana can't have written kana
+        own = self.uses > 0.5
+        fits = ~own.any(axis=1)[None, :] | (has[:, None, :] & own[None, :, :]).any(axis=2)
+        kana = list(SCRIPTS).index("kana")
+        fits &= ~(has[:, kana][:, None] & (self.uses[:, kana] < 0.02)[None, :] & own.any(axis=1)[None, :])
+        fits[~fits.any(axis=1)] = True
+        p = softmax(np.where(fits, z * self.heat, -50.0)) @ self.sums
         p[size == 0] = 1 / len(self.languages)
         return p
 
@@ -152,13 +179,18 @@ def train(samples: list[tuple[str, str]], labelled: list[tuple[str, str]] = (),
     if not labelled:
         return model
     splitter = trained(tuple(sorted(set(samples))))
-    parts = sorted({(lang, t[a:b]) for lang, t in labelled if t for a, b in units(t, splitter.split(t))})
+    parts = [(lang, t[a:b]) for lang, t in labelled if t for a, b in units(t, splitter.split(t)) if lang in model.languages]
     canon = canonical_array(pa.array([t for _, t in parts], pa.string()))
-    p = model.probabilities(canon)
-    label = np.array([[RIGHT if x == lang else (1 - RIGHT) / (len(model.languages) - 1) for x in model.languages] for lang, _ in parts])
-    p = np.sqrt(p) * label
-    p /= p.sum(axis=1, keepdims=True)
-    more = [(model.languages[k], t) for k, t, sure in zip(p.argmax(axis=1), canon, p.max(axis=1), strict=True) if sure > SURE]
+    votes: dict[str, np.ndarray] = {}
+    for (lang, _), t in zip(parts, canon, strict=True):
+        votes.setdefault(t, np.zeros(len(model.languages)))[model.languages.index(lang)] += 1
+    texts = sorted(votes)
+    # a label is right with RIGHT, or else any other; a sentence that comes often is told by its labels
+    n = np.array([votes[t] for t in texts])
+    wrong = np.log((1 - RIGHT) / (len(model.languages) - 1))
+    odds = n * np.log(RIGHT) + (n.sum(axis=1, keepdims=True) - n) * wrong + 0.5 * np.log(model.probabilities(texts) + 1e-9)
+    p = softmax(odds)
+    more = [(model.languages[k], t) for k, t, sure in zip(p.argmax(axis=1), texts, p.max(axis=1), strict=True) if sure > SURE]
     return fitted(samples, seed, more)
 
 
@@ -188,7 +220,7 @@ def fitted(samples: list[tuple[str, str]], seed: int, more: list[tuple[str, str]
                 labels.append(classes.index(name))
                 held.append(k == PARTS - 1)
     labels, held = np.array(labels, np.int64), np.array(held, bool)
-    bucket, own = grams(texts)
+    bucket, own = grams([once(t) for t in texts])
     starts = np.searchsorted(own, np.arange(len(texts) + 1))
     emb = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     weights, bias = rng.normal(0, 0.1, (WIDTH, len(classes))), np.zeros(len(classes))
@@ -207,7 +239,8 @@ def fitted(samples: list[tuple[str, str]], seed: int, more: list[tuple[str, str]
             bias -= 0.1 * rate * p
             np.subtract.at(emb, b, rate * step / np.sqrt(len(b)) / 2)
     table = (emb @ weights).astype(np.float32)
-    model = Classifier(table, bias, classes, 1.0)
+    uses = np.array([np.mean([scripts_of(t) for name, t in zip(names, canon, strict=True) if name == c], axis=0) for c in classes])
+    model = Classifier(table, bias, classes, 1.0, uses)
     z, _ = model.scores([t for t, h in zip(texts, held, strict=True) if h])
     y = labels[held]
     heats = np.geomspace(0.2, 5, 40)
