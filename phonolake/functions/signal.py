@@ -229,7 +229,7 @@ def speaker_slices(a: Column, rate: Column, turns: Column, speaker: Column) -> C
     return slices(a, F.transform(own, lambda t: F.struct(F.bround(t["start"] * rate).cast("int").alias("start"), F.bround(t["end"] * rate).cast("int").alias("end"))))
 
 
-def quiet_runs(a: Column, threshold: float) -> Column:
+def speech_spans(a: Column, threshold: float) -> Column:
     """Speech spans by level: maximal runs of samples at or above the threshold, as structs (start, end)."""
     loud = F.transform(a, lambda x: F.abs(x) >= threshold)
     n = F.size(a)

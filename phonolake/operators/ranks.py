@@ -29,12 +29,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new place in the shared folder; all of a run's places are deleted when its driver ends."""
+    base = f"{shared_folder(spark)}/phonolake/{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{base}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: a lost executor costs nothing, lineage is cut."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/phonolake/{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sorted_parts(df: DataFrame, keys: list[str], order: list[str], weight: str | None = None) -> DataFrame:

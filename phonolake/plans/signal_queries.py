@@ -355,6 +355,19 @@ def st02(spark, folder):
     return done.select(F.unix_seconds("window_start").alias("window_start"), "event_type", "n")
 
 
+@query("st03_streamed_turns")
+def st03(spark, folder):
+    """The rule on a stream of the event files: turns that the watermark has passed, stored exactly once."""
+    from phonolake.operators.ranks import fresh_path
+
+    at = fresh_path(spark)
+    # a pattern, as a stream's path may be a folder or many files, not one file
+    stream = spark.readStream.schema(table(spark, folder, "events").schema).parquet(f"{folder}/events.parque[t]")
+    done = turns.turns(stream, "user_id", "ts", gap="600 seconds", late="1 hour")
+    turns.store(done, f"{at}/turns", f"{at}/progress").awaitTermination()
+    return spark.read.schema(done.schema).parquet(f"{at}/turns")
+
+
 # ---- pipelines -----------------------------------------------------------------------------
 
 

@@ -99,7 +99,7 @@ def test_channels(spark):
 
 
 def test_spans(spark):
-    assert [(r.start, r.end) for r in one(spark, [0.5, 0.0, 0.3, 0.3, 0.0, 0.2], lambda c: sg.quiet_runs(c, 0.1))] == [(0, 1), (2, 4), (5, 6)]
+    assert [(r.start, r.end) for r in one(spark, [0.5, 0.0, 0.3, 0.3, 0.0, 0.2], lambda c: sg.speech_spans(c, 0.1))] == [(0, 1), (2, 4), (5, 6)]
 
 
 @pytest.mark.parametrize("a,b,want", [("a b c", "b c d", "a b c d"), ("", "x", "x"), ("x", None, "x"), ("a b", "a b", "a b"), ("a", "b", "a b"), ("a b", "b", "a b"), ("x a a", "a a a", "x a a a")])
