@@ -72,12 +72,10 @@ def s09(spark, folder):
     return rows.select("c.sample_id", "c.script_reference", F.size("c.boost_keywords").alias("n_keywords"), F.array_join("c.paralinguistic_tags", ",").alias("tags"))
 
 
-CLASS_LINE = F.concat(F.col("n_nationkey").cast("string"), F.lit(",/m/"), F.col("n_name"), F.lit(',"'), F.col("n_name"), F.lit(', loud"'))
-
-
 @query("s10_class_map", "SELECT n_nationkey::INT AS class_idx, n_name || ', loud' AS class, n_name AS naive FROM nation")
 def s10(spark, folder):
-    lines = table(spark, folder, "nation").select((F.col("n_nationkey") + 1).cast("bigint").alias("line_no"), CLASS_LINE.alias("value"))
+    line = F.concat(F.col("n_nationkey").cast("string"), F.lit(",/m/"), F.col("n_name"), F.lit(',"'), F.col("n_name"), F.lit(', loud"'))
+    lines = table(spark, folder, "nation").select((F.col("n_nationkey") + 1).cast("bigint").alias("line_no"), line.alias("value"))
     good, naive = texts.class_map(lines), texts.class_map(lines, naive=True).withColumnRenamed("class", "naive")
     return good.join(naive, "class_idx")
 
@@ -498,12 +496,9 @@ def u03(spark, folder):
 
 # ---- structured text -----------------------------------------------------------------------
 
-JSON_LINE = F.regexp_extract("text", r'(\{"extracted_intent".*\})', 1)
-
-
 @query("g01_parse_answer", "SELECT doc_id, CASE WHEN json_valid(j) THEN coalesce(json_extract_string(j, '$.extracted_intent'), 'unknown') ELSE 'unknown' END AS intent, CASE WHEN json_valid(j) THEN coalesce((json_extract_string(j, '$.confirm_slot'))::BOOLEAN, false) ELSE false END AS confirm FROM (SELECT doc_id, regexp_extract(text, '(\\{\"extracted_intent\".*\\})', 1) AS j FROM documents) WHERE j <> ''")
 def g01(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", JSON_LINE.alias("j")).filter("j <> ''")
+    rows = table(spark, folder, "documents").select("doc_id", F.regexp_extract("text", r'(\{"extracted_intent".*\})', 1).alias("j")).filter("j <> ''")
     a = st.parse_answer(F.col("j"), F.lit(""), F.lit(False))
     return rows.select("doc_id", a.alias("a")).select("doc_id", F.col("a.extracted_intent").alias("intent"), F.col("a.confirm_slot").alias("confirm"))
 

@@ -189,3 +189,14 @@ def test_empty_tables(spark, folder, tmp_path):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     for name in ("a01_corpus_rates", "w02_overlapped", "c02_run_stage", "x04_edit_distance", "l01_sorted_paths", "j01_manifest_match"):
         assert e.queries()[name](spark, str(tmp_path)).count() == 0
+
+
+def test_names_need_no_session():
+    """The named queries and their SQL can be read where no session is."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0 and int(out.stdout.split()[0]) > 100, out.stderr
