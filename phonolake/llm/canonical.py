@@ -144,13 +144,23 @@ def suspect() -> str:
         if unicodedata.normalize("NFC", c) != c:
             one.add(c)
         d = unicodedata.decomposition(c).split()
-        if len(d) == 2 and not d[0].startswith("<"):
+        if len(d) == 2 and not d[0].startswith("<") and unicodedata.normalize("NFC", "".join(chr(int(x, 16)) for x in d)) == c:
             pairs.setdefault(chr(int(d[1], 16)), set()).add(chr(int(d[0], 16)))
     marks = [c for c in map(chr, range(0x370, 0x3100)) if unicodedata.combining(c)]
     for b in marks:
         if lower := {a for a in marks if unicodedata.combining(a) > unicodedata.combining(b)}:
             pairs.setdefault(b, set()).update(lower)
-    cls = lambda cs: "".join(f"\\x{{{ord(c):X}}}" for c in sorted(cs))
+
+    def cls(chars: set[str] | list[str]) -> str:
+        """Members of a class, neighbours as ranges."""
+        codes, out = sorted(map(ord, chars)), []
+        for c in codes:
+            if out and c == out[-1][1] + 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+        return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
+
     by_first: dict[str, list[str]] = {}
     for b, firsts in pairs.items():
         if b not in one:
