@@ -66,12 +66,23 @@ class Texts:
         self.sizes = np.bincount(self.row, minlength=self.n)
 
     def again(self, hashed: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Which entries have come earlier in the same row."""
-        mixed = hashed ^ ((row.astype(np.uint64) + np.uint64(1)) * MULTIPLIER)
-        order = np.argsort(mixed, kind="stable")
+        """Which entries have come earlier in the same row.
+
+        The high bits of the hash and the place are sorted as one number. Where two hashes share
+        their high bits alone, which hardly happens, the whole hashes are sorted instead.
+        """
+        mixed = (hashed ^ ((row.astype(np.uint64) + np.uint64(1)) * MULTIPLIER)) * np.uint64(0xD6E8FEB86659FD93)
         out = np.zeros(len(mixed), bool)
-        same = mixed[order][1:] == mixed[order][:-1]
-        out[order[1:]] = same
+        low = np.uint64((1 << max(1, len(mixed).bit_length())) - 1)
+        key = (mixed & ~low) | np.arange(len(mixed), dtype=np.uint64)
+        key.sort()
+        at = (key & low).astype(np.int64)
+        whole = mixed[at]
+        same = whole[1:] == whole[:-1]
+        if ((key[1:] ^ key[:-1]) <= low)[~same].any():
+            at = np.argsort(mixed, kind="stable")
+            same = mixed[at][1:] == mixed[at][:-1]
+        out[at[1:]] = same
         return out
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
