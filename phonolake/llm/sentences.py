@@ -266,6 +266,10 @@ class HiddenEvents:
         known = kind if kind in ("9", "I", "S") else "w"
         return [((event, m), look), ((event, m, quote), look), ((event, m, quote, known), look), ((event, m, quote, known), word, look)]
 
+    def __getstate__(self) -> dict:
+        """The counts alone, as plain mappings, for the workers."""
+        return {"left": dict(self.left), "right": dict(self.right), "total": dict(self.total), "kept": {}, "memo": {}}
+
     def learn(self, left: tuple, right: tuple, starts: bool, event: int, weight: float = 1.0) -> None:
         for c in self._contexts(left, starts):
             self.left[c][event] += weight
@@ -364,7 +368,7 @@ def pause(text: str, rng: np.random.Generator) -> str:
     return " ".join(words)
 
 
-def train(samples: list[tuple[str, str]], rounds: int = 60, seed: int = 11) -> HiddenEvents:
+def train(samples: list[tuple[str, str]], rounds: int = 30, seed: int = 11) -> HiddenEvents:
     """Counts from strings of labelled sentences (language, text): each sentence has no boundary inside and one at its end.
 
     ``rounds`` strings start at each sentence, which counts once in all of them; in some a pause
@@ -410,8 +414,9 @@ def sentences(df: DataFrame, ids: list[str], text: str, samples: list[tuple[str,
     src = df.select(*[F.col(f"`{c}`") for c in ids], F.col(f"`{text}`").cast("string").alias("text")).filter(F.length("text") > 0)
     kinds = ", ".join(f"`{c}` {k}" for c, k in src.dtypes[: len(ids)])
 
+    model = trained(tuple(sorted(set(samples))))
+
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = trained(tuple(sorted(set(samples))))
         seen: dict[str, list[tuple[int, int]]] = {}
         for batch in batches:
             rows, no, start, end = [], [], [], []
@@ -438,7 +443,7 @@ _MODELS: dict[tuple, HiddenEvents] = {}
 
 
 def trained(samples: tuple[tuple[str, str], ...]) -> HiddenEvents:
-    """The model of these samples, trained once in a worker."""
+    """The model of these samples, trained once on the driver; its counts go to the workers with the task."""
     if samples not in _MODELS:
         _MODELS[samples] = train(list(samples))
     return _MODELS[samples]
