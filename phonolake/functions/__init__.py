@@ -1 +1 @@
-"""Part of phonolake."""
+"""Column functions and the model interface."""

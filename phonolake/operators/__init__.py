@@ -1 +1 @@
-"""Part of phonolake."""
+"""Manifest matching, segments, merging, reports and exact ranks."""

@@ -7,6 +7,7 @@ partition and key that meets in it.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,15 +19,16 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, named by the cluster; set here only where it is unset, as in tests."""
+    """The folder that all executors share, as the cluster names it; a temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not folder:
-        folder = context._jsc.sc().getCheckpointDir()
-        folder = folder.get() if folder.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), "phonolake-checkpoints")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
-    return folder
+    if folder:
+        return folder
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "phonolake-checkpoints")
 
 
 def fresh_path(spark: SparkSession) -> str:

@@ -1 +1 @@
-"""Part of phonolake."""
+"""Named queries with their SQL, and whole pipelines."""

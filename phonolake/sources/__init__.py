@@ -1 +1 @@
-"""Part of phonolake."""
+"""Recordings, text sources, parameters and sinks."""

@@ -1 +1 @@
-"""Part of phonolake."""
+"""Rules on streams."""
