@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from phonolake.functions import text as tx
+from phonolake.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +29,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table (all, if none are named) for work that is heavy a row."""
+    t = table(spark, folder, name)
+    return spread(t.select(*columns) if columns else t)
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

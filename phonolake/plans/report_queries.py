@@ -8,7 +8,7 @@ from phonolake.functions import align
 from phonolake.functions import structured as st
 from phonolake.functions import text as tx
 from phonolake.operators import manifest, ranks, report, segments
-from phonolake.plans.register import PAIRS, q, query, sql_norm, table
+from phonolake.plans.register import PAIRS, dealt, q, query, sql_norm, table
 from phonolake.plans.text_queries import KEYWORD_LIST, KEYWORDS
 from phonolake.sources import audio, sinks, texts
 
@@ -112,7 +112,7 @@ def k03(spark, folder):
 @query("k04_results_document")
 def k04(spark, folder):
     """``results`` of the stages, one value."""
-    rates = report.corpus_rates(report.scored(table(spark, folder, "experiment_results")), "stage")
+    rates = report.corpus_rates(report.scored(dealt(spark, folder, "experiment_results", "result_id", "stage", "file", "original_duration_seconds", "rtf_total", "reference", "hypothesis")), "stage")
     return sinks.results_document(rates.select("stage", "n", F.round("wer", 6).alias("wer")), "stage")
 
 
@@ -135,7 +135,7 @@ def k08(spark, folder):
 
 
 def stage_rows(spark, folder):
-    return table(spark, folder, "experiment_results").join(F.broadcast(table(spark, folder, "stage_config")), "stage")
+    return dealt(spark, folder, "experiment_results").join(F.broadcast(table(spark, folder, "stage_config")), "stage")
 
 
 @query("proj01_code_mixed", f"SELECT example_id FROM examples WHERE regexp_matches({sql_norm('reference')}, '[\\x{{0900}}-\\x{{097f}}]') AND regexp_matches({sql_norm('reference')}, '[A-Za-z]')")
@@ -190,7 +190,7 @@ def proj09(spark, folder):
 
 @query("proj10_records", PAIRS + "SELECT result_id, file, round(original_duration_seconds, 3) AS seconds, round(rtf_total, 6) AS rtf, reference_words, reference_characters FROM p")
 def proj10(spark, folder):
-    rows = report.scored(table(spark, folder, "experiment_results"))
+    rows = report.scored(dealt(spark, folder, "experiment_results", "result_id", "stage", "file", "original_duration_seconds", "rtf_total", "reference", "hypothesis"))
     record = rows.select("result_id", F.struct("file", F.col("original_duration_seconds").alias("seconds"), F.col("rtf_total").alias("rtf"), align.metric(F.col("counts")).alias("metrics")).alias("r"))
     return record.select("result_id", "r.file", F.round("r.seconds", 3).alias("seconds"), F.round("r.rtf", 6).alias("rtf"), "r.metrics.reference_words", "r.metrics.reference_characters")
 
@@ -320,7 +320,7 @@ def rounded(df, *columns):
 
 @query("a01_corpus_rates", PAIRS + f"SELECT stage, {RATES} FROM p GROUP BY stage")
 def a01(spark, folder):
-    return rounded(report.corpus_rates(report.scored(table(spark, folder, "experiment_results")), "stage"), "wer", "cer")
+    return rounded(report.corpus_rates(report.scored(dealt(spark, folder, "experiment_results", "result_id", "stage", "file", "original_duration_seconds", "rtf_total", "reference", "hypothesis")), "stage"), "wer", "cer")
 
 
 @query("a02_mean_rtf", "SELECT stage, round(avg(rtf_total), 6) AS mean_rtf FROM experiment_results WHERE NOT coalesce(isnan(rtf_total), false) GROUP BY stage")
@@ -411,7 +411,7 @@ def a17(spark, folder):
 
 @query("a18_baseline_delta", PAIRS + ", r AS (SELECT stage, sum(word_errors) / nullif(sum(reference_words), 0) AS wer FROM p WHERE stage IS NOT NULL GROUP BY stage) SELECT stage, round((wer - (SELECT wer FROM r WHERE stage = 'raw')) * 100, 4) AS delta_pp FROM r")
 def a18(spark, folder):
-    rates = report.corpus_rates(report.scored(table(spark, folder, "experiment_results").filter("stage is not null")), "stage")
+    rates = report.corpus_rates(report.scored(dealt(spark, folder, "experiment_results", "stage", "reference", "hypothesis").filter("stage is not null")), "stage")
     return report.delta(rates.select("stage", "wer"), "stage", "wer", "raw").select("stage", F.round("delta_pp", 4).alias("delta_pp"))
 
 

@@ -10,7 +10,7 @@ from phonolake.functions import structured as st
 from phonolake.functions import text as tx
 from phonolake.operators import merging, report, segments
 from phonolake.plans import pipelines
-from phonolake.plans.register import PAIRS, query, table
+from phonolake.plans.register import PAIRS, dealt, query, table
 from phonolake.streaming import turns
 
 VEC = "list_transform(embedding, lambda x: x::DOUBLE)"
@@ -429,7 +429,7 @@ def c09(spark, folder):
 @query("c10_voicebot", PAIRS + "SELECT result_id, CASE WHEN reference_words > 0 AND word_errors / reference_words > 0.5 THEN 'YES' ELSE 'NO' END AS confirm_slot, 'unknown' AS intent FROM p")
 def c10(spark, folder):
     """The voicebot table with answers that aren't JSON: raw texts, unknown intent, confirmation where unsure."""
-    rows = report.scored(table(spark, folder, "experiment_results"))
+    rows = report.scored(dealt(spark, folder, "experiment_results", "result_id", "reference", "hypothesis"))
     unsure = F.coalesce(F.col("counts.word_errors") / F.nullif(F.col("counts.reference_words"), F.lit(0)) > 0.5, F.lit(False))
     a = st.parse_answer(F.concat(F.lit("not json "), F.coalesce("hypothesis", F.lit(""))), F.col("hypothesis"), unsure)
     return rows.select("result_id", a.alias("a")).select("result_id", tx.yes_no(F.col("a.confirm_slot")).alias("confirm_slot"), F.col("a.extracted_intent").alias("intent"))

@@ -8,14 +8,14 @@ from phonolake.functions import align
 from phonolake.functions import models
 from phonolake.functions import text as tx
 from phonolake.operators import report
-from phonolake.plans.register import PAIRS, q, query, sql_norm, sql_words, table
+from phonolake.plans.register import PAIRS, dealt, q, query, sql_norm, sql_words, table
 
 KEYWORDS = ["refund", "order", "status", "रिफ़ंड", "ऑर्डर", "SMS", "plan"]
 KEYWORD_LIST = "[" + ", ".join(q(k) for k in KEYWORDS) + "]"
 
 
 def pairs(spark, folder):
-    return table(spark, folder, "experiment_results").filter(F.col("reference").isNotNull()).withColumns({"r": tx.normalize(F.col("reference")), "h": tx.normalize(F.coalesce("hypothesis", F.lit("")))})
+    return dealt(spark, folder, "experiment_results", "result_id", "stage", "reference", "hypothesis").filter(F.col("reference").isNotNull()).withColumns({"r": tx.normalize(F.col("reference")), "h": tx.normalize(F.coalesce("hypothesis", F.lit("")))})
 
 
 @query("x01_normalize", f"SELECT doc_id, md5({sql_norm('text')}) AS digest, length({sql_norm('text')})::INT AS n FROM documents")
@@ -38,18 +38,18 @@ def x03(spark, folder):
 
 @query("x04_edit_distance", PAIRS + "SELECT result_id, word_errors, character_errors FROM p")
 def x04(spark, folder):
-    return report.scored(table(spark, folder, "experiment_results")).select("result_id", "counts.word_errors", "counts.character_errors")
+    return report.scored(dealt(spark, folder, "experiment_results", "result_id", "stage", "reference", "hypothesis")).select("result_id", "counts.word_errors", "counts.character_errors")
 
 
 @query("x05_error_rate", PAIRS + "SELECT result_id, round(word_errors / nullif(reference_words, 0), 6) AS rate FROM p")
 def x05(spark, folder):
-    return report.scored(table(spark, folder, "experiment_results")).select("result_id", F.round(align.rate(F.col("counts.word_errors"), F.col("counts.reference_words")), 6).alias("rate"))
+    return report.scored(dealt(spark, folder, "experiment_results", "result_id", "stage", "reference", "hypothesis")).select("result_id", F.round(align.rate(F.col("counts.word_errors"), F.col("counts.reference_words")), 6).alias("rate"))
 
 
 @query("x06_metric", PAIRS + "SELECT result_id, round(word_errors / nullif(reference_words, 0), 6) AS wer, round(character_errors / nullif(reference_characters, 0), 6) AS cer, reference_words, reference_characters FROM p")
 def x06(spark, folder):
     m = align.metric(F.col("counts"))
-    return report.scored(table(spark, folder, "experiment_results")).select("result_id", m.alias("m")).select("result_id", F.round("m.wer", 6).alias("wer"), F.round("m.cer", 6).alias("cer"), "m.reference_words", "m.reference_characters")
+    return report.scored(dealt(spark, folder, "experiment_results", "result_id", "stage", "reference", "hypothesis")).select("result_id", m.alias("m")).select("result_id", F.round("m.wer", 6).alias("wer"), F.round("m.cer", 6).alias("cer"), "m.reference_words", "m.reference_characters")
 
 
 @query("x07_devanagari", f"SELECT result_id, regexp_replace({sql_norm('hypothesis')}, '[^\\x{{0900}}-\\x{{097f}}]', '', 'g') AS chars FROM experiment_results WHERE hypothesis IS NOT NULL")
@@ -136,7 +136,7 @@ def training(column: str) -> str:
 
 @query("x16_training_wer", f"WITH t AS (SELECT stage, {training('reference')} AS rw, {training('coalesce(hypothesis, chr(32))')} AS hw FROM experiment_results WHERE reference IS NOT NULL) SELECT stage, round(100 * sum({_distance('rw', 'hw')}) / nullif(sum(len(rw)), 0), 6) AS wer FROM t GROUP BY stage")
 def x16(spark, folder):
-    rows = table(spark, folder, "experiment_results").filter("reference is not null")
+    rows = dealt(spark, folder, "experiment_results", "stage", "reference", "hypothesis").filter("reference is not null")
     ref, hyp = (tx.split_words(tx.hinglish(F.coalesce(c, F.lit("")))) for c in ("reference", "hypothesis"))
     return rows.groupBy("stage").agg(F.round(100 * F.sum(align.token_distance(ref, hyp)).cast("double") / F.nullif(F.sum(F.size(ref)), F.lit(0)), 6).alias("wer"))
 
