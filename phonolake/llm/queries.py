@@ -17,6 +17,7 @@ from phonolake.llm import pieces as p3
 from phonolake.llm import repetition as p5
 from phonolake.llm import sentences as p1
 from phonolake.llm import tokens as p7
+from phonolake.sources.tables import spread
 
 TOKENIZERS = os.environ.get("PHONOLAKE_TOKENIZERS", p7.TOKENIZERS)
 #: Labelled sentences: a table of fixed size (30 for each language and script); at most so many rows are taken.
@@ -45,7 +46,15 @@ SPOKEN = [("examples", "example_id", "reference"), ("experiment_results", "resul
 
 def texts(spark: SparkSession, folder: str, which: list[tuple[str, str, str]]) -> DataFrame:
     """src, row_id and text of the tables together."""
-    return union([table(spark, folder, t).select(F.lit(t).alias("src"), F.col(i).alias("row_id"), F.col(f"`{c}`").alias("text")) for t, i, c in which])
+    return union([spread(table(spark, folder, t).select(F.lit(t).alias("src"), F.col(i).alias("row_id"), F.col(f"`{c}`").alias("text"))) for t, i, c in which])
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def transcriptions(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "transcription_results").select("result_id", "Transcription", "Detected Language", "Language Prob"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,13 +84,13 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Segments of the transcriptions whose label is missing, wrong or too little."""
-    df = table(spark, folder, "transcription_results")
+    df = transcriptions(spark, folder)
     return p4.mislabelled(df, ["result_id"], "Transcription", "Detected Language", samples(spark, folder)).select("result_id", "seg_no", "lang")
 
 
 def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Every segment with its language and confidence beside the given label and probability."""
-    df = table(spark, folder, "transcription_results")
+    df = transcriptions(spark, folder)
     given = df.withColumnsRenamed({"Detected Language": "given_language", "Language Prob": "given_prob"})
     told = p4.labelled_rows(df, "result_id", "Transcription", "Detected Language")
     # a probability above 1 is in per cent
@@ -115,23 +124,23 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
-    return p7.token_ids(table(spark, folder, "documents"), "doc_id", "text", TOKENIZERS)
+    return p7.token_ids(documents(spark, folder), "doc_id", "text", TOKENIZERS)
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every document, or of each piece of a long one."""
-    counted = p7.token_ids(table(spark, folder, "documents"), "doc_id", "text", TOKENIZERS, only_count=True)
+    counted = p7.token_ids(documents(spark, folder), "doc_id", "text", TOKENIZERS, only_count=True)
     return p8.pack(counted, "doc_id", "n_tokens").withColumnsRenamed({"start": "start_token", "size": "n_tokens"})
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with text from a wrong decoding."""
-    return p9.garbled(table(spark, folder, "documents"), [t for _, t in samples(spark, folder)]).select("doc_id")
+    return p9.garbled(documents(spark, folder), [t for _, t in samples(spark, folder)]).select("doc_id")
 
 
 def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     """These documents with their text restored where possible."""
-    return p9.garbled(table(spark, folder, "documents"), [t for _, t in samples(spark, folder)])
+    return p9.garbled(documents(spark, folder), [t for _, t in samples(spark, folder)])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
