@@ -99,17 +99,23 @@ def script_metrics(reference: Column, hypothesis: Column) -> Column:
     (no word holds Devanagari and is Latin throughout); ``wrong_script_words`` counts the
     reference's Latin words that the hypothesis lacks while it has more Devanagari words.
     """
-    ref_latin, hyp_latin = tx.latin_words(reference), tx.latin_words(hypothesis)
-    ref_deva, hyp_deva = tx.devanagari(reference), tx.devanagari(hypothesis)
-    known = F.array_distinct(ref_latin)
-    return F.struct(
-        tx.is_code_mixed(reference).alias("is_code_mixed"),
-        rate(F.levenshtein(ref_deva, hyp_deva), F.length(ref_deva)).alias("devanagari_cer"),
-        rate(token_distance(ref_latin, hyp_latin), F.size(ref_latin)).alias("latin_word_wer"),
-        rate(F.size(F.array_intersect(ref_latin, hyp_latin)), F.size(known)).alias("english_word_accuracy"),
-        F.when(F.size(tx.split_words(reference)) > 0, F.lit(0.0)).alias("wrong_script_rate"),
-        wrong_script_words(reference, hypothesis).alias("wrong_script_words"),
-    )
+    def parts(s: Column) -> Column:
+        return F.struct(
+            s["r"].alias("r"), s["h"].alias("h"), tx.latin_words(s["r"]).alias("rl"), tx.latin_words(s["h"]).alias("hl"),
+            tx.devanagari(s["r"]).alias("rd"), tx.devanagari(s["h"]).alias("hd"),
+        )
+
+    def body(s: Column) -> Column:
+        return F.struct(
+            tx.is_code_mixed(s["r"]).alias("is_code_mixed"),
+            rate(F.levenshtein(s["rd"], s["hd"]), F.length(s["rd"])).alias("devanagari_cer"),
+            rate(token_distance(s["rl"], s["hl"]), F.size(s["rl"])).alias("latin_word_wer"),
+            rate(F.size(F.array_intersect(s["rl"], s["hl"])), F.size(F.array_distinct(s["rl"]))).alias("english_word_accuracy"),
+            F.when(F.size(tx.split_words(s["r"])) > 0, F.lit(0.0)).alias("wrong_script_rate"),
+            wrong_script_words(s["r"], s["h"]).alias("wrong_script_words"),
+        )
+
+    return let(let(F.struct(reference.alias("r"), hypothesis.alias("h")), parts), body)
 
 
 def wrong_script_words(reference: Column, hypothesis: Column) -> Column:
