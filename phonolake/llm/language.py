@@ -27,9 +27,11 @@ from phonolake.llm.sentences import BLANKS, trained
 
 BUCKETS, WIDTH, ORDERS = 2**15, 16, (1, 2, 3, 4)
 PARTS, EPOCHS, RATE = 8, 9, 1.0
+#: Steps of the training at most, but three rounds at least.
+STEPS = 60_000
 #: Probability under which a sentence alone is not trusted; price of a change of language.
 REJECT, CHANGE = 0.55, 1.2
-CHARS = 1_000_000
+CHARS = 200_000
 #: Rows of a labelled table that the training takes at most; share of right labels it counts with; how sure a sentence's language must be.
 LABELLED, RIGHT, SURE = 4000, 0.85, 0.9
 # Usual names and codes of the languages.
@@ -225,8 +227,9 @@ def fitted(samples: list[tuple[str, str]], seed: int, more: list[tuple[str, str]
     emb = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     weights, bias = rng.normal(0, 0.1, (WIDTH, len(classes))), np.zeros(len(classes))
     own_rows = np.flatnonzero(~held & (np.diff(starts) > 0))
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = int(np.clip(STEPS // max(1, len(own_rows)), 3, EPOCHS))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for i in rng.permutation(own_rows):
             b = bucket[starts[i] : starts[i + 1]]
             x = emb[b].mean(axis=0)
