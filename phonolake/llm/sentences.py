@@ -16,6 +16,7 @@ whole, in time proportional to their length; repeated rows give repeated results
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections import defaultdict
@@ -130,6 +131,12 @@ def quotations(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def closes_at(spans: list[tuple[int, int]], at: int) -> bool:
+    """Whether a quotation closes there."""
+    j = bisect.bisect_left(spans, (at,)) - 1
+    return j >= 0 and spans[j][1] == at
+
+
 class Gap:
     """A place where a sentence may end."""
 
@@ -145,6 +152,7 @@ def gaps(text: str) -> list[Gap]:
     spans = None
     out: list[Gap] = []
     n = len(plain)
+    head = n - len(plain.lstrip(BLANKS + GHOSTS + '"“«„('))
     for m in GAP.finditer(plain):
         a, b = m.start(), m.end()
         first = plain[a]
@@ -158,7 +166,7 @@ def gaps(text: str) -> list[Gap]:
         if plain[b - 1] in "\"“'" and b < n and (plain[b].isalnum() or plain[b] in "¿¡"):
             if spans is None:
                 spans = quotations(plain)
-            if plain[b - 1] != "'" and not any(close == b - 1 for _, close in spans):
+            if plain[b - 1] != "'" and not closes_at(spans, b - 1):
                 b -= 1
         if b >= n:
             continue
@@ -178,13 +186,10 @@ def gaps(text: str) -> list[Gap]:
             continue  # the end, or a line break that decides
         if spans is None:
             spans = quotations(plain)
-        inside, closed = False, None
-        for s in spans:
-            if s[0] < a and b <= s[1]:
-                inside = True
-            elif a <= s[1] < b and s[0] < a:
-                closed = s
-        if inside:
+        # quotations don't overlap: only the last one that opens before can hold or close here
+        j = bisect.bisect_left(spans, (a,)) - 1
+        closed = spans[j] if j >= 0 and a <= spans[j][1] < b else None
+        if j >= 0 and b <= spans[j][1]:
             continue
         marks = plain[a:b]
         kind = "".join(c for c in marks if c in MARKS)
@@ -224,7 +229,7 @@ def gaps(text: str) -> list[Gap]:
             right = right[:2]
         # the word directly after the gap before: a list number, a shortening that begins a sentence
         lead = plain[max(0, start - 30) : start].rstrip(" \t\"“«„(" + GHOSTS)
-        begins = start == 0 or not plain[:start].strip(BLANKS + GHOSTS + '"“«„(') or plain[max(0, start - 30) : start].rstrip(" \t")[-1:] in tuple(BREAKS) or bool(SPEAKER.search(plain, max(0, start - 50), start))
+        begins = start <= head or plain[max(0, start - 30) : start].rstrip(" \t")[-1:] in tuple(BREAKS) or bool(SPEAKER.search(plain, max(0, start - 50), start))
         follows = bool(out) and out[-1].next is not None and out[-1].next >= start - 2 and lead[-1:] in tuple(MARKS + CLOSERS)
         look = shape(right, capitals, False)
         if len(look) > 2:
