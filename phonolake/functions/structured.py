@@ -5,27 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Shape of a model's answer.
-ANSWER = "cleaned_transcript string, extracted_intent string, entities struct<amount string, order_id string, brand_or_product string>, confirm_slot boolean"
-# The intents that an answer may name.
-INTENTS = ["check_order_status", "cancel_subscription", "request_refund", "general_inquiry"]
+# The keys of an answer, the intents that it may name, and the one for none.
+INTENT_KEY, CONFIRM_KEY = "intent", "requires_confirmation"
+INTENTS = ["payment_status", "refund_issue", "account_inquiry", "general_query"]
 UNKNOWN = "unknown"
+ENTITIES = ["amount", "order_id", "brand_or_product"]
+
+
+def answer_schema(intent_key: str = INTENT_KEY, confirm_key: str = CONFIRM_KEY) -> str:
+    return f"cleaned_transcript string, {intent_key} string, entities struct<{', '.join(f'{e}: string' for e in ENTITIES)}>, {confirm_key} boolean"
 
 
 def valid_json(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull()
 
 
-def parse_answer(text: Column, raw: Column, unsure: Column) -> Column:
+def parse_answer(text: Column, raw: Column, unsure: Column, intent_key: str = INTENT_KEY, confirm_key: str = CONFIRM_KEY) -> Column:
     """Struct of the answer; on any failure the raw text, intent unknown, empty entities, and confirmation where the model was unsure."""
-    j = F.from_json(text, ANSWER, {"mode": "PERMISSIVE"})
+    j = F.from_json(text, answer_schema(intent_key, confirm_key), {"mode": "PERMISSIVE"})
     good = F.coalesce(valid_json(text), F.lit(False))
-    empty = F.struct(*[F.lit(None).cast("string").alias(c) for c in ("amount", "order_id", "brand_or_product")])
+    empty = F.struct(*[F.lit(None).cast("string").alias(c) for c in ENTITIES])
     return F.struct(
         F.when(good, F.coalesce(j["cleaned_transcript"], raw)).otherwise(raw).alias("cleaned_transcript"),
-        F.when(good, F.coalesce(j["extracted_intent"], F.lit(UNKNOWN))).otherwise(F.lit(UNKNOWN)).alias("extracted_intent"),
+        F.when(good, F.coalesce(j[intent_key], F.lit(UNKNOWN))).otherwise(F.lit(UNKNOWN)).alias("intent"),
         F.when(good, F.coalesce(j["entities"], empty)).otherwise(empty).alias("entities"),
-        F.when(good, F.coalesce(j["confirm_slot"], unsure)).otherwise(unsure).alias("confirm_slot"),
+        F.when(good, F.coalesce(j[confirm_key], unsure)).otherwise(unsure).alias("requires_confirmation"),
     )
 
 

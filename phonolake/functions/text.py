@@ -107,7 +107,11 @@ def hotwords(keywords: Column) -> Column:
     return F.array_join(keywords, " ")
 
 
-def keyword_prompt(keywords: Column, template: str = "Keywords: %s.") -> Column:
+# Fixed value: how a decoding prompt names its keywords.
+KEYWORD_PROMPT = "The following Hinglish conversation mentions terms such as: %s."
+
+
+def keyword_prompt(keywords: Column, template: str = KEYWORD_PROMPT) -> Column:
     return F.format_string(template, F.array_join(keywords, ", "))
 
 

@@ -10,6 +10,7 @@ from phonolake.operators.ranks import runs
 # Fixed values of the rules.
 SILENCE, LOW_LOGPROB, HIGH_NO_SPEECH = 0.8, -0.8, 0.6
 NO_LOGPROB, NO_NO_SPEECH = -99.0, 1.0
+MISMATCH = "Language mismatch / potential hallucination"
 
 
 def speaker_totals(turns: DataFrame, clip: str = "clip") -> DataFrame:
@@ -67,8 +68,7 @@ def unsure(avg_logprob: Column, no_speech: Column | None = None) -> Column:
 
 def allowed_language(segment: Column, clip: Column, allowed: list[str]) -> Column:
     """Reason why a segment is rejected, or null; a segment without language has its clip's."""
-    lang = F.coalesce(segment, clip)
-    return F.when(lang.isin(allowed), F.lit(None)).otherwise(F.concat(F.lit("language "), F.coalesce(lang, F.lit("unknown")), F.lit(" not allowed")))
+    return F.when(F.coalesce(segment, clip).isin(allowed), F.lit(None)).otherwise(F.lit(MISMATCH))
 
 
 def top_classes(scores: DataFrame, clip: str, k: int) -> DataFrame:

@@ -156,7 +156,7 @@ def proj03(spark, folder):
     return table(spark, folder, "examples").filter("audio is not null").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("proj04_lang_allowlist", "SELECT doc_id, CASE WHEN coalesce(lang, 'hi') IN ('hi', 'en') THEN NULL ELSE 'language ' || coalesce(lang, 'hi') || ' not allowed' END AS reason FROM documents")
+@query("proj04_lang_allowlist", "SELECT doc_id, CASE WHEN coalesce(lang, 'hi') IN ('hi', 'en') THEN NULL ELSE 'Language mismatch / potential hallucination' END AS reason FROM documents")
 def proj04(spark, folder):
     return table(spark, folder, "documents").select("doc_id", segments.allowed_language(F.col("lang"), F.lit("hi"), ["hi", "en"]).alias("reason"))
 
@@ -496,11 +496,11 @@ def u03(spark, folder):
 
 # ---- structured text -----------------------------------------------------------------------
 
-@query("g01_parse_answer", "SELECT doc_id, CASE WHEN json_valid(j) THEN coalesce(json_extract_string(j, '$.extracted_intent'), 'unknown') ELSE 'unknown' END AS intent, CASE WHEN json_valid(j) THEN coalesce((json_extract_string(j, '$.confirm_slot'))::BOOLEAN, false) ELSE false END AS confirm FROM (SELECT doc_id, regexp_extract(text, '(\\{\"extracted_intent\".*\\})', 1) AS j FROM documents) WHERE j <> ''")
+@query("g01_parse_answer", "SELECT doc_id, CASE WHEN json_valid(j) THEN coalesce(json_extract_string(j, '$.extracted_intent'), 'unknown') ELSE 'unknown' END AS intent, CASE WHEN json_valid(j) THEN coalesce((json_extract_string(j, '$.confirm'))::BOOLEAN, false) ELSE false END AS confirm FROM (SELECT doc_id, regexp_extract(text, '(\\{\"extracted_intent\".*\\})', 1) AS j FROM documents) WHERE j <> ''")
 def g01(spark, folder):
     rows = table(spark, folder, "documents").select("doc_id", F.regexp_extract("text", r'(\{"extracted_intent".*\})', 1).alias("j")).filter("j <> ''")
-    a = st.parse_answer(F.col("j"), F.lit(""), F.lit(False))
-    return rows.select("doc_id", a.alias("a")).select("doc_id", F.col("a.extracted_intent").alias("intent"), F.col("a.confirm_slot").alias("confirm"))
+    a = st.parse_answer(F.col("j"), F.lit(""), F.lit(False), "extracted_intent", "confirm")
+    return rows.select("doc_id", a.alias("a")).select("doc_id", "a.intent", F.col("a.requires_confirmation").alias("confirm"))
 
 
 @query("g02_fields", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events")

@@ -432,7 +432,7 @@ def c10(spark, folder):
     rows = report.scored(dealt(spark, folder, "experiment_results", "result_id", "reference", "hypothesis"))
     unsure = F.coalesce(F.col("counts.word_errors") / F.nullif(F.col("counts.reference_words"), F.lit(0)) > 0.5, F.lit(False))
     a = st.parse_answer(F.concat(F.lit("not json "), F.coalesce("hypothesis", F.lit(""))), F.col("hypothesis"), unsure)
-    return rows.select("result_id", a.alias("a")).select("result_id", tx.yes_no(F.col("a.confirm_slot")).alias("confirm_slot"), F.col("a.extracted_intent").alias("intent"))
+    return rows.select("result_id", a.alias("a")).select("result_id", tx.yes_no(F.col("a.requires_confirmation")).alias("confirm_slot"), "a.intent")
 
 
 @query("c11_model_sequence", "SELECT 'stub-' || m AS model, n FROM (SELECT unnest([1, 2, 3, 4, 5]) AS m) CROSS JOIN (SELECT count(*) AS n FROM examples WHERE reference IS NOT NULL)")

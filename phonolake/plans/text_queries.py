@@ -146,7 +146,7 @@ def x17(spark, folder):
     return table(spark, folder, "experiment_results").select("result_id", F.array_join(tx.keyword_hits(F.col("hypothesis"), KEYWORDS), "|").alias("hits"))
 
 
-@query("x18_hotwords", f"SELECT stage, array_to_string({KEYWORD_LIST}, ' ') AS hotwords, 'Keywords: ' || array_to_string({KEYWORD_LIST}, ', ') || '.' AS prompt FROM stage_config")
+@query("x18_hotwords", f"SELECT stage, array_to_string({KEYWORD_LIST}, ' ') AS hotwords, 'The following Hinglish conversation mentions terms such as: ' || array_to_string({KEYWORD_LIST}, ', ') || '.' AS prompt FROM stage_config")
 def x18(spark, folder):
     k = F.array(*[F.lit(x) for x in KEYWORDS])
     return table(spark, folder, "stage_config").select("stage", tx.hotwords(k).alias("hotwords"), tx.keyword_prompt(k).alias("prompt"))

@@ -93,10 +93,10 @@ def test_index_and_batches(spark):
 
 
 def test_answers(spark):
-    df = spark.createDataFrame([('{"cleaned_transcript":"t","extracted_intent":"request_refund","entities":{"amount":"5"},"confirm_slot":false}',), ('{"extracted_intent":null}',), ("not json",), (None,)], "j string")
+    df = spark.createDataFrame([('{"cleaned_transcript":"t","intent":"refund_issue","entities":{"amount":"5"},"requires_confirmation":false}',), ('{"intent":null}',), ("not json",), (None,)], "j string")
     a = [r.a for r in df.select(st.parse_answer(F.col("j"), F.lit("raw"), F.lit(True)).alias("a")).collect()]
-    assert (a[0].cleaned_transcript, a[0].extracted_intent, a[0].entities.amount, a[0].confirm_slot) == ("t", "request_refund", "5", False)
-    assert all((x.cleaned_transcript, x.extracted_intent, x.confirm_slot) == ("raw", "unknown", True) for x in a[1:])
+    assert (a[0].cleaned_transcript, a[0].intent, a[0].entities.amount, a[0].requires_confirmation) == ("t", "refund_issue", "5", False)
+    assert all((x.cleaned_transcript, x.intent, x.requires_confirmation) == ("raw", "unknown", True) for x in a[1:])
 
 
 def test_sources_and_sinks(spark, tmp_path):
