@@ -374,6 +374,22 @@ def test_only_matched_spans_change(samples):
         assert not p9.is_garbled(t, known) and p9.restore(t, known) == (t, 0)
 
 
+def test_legacy_by_rule(samples):
+    """Short stretches of words that the labelled sentences don't have."""
+    known = tuple(sorted({t for _, t in samples}))
+    words = [("Щегольнём", c) for c in ("cp1251", "koi8_r", "cp866", "iso8859_5")] + [("مضبوط", "cp1256"), ("ช็อกโกแลต", "cp874"), ("ほうれんそう", "shift_jis"), ("ほうれんそう", "euc_jp"), ("萝卜蔬菜", "gbk")]
+    for word, true in words:
+        for wrong in ("cp1252", "latin-1", "cp437", "mac_roman", "koi8_r"):
+            if wrong != true:
+                bad = "On 12 May: " + "".join(p9.tables(wrong)[0][b] for b in word.encode(true)) + "."
+                assert p9.is_garbled(bad, known), (word, true, wrong)
+    for word, wrong in [("Щегольнём", "gbk"), ("Щегольнём", "shift_jis"), ("胡萝卜汤", "gbk"), ("胡萝卜汤", "shift_jis"), ("ヘリコプター", "gbk"), ("مضبوط", "gbk")]:
+        assert p9.is_garbled(word.encode().decode(wrong), known), (word, wrong)
+    assert p9.restore("Ùåãîëüí¸ì", known)[0] == "Щегольнём"
+    for t in ("Щегольнём", "ЩЕГОЛЬНЁМ!", "Äöüß", "créée où", "ほうれんそう写些", "萝卜蔬菜", "╔════╗ ║ ░▒▓", "½¼¾ §§ ©®™", "مضبوط «ё»", "Δοκιμή", "Việt Nam được", "ÅÄÖ", "áéíóú"):
+        assert not p9.is_garbled(t, known), t
+
+
 def test_garbled_table(spark, samples):
     df = spark.createDataFrame([(1, read_as("café", "cp1252"), "x"), (2, "café", "x"), (3, None, "x"), (4, "a�", "x")], "doc_id int, text string, restored string")
     got = {r.doc_id: (r.restored, r.whole) for r in p9.garbled(df, [t for _, t in samples]).collect()}
