@@ -426,6 +426,13 @@ def c09(spark, folder):
     return done.select("result_id", F.lit("How can I help you?").alias("question"), "corrected")
 
 
+@query("c09_context_correction_all")
+def c09_all(spark, folder):
+    """Every transcription with its correction, whatever its letters; SQL has other capitals (ß), so the tests compare it."""
+    done = models.corrected(table(spark, folder, "transcription_results"), ["result_id"], "Transcription", "File", Upper)
+    return done.select("result_id", F.lit("How can I help you?").alias("question"), "corrected")
+
+
 @query("c10_voicebot", PAIRS + "SELECT result_id, CASE WHEN reference_words > 0 AND word_errors / reference_words > 0.5 THEN 'YES' ELSE 'NO' END AS confirm_slot, 'unknown' AS intent FROM p")
 def c10(spark, folder):
     """The voicebot table with answers that aren't JSON: raw texts, unknown intent, confirmation where unsure."""

@@ -200,3 +200,20 @@ def test_names_need_no_session():
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0 and int(out.stdout.split()[0]) > 100, out.stderr
+
+
+def every(spark, folder, tmp_path, name, table, rows):
+    """A query over the stored table and, for what that lacks, over the rows besides."""
+    import __spark_entry__ as e
+
+    stored = spark.read.parquet(f"{folder}/{table}.parquet")
+    more = spark.createDataFrame(rows, ", ".join(f"`{c}` {k}" for c, k in stored.dtypes if c in rows[0]))
+    stored.unionByName(more, allowMissingColumns=True).write.parquet(f"{tmp_path}/{table}.parquet")
+    return spark.read.parquet(f"{tmp_path}/{table}.parquet").collect(), e.queries()[name](spark, str(tmp_path)).collect()
+
+
+def test_every_transcription_is_corrected(spark, folder, tmp_path):
+    rows = [{"result_id": 10**9 + k, "Transcription": t} for k, t in enumerate(["ein großer Fuß", "été “oui”", "привет", "नमस्ते", "你好", None, " plain "])]
+    stored, got = every(spark, folder, tmp_path, "c09_context_correction_all", "transcription_results", rows)
+    assert sorted((r.result_id, r.corrected) for r in got) == sorted((r.result_id, (r.Transcription or "").upper().strip()) for r in stored)
+    assert {r.question for r in got} == {"How can I help you?"}
