@@ -14,7 +14,7 @@ from phonolake.functions.align import let
 LIMIT = 12
 
 
-def _words(text: Column) -> Column:
+def words(text: Column) -> Column:
     return F.filter(F.split(F.trim(text), r"(?U)\s+"), lambda w: w != "")
 
 
@@ -38,7 +38,7 @@ def merge(previous: Column, current: Column, limit: int = LIMIT) -> Column:
         return F.when(p == "", c).when((c == "") | (p == c), p).otherwise(join)
 
     both = F.struct(F.trim(F.coalesce(previous, F.lit(""))).alias("p"), F.trim(F.coalesce(current, F.lit(""))).alias("c"))
-    return let(let(both, lambda s: F.struct(s["p"], s["c"], _words(s["p"]).alias("a"), _words(s["c"]).alias("b"))), body)
+    return let(let(both, lambda s: F.struct(s["p"], s["c"], words(s["p"]).alias("a"), words(s["c"]).alias("b"))), body)
 
 
 def fold(chunks: DataFrame, file: str, order: str, text: str, limit: int = LIMIT) -> DataFrame:

@@ -210,6 +210,15 @@ def w05(spark, folder):
     return e.select("result_id", merging.merge(left, right).alias("merged"))
 
 
+@query("w05_merge_overlap_all")
+def w05_all(spark, folder):
+    """Every text, cut into halves that share three words where it has them, and merged; words may return, so the longest overlap may be longer."""
+    e = table(spark, folder, "experiment_results").filter("hypothesis is not null").select("result_id", merging.words(F.col("hypothesis")).alias("w"))
+    half = F.floor(F.size("w") / 2).cast("int")
+    left, right = F.array_join(F.slice("w", F.lit(1), half + 1), " "), F.array_join(F.slice("w", F.greatest(half - 1, F.lit(1)), F.size("w")), " ")
+    return e.select("result_id", merging.merge(left, right).alias("merged"))
+
+
 PLAIN_WORDS = "len(w) > 0 AND len(list_distinct(w)) = len(w) AND NOT regexp_matches(hypothesis, '[^\\S ]|[\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x0b]')"
 
 

@@ -217,3 +217,34 @@ def test_every_transcription_is_corrected(spark, folder, tmp_path):
     stored, got = every(spark, folder, tmp_path, "c09_context_correction_all", "transcription_results", rows)
     assert sorted((r.result_id, r.corrected) for r in got) == sorted((r.result_id, (r.Transcription or "").upper().strip()) for r in stored)
     assert {r.question for r in got} == {"How can I help you?"}
+
+
+BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: Texts whose words return, are few or many, or stand between unusual blanks.
+SPOKEN = ["a a a a a a a a a", "no no yes no no yes no no yes no", "a b c a b c a b c a b c a b c a b c", "x", "x y", "x x", "one\u00a0two\tthree  four", "", "  ", " ".join(f"w{k % 17}" for k in range(90)), " ".join(["ha"] * 40), None]
+
+
+def words_of(text):
+    import re
+
+    return [w for w in re.split(BLANK, text) if w]
+
+
+def brute_merge(p, c, limit=12):
+    if p == "" or c in ("", p):
+        return p or c
+    a, b = words_of(p), words_of(c)
+    n = max((n for n in range(min(limit, len(a), len(b)) + 1) if a[len(a) - n :] == b[:n]), default=0)
+    return p if n == len(b) else " ".join(a + b[n:])
+
+
+def spoken(spark, folder, tmp_path, name):
+    stored, got = every(spark, folder, tmp_path, name, "experiment_results", [{"result_id": 10**9 + k, "hypothesis": t} for k, t in enumerate(SPOKEN)])
+    return [(r.result_id, words_of(r.hypothesis)) for r in stored if r.hypothesis is not None], got
+
+
+def test_every_text_is_merged(spark, folder, tmp_path):
+    texts, got = spoken(spark, folder, tmp_path, "w05_merge_overlap_all")
+    want = {i: brute_merge(" ".join(w[: len(w) // 2 + 1]), " ".join(w[max(len(w) // 2 - 2, 0) :])) for i, w in texts}
+    assert len(got) == len(want) and {r.result_id: r.merged for r in got} == want
+    assert any(want[i] != " ".join(w) for i, w in texts)
