@@ -231,6 +231,14 @@ def a16(spark, folder):
     return merging.fold(chunks, "result_id", "chunk_index", "text")
 
 
+@query("a16_chunk_merge_all")
+def a16_all(spark, folder):
+    """Every text that isn't blank, cut into chunks of eight that share three and merged again in order; where words return, a merge may take more than was shared."""
+    e = table(spark, folder, "experiment_results").select("result_id", merging.words(F.col("hypothesis")).alias("w")).filter(F.size("w") > 0)
+    chunks = e.select("result_id", F.explode(sg.overlapped(F.col("w"), 8, 3)).alias("c")).select("result_id", "c.chunk_index", F.array_join("c.chunk", " ").alias("text"))
+    return merging.fold(chunks, "result_id", "chunk_index", "text")
+
+
 @query("w06_seed_index", "SELECT audio, idx, r IS NOT NULL AS has_reference FROM (SELECT audio, max(reference) AS r, row_number() OVER (ORDER BY audio) - 1 AS idx FROM examples GROUP BY audio)")
 def w06(spark, folder):
     """Seeds are numbered over all recordings, before any filter."""

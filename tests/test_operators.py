@@ -248,3 +248,13 @@ def test_every_text_is_merged(spark, folder, tmp_path):
     want = {i: brute_merge(" ".join(w[: len(w) // 2 + 1]), " ".join(w[max(len(w) // 2 - 2, 0) :])) for i, w in texts}
     assert len(got) == len(want) and {r.result_id: r.merged for r in got} == want
     assert any(want[i] != " ".join(w) for i, w in texts)
+
+
+def test_every_text_is_folded(spark, folder, tmp_path):
+    from functools import reduce
+
+    texts, got = spoken(spark, folder, tmp_path, "a16_chunk_merge_all")
+    chunks = {i: [" ".join(w[a : a + 8]) for a in range(0, max(len(w) - 3, 1), 5)] for i, w in texts if w}
+    want = {i: (reduce(brute_merge, c, ""), len(c)) for i, c in chunks.items()}
+    assert len(got) == len(want) and {r.result_id: (r.text, r.n_chunks) for r in got} == want
+    assert any(want[i][0] != " ".join(w) for i, w in texts if w)
