@@ -184,6 +184,27 @@ def test_language_held_out(samples):
     assert np.mean(np.array(right)[sure]) > 0.97
 
 
+def test_rounds_are_fixed(samples, monkeypatch):
+    """As many rounds however many labelled sentences there are."""
+    made = np.random.default_rng
+    rounds = []
+
+    class Counted:
+        def __init__(self, seed):
+            self.own = made(seed)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def permutation(self, rows):
+            rounds.append(len(rows))
+            return self.own.permutation(rows)
+
+    monkeypatch.setattr(np.random, "default_rng", Counted)
+    p4.fitted(samples[::20], 5, [("en", f"call {chr(97 + k % 26)}") for k in range(8000)])
+    assert len(rounds) == p4.EPOCHS and min(rounds) >= 8000
+
+
 def test_labels(spark):
     rows = [("hi", "hi"), ("Hindi", "hi"), ("hin", "hi"), ("hi-IN", "hi"), (" EN ", "en"), ("zh-CN", "zh"), ("", ""), (None, ""), ("und", ""), ("auto", ""), ("-", ""), ("pt", "pt"), ("Español", "es")]
     got = spark.createDataFrame([(a,) for a, _ in rows], "l string").select(p4.label_language(F.col("l")).alias("x")).collect()
