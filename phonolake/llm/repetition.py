@@ -2,7 +2,8 @@
 
 Method: hashed character and word n-grams of a text, the shares of them that come again in it,
 go into a logistic regression that is trained on labelled rows and calibrated; rows are scored
-in Arrow batches, and a fixed threshold keeps the possible ones. For these (and, for the plain
+in Arrow batches, and a fixed threshold keeps the possible ones, with every row whose repeated
+runs could cover the limit. For these (and, for the plain
 measure, for all rows) the exact share follows: the characters in stretches of ``STRETCH`` or
 more that occur from an earlier place on in the same text.
 
@@ -166,7 +167,7 @@ def train(samples: list[str], rows: int = TRAINING_ROWS, seed: int = 7) -> tuple
     made = []
     for _ in range(rows if samples else 0):
         parts = [samples[k] for k in rng.integers(0, len(samples), rng.integers(1, 6))]
-        kind = rng.integers(0, 4)
+        kind = rng.integers(0, 5)
         if kind == 1:
             parts += parts * int(rng.integers(1, 5))
         elif kind == 2:
@@ -176,6 +177,11 @@ def train(samples: list[str], rows: int = TRAINING_ROWS, seed: int = 7) -> tuple
             parts[0] = " ".join(words[:a] + phrase * int(rng.integers(1, 12)) + words[a:])
         elif kind == 3:
             parts += [parts[int(rng.integers(0, len(parts)))] for _ in range(int(rng.integers(1, 3)))]
+        elif kind == 4:  # a short phrase that returns between new words
+            words = " ".join(parts).split()
+            a = int(rng.integers(0, len(words)))
+            phrase, step = words[a : a + int(rng.integers(1, 4))], int(rng.integers(1, 5))
+            parts = [w for k in range(0, len(words), step) for w in [*words[k : k + step], *phrase]]
         made.append(" ".join(parts))
     t = Texts(made)
     x, y = t.features(), (t.shares() >= SHARE).astype(float)
@@ -189,6 +195,12 @@ def probability(x: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return 1 / (1 + np.exp(-np.clip((x @ w) * slope + offset, -30, 30)))
 
 
+def possible(x: np.ndarray, sizes: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Rows that go on to the exact measure: the likely ones, and surely all cases, as each run that comes again covers ``STRETCH`` letters at most."""
+    again = np.rint(x[:, CHAR_ORDERS.index(STRETCH)] * np.maximum(sizes - STRETCH + 1, 0))
+    return (probability(x, model) >= POSSIBLE) | ((again > 0) & (again * STRETCH >= SHARE * sizes))
+
+
 def repetition(df: DataFrame, ids: list[str], text: str, samples: list[str], found: bool = False) -> DataFrame:
     """Ids, repeated share and calibrated probability of each row; with ``found`` the ids of the cases alone."""
     model = train(samples)
@@ -204,13 +216,13 @@ def repetition(df: DataFrame, ids: list[str], text: str, samples: list[str], fou
             texts = canonical_array(batch.column(len(ids)))
             for a, b in portions(texts):
                 t = Texts(texts[a:b])
-                p = probability(t.features(), model)
+                x = t.features()
                 if found:
-                    possible = np.flatnonzero(p >= POSSIBLE)
-                    share = Texts([texts[a + i] for i in possible]).shares() if len(possible) else np.empty(0)
-                    take = pa.array(a + possible[share >= SHARE], pa.int64())
+                    some = np.flatnonzero(possible(x, t.sizes, model))
+                    share = Texts([texts[a + i] for i in some]).shares() if len(some) else np.empty(0)
+                    take = pa.array(a + some[share >= SHARE], pa.int64())
                     yield pa.RecordBatch.from_arrays([batch.column(k).take(take) for k in range(len(ids))], ids)
                 else:
-                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(ids))), pa.array(t.shares()), pa.array(p)], [*ids, "repeated_share", "probability"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(ids))), pa.array(t.shares()), pa.array(probability(x, model))], [*ids, "repeated_share", "probability"])
 
     return src.mapInArrow(convert, kinds + ("" if found else ", repeated_share double, probability double"))

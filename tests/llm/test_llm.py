@@ -257,6 +257,28 @@ def test_threshold_loses_no_row(samples):
     assert hit.any() and (~hit).any() and p[hit].min() >= p5.POSSIBLE and p[hit].mean() > 0.8 > 0.2 > p[~hit].mean()
 
 
+def short_phrases(n, seed):
+    """Texts in which a phrase of 10 to 15 letters returns between new words."""
+    rng, out = random.Random(seed), []
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    for _ in range(n):
+        phrase = f"{word(5)} {word(rng.randint(5, 10))}"
+        out.append(" ".join(f"{word(rng.randint(2, 9))} {word(rng.randint(2, 9))} {phrase}" for _ in range(rng.randint(8, 40))))
+    return out
+
+
+def test_short_phrases_reach_the_exact_measure(spark, samples):
+    texts = short_phrases(400, 3)
+    want = {i for i, t in enumerate(texts) if brute_share(t) >= p5.SHARE}
+    low = [i for i in want if p5.Texts([texts[i]]).features()[0, p5.CHAR_ORDERS.index(10)] < 0.1]
+    assert low and len(want) < len(texts)
+    # whatever the model thinks of them
+    x = p5.Texts(texts)
+    assert want <= set(np.flatnonzero(p5.possible(x.features(), x.sizes, (np.zeros(7), (1.0, -30.0)))))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert {r.i for r in p5.repetition(df, ["i"], "text", [t for _, t in samples], found=True).collect()} == want
+
+
 def test_repetition_table(spark, samples):
     again = "say it again now " * 9
     df = spark.createDataFrame([("a", 1, again), ("a", 2, "one sentence only"), ("a", 3, None), ("b", 1, "ｓａｙ it​ again NOW, " * 9), ("a", 1, again)], "src string, row_id int, text string")
