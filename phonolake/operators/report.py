@@ -63,5 +63,5 @@ def attributed(df: DataFrame, elapsed: str, batch: str = "batch_id") -> DataFram
 
 
 def shown(value: Column, digits: int = 4) -> Column:
-    """A number for the console, half up; N/A for none."""
-    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", F.floor(value * 10**digits + 0.5) / 10**digits)).otherwise("N/A")
+    """A number for the console, half up; N/A for none, nan for one that isn't a number."""
+    return F.when(F.isnan(value.cast("double")), "nan").when(value.isNotNull(), F.format_string(f"%.{digits}f", F.floor(value * 10**digits + 0.5) / 10**digits)).otherwise("N/A")

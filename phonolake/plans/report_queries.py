@@ -131,6 +131,16 @@ def k08(spark, folder):
     return df.select("result_id", F.concat_ws(" ", *cells).alias("row"))
 
 
+CELL = "lpad(coalesce(CASE WHEN isnan({c}) THEN 'nan' ELSE printf('%.4f', floor({c} * 10000 + 0.5) / 10000) END, 'N/A'), 10, ' ')"
+
+
+@query("k08_console_all", f"SELECT result_id, rpad(coalesce(stage, ''), 35, ' ') || ' ' || {CELL.format(c='wer')} || ' ' || {CELL.format(c='cer')} || ' ' || {CELL.format(c='rtf_total')} AS row FROM experiment_results")
+def k08_all(spark, folder):
+    """Every row: a missing stage is a blank cell, a metric that isn't a number is nan, as the console has it."""
+    cells = [F.rpad(F.coalesce("stage", F.lit("")), 35, " "), *[F.lpad(report.shown(F.col(c)), 10, " ") for c in ("wer", "cer", "rtf_total")]]
+    return table(spark, folder, "experiment_results").select("result_id", F.concat_ws(" ", *cells).alias("row"))
+
+
 # ---- projections ---------------------------------------------------------------------------
 
 
@@ -363,6 +373,13 @@ def a06(spark, folder):
     return segments.longest_speaker(totals).join(plain, "clip").select("clip", F.round("seconds", 6).alias("seconds"), "speaker")
 
 
+@query("a06_longest_speaker_all", "SELECT clip, round(max(seconds), 6) AS seconds, first(speaker ORDER BY seconds DESC, place) AS speaker FROM (SELECT result_id AS clip, unnest(map_keys(speaker_durations)) AS speaker, greatest(0, unnest(map_values(speaker_durations))) AS seconds, unnest(range(cardinality(speaker_durations)::BIGINT)) AS place FROM experiment_results WHERE speaker_durations IS NOT NULL) GROUP BY clip")
+def a06_all(spark, folder):
+    """Every clip; of equal speakers the first heard."""
+    totals = segments.speaker_totals(speaker_turns(spark, folder))
+    return segments.longest_speaker(totals).select("clip", F.round("seconds", 6).alias("seconds"), "speaker")
+
+
 @query("a09_confidence", "SELECT user_id, round(avg(-value / 100), 3) AS avg_logprob, round(max(value / 1000), 3) AS no_speech_prob FROM events GROUP BY user_id")
 def a09(spark, folder):
     return table(spark, folder, "events").groupBy("user_id").agg(*segments.confidence(-F.col("value") / 100, F.col("value") / 1000))

@@ -258,3 +258,32 @@ def test_every_text_is_folded(spark, folder, tmp_path):
     want = {i: (reduce(brute_merge, c, ""), len(c)) for i, c in chunks.items()}
     assert len(got) == len(want) and {r.result_id: (r.text, r.n_chunks) for r in got} == want
     assert any(want[i][0] != " ".join(w) for i, w in texts if w)
+
+
+def by_sql(name, tmp_path, table):
+    import duckdb
+
+    import __spark_entry__ as e
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    return sorted(c.execute(e.oracle_sql()[name]).fetchall(), key=str)
+
+
+def test_tied_clips_stay(spark, folder, tmp_path):
+    rows = [{"result_id": 10**9 + k, "speaker_durations": m} for k, m in enumerate([{"P": 2.0, "A": 2.0}, {"C": 0.0, "A": 1.0, "P": 1.0}, {"A": 3.0}])]
+    stored, got = every(spark, folder, tmp_path, "a06_longest_speaker_all", "experiment_results", rows)
+    assert len(got) == sum(bool(r.speaker_durations) for r in stored)
+    listed = spark.read.parquet(f"{tmp_path}/experiment_results.parquet").filter("result_id >= 1000000000").select("result_id", F.map_entries("speaker_durations").alias("e")).collect()
+    first = {r.result_id: next(x.key for x in r.e if x.value == max(y.value for y in r.e)) for r in listed}
+    assert {r.clip: r.speaker for r in got if r.clip in first} == first
+    assert sorted(map(tuple, got), key=str) == by_sql("a06_longest_speaker_all", tmp_path, "experiment_results")
+
+
+def test_console_prints_every_row(spark, folder, tmp_path):
+    rows = [{"result_id": 10**9, "stage": None, "wer": 0.25, "rtf_total": float("nan")}, {"result_id": 10**9 + 1, "stage": "raw", "wer": float("nan"), "rtf_total": None}]
+    stored, got = every(spark, folder, tmp_path, "k08_console_all", "experiment_results", rows)
+    shown = {r.result_id: r.row for r in got}
+    assert len(got) == len(stored)
+    assert shown[10**9].startswith(" " * 36 + "    0.2500") and shown[10**9].endswith("       nan") and shown[10**9 + 1].startswith("raw" + " " * 33 + "       nan")
+    assert sorted(map(tuple, got), key=str) == by_sql("k08_console_all", tmp_path, "experiment_results")
