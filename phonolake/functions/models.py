@@ -43,6 +43,20 @@ class Stub:
         return out
 
 
+class Numbered(Stub):
+    """Stand-ins that differ: the words are shifted by the number, and every so many signals fail."""
+
+    def __init__(self, number: int) -> None:
+        self.number = number
+
+    def transcribe(self, batch: list[np.ndarray], rate: int) -> list[str]:
+        shift = self.number
+        if any(len(x) % 7 == shift for x in batch):
+            raise ValueError("a signal of this length can't be transcribed")
+        words = self.WORDS[shift:] + self.WORDS[:shift]
+        return [" ".join(words[self.WORDS.index(w)] for w in t.split()) for t in super().transcribe(batch, rate)]
+
+
 def hypothesis_text(x) -> str:
     """Text of what a model gives: nothing, a string, an object with text, or a list of these."""
     if x is None:

@@ -33,6 +33,19 @@ def evaluation(examples: DataFrame, jobs: DataFrame, make: Callable[[], models.M
     return report.corpus_rates(sliced, "slice")
 
 
+def sequence(examples: DataFrame, jobs: DataFrame, makes: dict[str, Callable[[], models.Model]], rate: int) -> DataFrame:
+    """The evaluation of several models, one after the other, as one table with the model's name.
+
+    A model that can't be loaded ends the whole run, as the first failing one of a sequence
+    does; a single signal that a model can't transcribe has an empty hypothesis.
+    """
+    runs = [evaluation(examples, jobs, make, rate).withColumn("model", F.lit(name)) for name, make in makes.items()]
+    out = runs[0]
+    for run in runs[1:]:
+        out = out.unionByName(run)
+    return out
+
+
 def stages(jobs: DataFrame, config: DataFrame, rate: int) -> DataFrame:
     """Every stage of a config over every job, in the order channel, speakers, detection.
 

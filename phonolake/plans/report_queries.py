@@ -257,6 +257,30 @@ def j01(spark, folder):
     return manifest.match(recordings, match_lines(spark, folder), none)
 
 
+def reference_lines(spark, folder):
+    """A line of every example with its reference, and a second one of every third."""
+    e = table(spark, folder, "examples").filter("audio is not null")
+    e = e.select("example_id", tx.stem(F.col("audio")).alias("s"), F.trim(F.regexp_replace(F.coalesce("reference", F.lit("")), r"(?U)\s+", " ")).alias("t"))
+    mark = F.when(F.col("example_id") % 3 == 0, "_p1 ").when(F.col("example_id") % 3 == 1, ": ").otherwise(":")
+    first = e.select((F.col("example_id") * 2).alias("line_no"), F.concat("s", mark, "t").alias("value"))
+    second = e.filter("example_id % 3 = 0").select((F.col("example_id") * 2 + 1).alias("line_no"), F.concat(F.lit("x_"), "s", F.lit("_p2 "), "t").alias("value"))
+    return first.unionByName(second)
+
+
+@query("j01_manifest_match_all")
+def j01_all(spark, folder):
+    """Every recording against the lines of all examples with their references."""
+    recordings = table(spark, folder, "examples").filter("audio is not null").select("audio")
+    none = spark.createDataFrame([], "audio_path string, identifier string")
+    return manifest.match(recordings, reference_lines(spark, folder), none)
+
+
+@query("j02_manifest_fallback_all")
+def j02_all(spark, folder):
+    """Of these, the recordings that take a whole line."""
+    return j01_all(spark, folder).filter("n_segments = 0").select("audio", "reference")
+
+
 @query("j02_manifest_fallback", f"SELECT audio, reference FROM ({MATCH_SQL}) WHERE n_segments = 0")
 def j02(spark, folder):
     return j01(spark, folder).filter("n_segments = 0").select("audio", "reference")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from phonolake.functions import models
+from phonolake.functions import align, models
 from phonolake.functions import signal as sg
 from phonolake.functions import structured as st
 from phonolake.functions import text as tx
@@ -465,3 +465,34 @@ def c11(spark, folder):
     names = spark.createDataFrame([(f"stub-{i}",) for i in range(1, 6)], "model string")
     count = table(spark, folder, "examples").filter("reference is not null").agg(F.count(F.lit(1)).alias("n"))
     return names.crossJoin(F.broadcast(count))
+
+
+@query("c11_model_sequence_all")
+def c11_all(spark, folder):
+    """The evaluation with five stand-in models: transcribed, scored, by slice and model."""
+    from functools import partial
+
+    makes = {f"stub-{i}": partial(models.Numbered, i) for i in range(1, 6)}
+    return pipelines.sequence(table(spark, folder, "examples"), table(spark, folder, "chunk_jobs"), makes, RATE)
+
+
+def answers(text):
+    """Answers of a stand-in by the key: whole, without most keys, no JSON, and cut short."""
+    k = F.col("result_id") % 4
+    intent = F.element_at(F.array(*map(F.lit, st.INTENTS)), (F.floor(F.col("result_id") / 4) % 4 + 1).cast("int"))
+    cleaned = F.concat(F.lit("clean "), text).alias("cleaned_transcript")
+    whole = F.to_json(F.struct(cleaned, intent.alias(st.INTENT_KEY), F.struct(F.lit("12").alias("amount")).alias("entities"), (F.col("result_id") % 8 == 4).alias(st.CONFIRM_KEY)))
+    return F.when(k == 0, whole).when(k == 1, F.to_json(F.struct(cleaned))).when(k == 2, F.concat(F.lit("not json "), text)).otherwise(F.lit('{"intent": "refund_issue"'))
+
+
+@query("c10_voicebot_all")
+def c10_all(spark, folder):
+    """The voicebot table with valid answers, answers that lack keys, and answers that aren't JSON."""
+    rows = dealt(spark, folder, "experiment_results", "result_id", "reference", "hypothesis").filter("reference is not null")
+    words = lambda c: tx.words(F.coalesce(c, F.lit("")))
+    # the words alone: no use is made of the distance of the characters
+    rate = align.let(F.struct(words(F.col("reference")).alias("r"), words(F.col("hypothesis")).alias("h")), lambda s: align.rate(align.token_distance(s["r"], s["h"]), F.size(s["r"])))
+    unsure = F.coalesce(rate > 0.5, F.lit(False))
+    a = st.parse_answer(answers(F.coalesce("hypothesis", F.lit(""))), F.col("hypothesis"), unsure)
+    done = rows.select("result_id", a.alias("a"))
+    return done.select("result_id", F.col("a.cleaned_transcript").alias("cleaned"), tx.yes_no(F.col("a.requires_confirmation")).alias("confirm_slot"), "a.intent", "a.entities.amount")

@@ -287,3 +287,65 @@ def test_console_prints_every_row(spark, folder, tmp_path):
     assert len(got) == len(stored)
     assert shown[10**9].startswith(" " * 36 + "    0.2500") and shown[10**9].endswith("       nan") and shown[10**9 + 1].startswith("raw" + " " * 33 + "       nan")
     assert sorted(map(tuple, got), key=str) == by_sql("k08_console_all", tmp_path, "experiment_results")
+
+
+def test_five_models_are_run(spark, folder):
+    from functools import partial
+
+    import __spark_entry__ as e
+    from phonolake.plans import pipelines
+
+    got = {(r.model, r.slice): r.asDict() for r in e.queries()["c11_model_sequence_all"](spark, folder).collect()}
+    examples, jobs = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("examples", "chunk_jobs"))
+    alone = {r.slice: r.asDict() for r in pipelines.evaluation(examples, jobs, partial(models.Numbered, 3), 16).collect()}
+    assert {m for m, _ in got} == {f"stub-{i}" for i in range(1, 6)} and got["stub-3", "clean"] == alone["clean"] | {"model": "stub-3"}
+    assert got["stub-1", "clean"]["n"] == examples.filter("reference is not null").count() and len({got[f"stub-{i}", "clean"]["cer"] for i in range(1, 6)}) > 1
+
+    class Broken(models.Stub):
+        def load(self):
+            raise RuntimeError("no weights")
+
+    with pytest.raises(Exception, match="no weights"):
+        pipelines.sequence(examples, jobs, {"a": models.Stub, "b": Broken}, 16).collect()
+
+
+def test_voicebot_answers(spark, folder):
+    import __spark_entry__ as e
+
+    rows = {r.result_id: r for r in report.scored(spark.read.parquet(f"{folder}/experiment_results.parquet").select("result_id", "reference", "hypothesis")).collect()}
+    got = e.queries()["c10_voicebot_all"](spark, folder).collect()
+    assert len(got) == len(rows) and {r.intent for r in got} == {*st.INTENTS, st.UNKNOWN}
+    for r in got:
+        i, c, raw = r.result_id, rows[r.result_id].counts, rows[r.result_id].hypothesis
+        unsure = "YES" if c.reference_words and c.word_errors / c.reference_words > 0.5 else "NO"
+        if i % 4 == 0:
+            want = ("clean " + (raw or ""), "YES" if i % 8 == 4 else "NO", st.INTENTS[i // 4 % 4], "12")
+        else:
+            want = ("clean " + (raw or "") if i % 4 == 1 else raw, unsure, st.UNKNOWN, None)
+        assert (r.cleaned, r.confirm_slot, r.intent, r.amount) == want
+
+
+def test_all_references_are_matched(spark, folder):
+    import re
+
+    import __spark_entry__ as e
+
+    rows = [r for r in spark.read.parquet(f"{folder}/examples.parquet").collect() if r.audio is not None]
+    stem = lambda a: re.sub(r"\.[^.]*$", "", a.split("/")[-1])
+    made = []
+    for r in rows:
+        t = re.sub(BLANK, " ", r.reference or "").strip(" ")
+        made.append((r.example_id * 2, stem(r.audio) + ("_p1 ", ": ", ":")[r.example_id % 3] + t))
+        if r.example_id % 3 == 0:
+            made.append((r.example_id * 2 + 1, f"x_{stem(r.audio)}_p2 {t}"))
+    made = [(v.strip(" "), v.strip(" ").split(" ", 1)) for _, v in sorted(made)]
+    want = {}
+    for a in {r.audio for r in rows}:
+        own = [x for x in (stem(a), a.split("/")[-2] if "/" in a else "") if x]
+        hits = [p[1] for _, p in made if len(p) > 1 and any(matches(p[0].rstrip(":"), c) for c in own)]
+        whole = next((v for v, _ in made if v.startswith(stem(a) + ":")), None)
+        if hits or whole:
+            want[a] = (" ".join(hits) if hits else whole, len(hits))
+    assert {r.audio: (r.reference, r.n_segments) for r in e.queries()["j01_manifest_match_all"](spark, folder).collect()} == want
+    assert len(want) == len({r.audio for r in rows})
+    assert {r.audio: r.reference for r in e.queries()["j02_manifest_fallback_all"](spark, folder).collect()} == {a: t for a, (t, n) in want.items() if not n}
