@@ -2,6 +2,13 @@
 
 The rewriting runs in DuckDB inside each Arrow partition (``mapInArrow``): embedded SQL
 with ``nfc_normalize``, ``translate`` and regular expressions. No shuffle, no driver state.
+DuckDB gets slices of ``SLICE`` bytes; a longer text goes through in parts that begin at blanks
+(or before other places that no step looks across), with what holds of the whole text told of
+each part, so that its form is the same as in one piece.
+
+Letters are judged by word and by text: Greek and Cyrillic letters become Latin in Latin words
+and where the text has no letter of their alphabet alone (a small alpha that stands alone is a
+sign and stays); Arabic letters take Urdu's shapes in texts that have a letter of Urdu's own.
 
 Defined results: null stays null and is never a case; empty and blank text stay as they are;
 repeated rows give repeated results; columns that the caller does not name are not read, so
@@ -10,11 +17,14 @@ extra columns with clashing names are harmless; an empty table gives an empty re
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +34,9 @@ CYRILLIC_LOOKALIKES = "АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛ
 CYRILLIC_AS_LATIN = "ABESIJKMHOPCTYXaeopcyxsijhdqw"
 GREEK_LOOKALIKES = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοα"
 GREEK_AS_LATIN = "ABEZHIKMNOPTYXoa"
+# Greek letters that look like no Latin letter, and the one that is also a sign of its own.
+GREEK_ONLY = "ΓΔΘΛΞΠΣΦΨΩβγδεζηθικλμνξπρςστυφχψωάέήίόύώϊϋΐΰ"
+GREEK_SIGN = "α"
 # Latin letters that stand for Cyrillic ones inside a Russian word, and the others.
 LATIN_IN_CYRILLIC = "ABEKMHOPCTXaeopcyx"
 LATIN_AS_CYRILLIC = "АВЕКМНОРСТХаеорсух"
@@ -36,6 +49,8 @@ ODD_AS_LATIN = "SsIiJj"
 # Arabic letters that Urdu writes with letters of its own.
 ARABIC_FORMS = "يىكه"
 URDU_FORMS = "ییکہ"
+# Letters that Urdu has and Arabic lacks.
+URDU_ONLY = "ٹڈڑںےہھگچپژکی"
 # Vowels typed as two signs, and the usual single letter that looks the same.
 SPLIT_VOWELS = [
     ("अाे", "ओ"), ("अाै", "औ"), ("अा", "आ"), ("अो", "ओ"),
@@ -56,6 +71,8 @@ WIDE_SCRIPTS = r"\x{3001}-\x{30FF}\x{3400}-\x{9FFF}"
 WIDE_MARKS = "！（），－：；？～"
 #: Private code points that hold a joiner while the others are taken out.
 HELD = (chr(0xF0000), chr(0xF0001))
+#: Bytes of text that DuckDB gets at a time.
+SLICE = 4_000_000
 
 
 @cache
@@ -76,8 +93,12 @@ def tr(s: str, a: str, b: str) -> str:
     return f"translate({s}, {quoted(a)}, {quoted(b)})"
 
 
+#: What the steps ask of a whole text: name of the flag, characters that it must hold.
+FLAGS = {"wide": WIDE_SCRIPTS, "cyrillic": CYRILLIC_ONLY, "greek": GREEK_ONLY, "urdu": URDU_ONLY}
+
+
 def steps() -> list:
-    """The rewriting, each step a function from the SQL of a string to the SQL of the next."""
+    """The rewriting, each step a function from the SQL of a string to the SQL of the next; flags are columns."""
     single, several = compatibility()
 
     def invisible(s: str) -> str:
@@ -96,7 +117,7 @@ def steps() -> list:
     def compatible(s: str) -> str:
         wide = tr(s, "".join(single), "".join(single.values()))
         narrow = tr(wide, WIDE_MARKS, "".join(chr(ord(m) - 0xFEE0) for m in WIDE_MARKS))
-        return f"CASE WHEN regexp_matches({s}, '[{WIDE_SCRIPTS}]') THEN {wide} ELSE {narrow} END"
+        return f"CASE WHEN wide THEN {wide} ELSE {narrow} END"
 
     def ligatures(s: str) -> str:
         for a, b in several.items():
@@ -107,16 +128,24 @@ def steps() -> list:
     def vowels(s: str) -> str:
         for a, b in SPLIT_VOWELS:
             s = f"replace({s}, {quoted(a)}, {quoted(b)})"
-        return tr(s, ARABIC_FORMS, URDU_FORMS)
+        return f"CASE WHEN urdu THEN {tr(s, ARABIC_FORMS, URDU_FORMS)} ELSE {s} END"
+
+    words = "regexp_extract_all({0}, '[\\pL\\pM]+|[^\\pL\\pM]+')"
+    latin = "[A-Za-z\\x{00C0}-\\x{024F}]"
+
+    def greek(s: str) -> str:
+        never_alone = (GREEK_LOOKALIKES.replace(GREEK_SIGN, ""), GREEK_AS_LATIN[: GREEK_LOOKALIKES.index(GREEK_SIGN)])
+        word = f"CASE WHEN regexp_matches(w, '{latin}') THEN {tr('w', GREEK_LOOKALIKES, GREEK_AS_LATIN)} WHEN greek THEN w ELSE {tr('w', *never_alone)} END"
+        return f"CASE WHEN regexp_matches({s}, '[{GREEK_LOOKALIKES}]') THEN array_to_string(list_transform({words.replace('{0}', s)}, lambda w: {word}), '') ELSE {s} END"
 
     def lookalikes(s: str) -> str:
         all_latin = tr(s, CYRILLIC_LOOKALIKES, CYRILLIC_AS_LATIN)
         word = (
             f"CASE WHEN regexp_matches(w, '[{CYRILLIC_ONLY}]') THEN CASE WHEN regexp_matches(w, '[{LATIN_ONLY}]') THEN w ELSE {tr('w', LATIN_IN_CYRILLIC, LATIN_AS_CYRILLIC)} END "
-            f"WHEN regexp_matches(w, '[A-Za-z\\x{{00C0}}-\\x{{024F}}]') THEN {tr('w', CYRILLIC_LOOKALIKES, CYRILLIC_AS_LATIN)} ELSE w END"
+            f"WHEN regexp_matches(w, '{latin}') THEN {tr('w', CYRILLIC_LOOKALIKES, CYRILLIC_AS_LATIN)} ELSE w END"
         )
-        by_word = f"array_to_string(list_transform(regexp_extract_all({tr(s, ODD_CYRILLIC, ODD_AS_LATIN)}, '[\\pL\\pM]+|[^\\pL\\pM]+'), lambda w: {word}), '')"
-        return f"CASE WHEN NOT regexp_matches({s}, '[{CYRILLIC_LOOKALIKES}{CYRILLIC_ONLY}]') THEN {s} WHEN NOT regexp_matches({s}, '[{CYRILLIC_ONLY}]') THEN {all_latin} ELSE {by_word} END"
+        by_word = f"array_to_string(list_transform({words.replace('{0}', tr(s, ODD_CYRILLIC, ODD_AS_LATIN))}, lambda w: {word}), '')"
+        return f"CASE WHEN NOT regexp_matches({s}, '[{CYRILLIC_LOOKALIKES}{CYRILLIC_ONLY}]') THEN {s} WHEN NOT cyrillic THEN {all_latin} ELSE {by_word} END"
 
     return [
         lambda s: invisible(s).replace("{0}", s),
@@ -124,7 +153,7 @@ def steps() -> list:
         compatible,
         ligatures,
         vowels,
-        lambda s: tr(s, GREEK_LOOKALIKES, GREEK_AS_LATIN),
+        greek,
         lookalikes,
         lambda s: f"nfc_normalize({s})",
     ]
@@ -171,13 +200,14 @@ def suspect() -> str:
 
 
 @cache
-def canonical_sql(col: str, table: str) -> str:
-    """SQL that gives the columns of ``table`` and ``canon`` for its rows with a suspect text."""
-    q, last = f"SELECT *, {col} AS s0 FROM {table} WHERE regexp_matches({col}, '{suspect()}')", "s0"
-    for i, step in enumerate(steps(), 1):
-        q = f"SELECT * EXCLUDE ({last}), {step(last)} AS s{i} FROM ({q})"
-        last = f"s{i}"
-    return f"SELECT * EXCLUDE ({last}), {last} AS canon FROM ({q})"
+def canonical_sql(where: bool = True) -> str:
+    """SQL that gives i and ``canon`` of the rows (i, text and the flags, null where the text is whole) of ``batch_t`` whose text is suspect."""
+    flags = ", ".join(f"coalesce({name}, regexp_matches(text, '[{chars}]')) AS {name}" for name, chars in FLAGS.items())
+    q, last = f"SELECT i, text AS s0, {flags} FROM batch_t" + (f" WHERE regexp_matches(text, '{suspect()}')" if where else ""), "s0"
+    for k, step in enumerate(steps(), 1):
+        q = f"SELECT * EXCLUDE ({last}), {step(last)} AS s{k} FROM ({q})"
+        last = f"s{k}"
+    return f"SELECT i, {last} AS canon FROM ({q})"
 
 
 @cache
@@ -190,22 +220,73 @@ def connection():
     return con
 
 
-def run_sql(query: str, batch: pa.Table | pa.RecordBatch, name: str) -> pa.Table:
+def run_sql(query: str, batch: pa.Table) -> pa.Table:
     con = connection()
-    con.register(name, batch if isinstance(batch, pa.Table) else pa.Table.from_batches([batch]))
+    con.register("batch_t", batch)
     try:
         result = con.sql(query)
         return result.to_arrow_table() if hasattr(result, "to_arrow_table") else result.fetch_arrow_table()
     finally:
-        con.unregister(name)
+        con.unregister("batch_t")
+
+
+def rewritten(number: pa.Array, texts: pa.Array, flags: dict[str, bool] | None = None) -> tuple[list[int], pa.Array]:
+    """Number and form of the suspect ones of some texts, by one run of the SQL."""
+    table = {"i": number, "text": texts} | {f: pa.array([(flags or {}).get(f)] * len(texts), pa.bool_()) if flags else pa.nulls(len(texts), pa.bool_()) for f in FLAGS}
+    out = run_sql(canonical_sql(), pa.table(table))
+    return out.column("i").to_pylist(), out.column("canon").combine_chunks()
+
+
+def parts_of(text: str, size: int) -> Iterator[str]:
+    """A long text in parts of at least ``size`` characters that begin at a blank, or at a letter that nothing before it changes."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        blank = next((m.start() for m in BLANK.finditer(text, end, end + 10_000)), None)
+        if blank is None:
+            blank = next((m.start() for m in FREE.finditer(text, end)), len(text))
+        yield text[at:blank]
+        at = blank
+
+
+#: Where a part may begin: an ordinary blank; else a Thai consonant, Chinese or Japanese letter after one.
+BLANK, FREE = re.compile(r"(?<=\S)[ \n]"), re.compile(r"(?<=[ก-ฮぁ-ヺ一-鿿])[ก-ฮぁ-ヺ一-鿿]| ")
+
+
+def long_form(text: str) -> str:
+    """The form of one text of more than ``SLICE`` bytes."""
+    whole = {f: bool(re.search("[" + re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), chars) + "]", text)) for f, chars in FLAGS.items()}
+    out = []
+    for part in parts_of(text, SLICE // 4):
+        number, canon = rewritten(pa.array([0], pa.int64()), pa.array([part], pa.string()), whole)
+        out.append(canon[0].as_py() if number else part)
+    return "".join(out)
+
+
+def changed(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[list[int], pa.Array]]:
+    """Numbers and forms of the suspect texts, slice by slice; every other text is its own form."""
+    texts = texts.cast(pa.string())
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    total = np.cumsum(sizes.astype(np.int64))
+    a = 0
+    while a < len(texts):
+        done = total[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(total, done + SLICE, "right")))
+        if b == a + 1 and sizes[a] > SLICE:
+            yield [a], pa.array([long_form(texts[a].as_py())], pa.string())
+        else:
+            yield rewritten(pa.array(range(a, b), pa.int64()), texts.slice(a, b - a))
+        a = b
 
 
 def canonical_array(texts: pa.Array) -> list[str | None]:
     """The consistent form of each text, in order; for use inside other operators' workers."""
-    batch = pa.table({"i": pa.array(range(len(texts)), pa.int64()), "text": texts.cast(pa.string())})
-    out, done = run_sql(f"SELECT i, canon FROM ({canonical_sql('text', 'batch_t')})", batch, "batch_t"), texts.to_pylist()
-    for i, canon in zip(out.column("i").to_pylist(), out.column("canon").to_pylist(), strict=True):
-        done[i] = canon
+    done = texts.to_pylist()
+    for number, canon in changed(texts):
+        for i, c in zip(number, canon.to_pylist(), strict=True):
+            done[i] = c
     return done
 
 
@@ -220,17 +301,25 @@ def canonical(df: DataFrame, ids: list[str], text: str, only_changed: bool = Fal
     if only_changed:
         src = src.filter(F.col("text").rlike(r"[^\x00-\x7f]"))
     fields = [src.schema[c] for c in ids] + ([T.StructField("text", T.StringType()), T.StructField("canon", T.StringType())] if with_text else [])
-    cols = ", ".join([f'"{c}"' for c in ids] + (["text", "canon"] if with_text else []))
-    query = f"SELECT {cols} FROM ({canonical_sql('text', 'batch_t')})"
-    if only_changed:
-        query += " WHERE canon IS DISTINCT FROM text"
-    else:
-        query += f" UNION ALL SELECT {cols.replace(', canon', ', text AS canon')} FROM batch_t WHERE text IS NULL OR NOT regexp_matches(text, '{suspect()}')"
+    names = [f.name for f in fields]
+
+    def rows(batch: pa.RecordBatch, number: pa.Array, canon: pa.Array) -> pa.RecordBatch:
+        columns = [batch.column(k).take(number) for k in range(len(ids) + with_text)]
+        return pa.RecordBatch.from_arrays([*columns, *([canon] if with_text else [])], names)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = run_sql(query, batch, "batch_t")
-                yield from out.to_batches()
+            texts, told = batch.column(len(ids)), np.zeros(batch.num_rows, bool)
+            for number, canon in changed(texts):
+                at = pa.array(number, pa.int64())
+                told[number] = True
+                if only_changed:
+                    differs = pc.not_equal(canon, texts.take(at).cast(pa.string()))
+                    at, canon = at.filter(differs), canon.filter(differs)
+                if len(at):
+                    yield rows(batch, at, canon)
+            if not only_changed and not told.all():
+                rest = pa.array(np.flatnonzero(~told))
+                yield rows(batch, rest, texts.take(rest))
 
     return src.mapInArrow(convert, T.StructType(fields))

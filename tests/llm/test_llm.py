@@ -110,11 +110,39 @@ def test_form_is_stable_and_prefilter_whole():
     texts = [" ".join(rng.choices(pool, k=4)) for _ in range(400)] + ["".join(rng.sample("".join(pool), 12)) for _ in range(400)]
     once = p2.canonical_array(pa.array(texts))
     assert p2.canonical_array(pa.array(once[:400])) == once[:400]
-    full = p2.run_sql(p2.canonical_sql("t", "x").replace(f"WHERE regexp_matches(t, '{p2.suspect()}')", ""), pa.table({"t": texts}), "x").column("canon").to_pylist()
+    table = pa.table({"i": range(len(texts)), "text": texts} | {f: pa.nulls(len(texts), pa.bool_()) for f in p2.FLAGS})
+    full = p2.run_sql(p2.canonical_sql(where=False), table).sort_by("i").column("canon").to_pylist()
     assert once == full
     assert not re.search("[\u200b\u2060\u00ad\ufeff\u00a0\u2007]", "".join(once))
 
 
+def test_letters_of_other_alphabets():
+    """Greek and Arabic letters stay where they are usual, and change in words and texts of another alphabet."""
+    same = ["α = 0.05", "αβγ", "Το σχολείο είναι εδώ", "λ and α", "كيف الحال يا صديقي", "ο Άγιος"]
+    assert p2.canonical_array(pa.array(same)) == same
+    assert p2.canonical_array(pa.array(["cαfé οld", "SΜS", "ο Μ", "يہ كيا ہے"])) == ["cafe\u0301 old".replace("e\u0301", "é"), "SMS", "o M", "یہ کیا ہے"]
+
+
+def test_long_texts_and_large_batches():
+    """2,000 texts of 20 KB and one of 20 MB, in slices; a long text has the form of its parts."""
+    line = "Tarvimο का\u200b plan बंद है\u00a0- ｖ４ "
+    many = pa.array([line * (20_000 // len(line.encode()))] * 2000)
+    done = p2.canonical_array(many)
+    assert len(set(done)) == 1 and "ο" not in done[0] and "\u200b" not in done[0] and "v4" in done[0]
+    one = p2.canonical_array(pa.array([line * (20_000_000 // len(line.encode())), None, "x"]))
+    assert one[0].startswith(done[0]) and one[1:] == [None, "x"] and one[0] == p2.canonical_array(pa.array([line]))[0] * (20_000_000 // len(line.encode()))
+
+
+def test_parts_of_a_long_text(monkeypatch):
+    rng = random.Random(11)
+    pool = [a for a, _ in FORMS] + PLAIN
+    texts = ["".join(rng.choices(pool, k=9)) for _ in range(8)] + [" ".join(rng.choices(pool, k=9)) for _ in range(8)]
+    want = p2.canonical_array(pa.array(texts))
+    monkeypatch.setattr(p2, "SLICE", 40)
+    assert all("".join(p2.parts_of(t, 10)) == t for t in texts)
+    assert p2.canonical_array(pa.array(texts)) == want
+
+
 def test_found_rows(spark):
     df = spark.createDataFrame([(1, "a​b", "x"), (2, "ab", "y"), (3, None, "z"), (3, "ａ", "z")], "row_id int, text string, canon string")
     assert sorted(r.row_id for r in p2.canonical(df, ["row_id"], "text", only_changed=True, with_text=False).collect()) == [1, 3]
