@@ -424,16 +424,54 @@ def read_as(text, codec):
 
 
 def test_garbled_round_trip(samples):
-    known = tuple(sorted({t for _, t in samples}))
-    texts = [t for t in known if not t.isascii() and sum(ord(c) > 127 for c in t) > 3]
-    assert not [t for t in known if p9.is_garbled(t, known)]
-    for codec in ("cp1252", "latin-1", "cp1251", "cp437", "cp850", "mac_roman"):
+    """Every pair of UTF-8 with a wrong encoding on sentences that the counts don't know."""
+    every = sorted({t for _, t in samples})
+    known, held = tuple(every[::2]), every[1::2]
+    texts = [t for t in held if not t.isascii() and sum(ord(c) > 127 for c in t) > 3]
+    assert not [t for t in every if p9.is_garbled(t, known)]
+    for codec in p9.WRONG:
         bad = [read_as(t, codec) for t in texts]
-        assert all(p9.is_garbled(t, known) for t in bad)
+        assert sum(p9.is_garbled(t, known) for t in bad) / len(bad) > 0.98, codec
         back = [p9.restore(t, known)[0] == u for t, u in zip(bad, texts, strict=True)]
         assert sum(back) / len(back) > 0.98, codec
     twice = [read_as(read_as(t, "cp1252"), "cp1252") for t in texts]
     assert sum(p9.restore(t, known)[0] == u for t, u in zip(twice, texts, strict=True)) / len(texts) > 0.98
+    four = read_as(read_as(read_as(read_as("été à côté", "cp1252"), "cp1252"), "cp1252"), "cp1252")
+    assert p9.restore(four, known)[0] == "été à côté"
+
+
+def test_restored_or_left(samples):
+    """A restoration is right or isn't made."""
+    known = tuple(sorted({t for _, t in samples}))
+    right = [("año", "utf-8", "cp1253"), ("łódź", "utf-8", "cp852"), ("Où", "utf-8", "iso8859_2"), ("žluť", "utf-8", "cp1250"), ("naïve café", "cp1252", "mac_roman"), ("señor ¿qué?", "cp1252", "cp850"), ("Привет", "cp1251", "cp1252"), ("مرحبا بالعالم كيف الحال", "cp1256", "cp1252"), ("€5 – “hi”", "utf-8", "cp1252")]
+    for text, true, wrong in right:
+        assert p9.restore("".join(p9.tables(wrong)[0][b] for b in text.encode(true)), known)[0] == text, text
+    for text, true, wrong in [("łódź", "cp852", "cp1252"), ("naïve café", "cp850", "cp1252")]:
+        bad = "".join(p9.tables(wrong)[0][b] for b in text.encode(true))
+        assert all(a in (b, c) for a, b, c in zip(p9.restore(bad, known)[0], bad, text, strict=True)), text
+    good, n, whole = p9.restored(read_as("यह बिल्कुल सही", "cp1252").replace("\x8d", ""), known)
+    assert n and not whole
+
+
+def test_garbled_in_linear_time(samples):
+    import time
+
+    known = tuple(sorted({t for _, t in samples}))
+    p9.restore(read_as(known[0] + "é", "cp1252"), known)
+    rng = random.Random(4)
+    text = read_as(" ".join("".join(rng.choice("абвгдежзиклмнопрсту") for _ in range(7)) for _ in range(10_000)), "cp1252")[:150_000]
+    began = time.process_time()
+    assert p9.is_garbled(text, known)
+    assert time.process_time() - began < 1
+    times = []
+    for n in (40_000, 150_000):
+        began = time.process_time()
+        p9.restore(text[:n], known)
+        times.append(time.process_time() - began)
+    assert times[1] < 8 * max(times[0], 0.2), times
+    began = time.process_time()
+    p9.restore(("caf\u00c3\u00a9 \u0420\u0451" * 30_000)[:150_000], known)
+    assert time.process_time() - began < 3
 
 
 def test_only_matched_spans_change(samples):
