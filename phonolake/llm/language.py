@@ -3,9 +3,11 @@
 Method: hashed subwords (runs of one to four letters with word ends) have embeddings; a
 sentence is their average; a linear softmax gives languages. Embeddings and weights are
 trained together by stochastic gradient descent in numpy on labelled sentences (a few hundred,
-a fixed table) and parts of them, and the probabilities are calibrated on parts kept aside. A
-sentence whose probability is too low is rejected: it takes the language of its neighbours, by
-the best path over the sentences with a price for each change.
+a fixed table) and parts of them, in small steps of ``STEP`` rows, and the probabilities are
+calibrated on parts kept aside. The limit of rejection is calibrated on them too: a stretch less
+sure than all but ``LOST`` of the kept parts of its length is of no known language (``und``). A
+sentence that alone isn't trusted leans on its neighbours, by the best path over the sentences
+with a price for each change.
 
 Defined results: null and blank texts have no segment; a text without letters has the language
 ``und`` with confidence 0; one-language texts are one segment; offsets count code points of
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,16 @@ from phonolake.llm.canonical import canonical_array
 from phonolake.llm.sentences import BLANKS, trained
 
 BUCKETS, WIDTH, ORDERS = 2**15, 16, (1, 2, 3, 4)
-PARTS, EPOCHS, RATE = 8, 9, 1.0
+PARTS, EPOCHS, RATE, STEP = 8, 9, 1.0, 16
 #: Probability under which a sentence alone is not trusted; price of a change of language.
 REJECT, CHANGE = 0.55, 1.2
 CHARS = 200_000
-#: Rows of a labelled table that the training takes at most; share of right labels it counts with; how sure a sentence's language must be.
-LABELLED, RIGHT, SURE = 4000, 0.85, 0.9
+#: Share of the kept parts that rejection may lose; a part's letters from which it has the limit of long ones.
+LOST, LONG = 0.02, 25
+#: Sentences whose probabilities a worker keeps between batches.
+KEEP = 100_000
+#: Rows of a labelled table that the training takes at most, and their length in characters; share of right labels it counts with; how sure a sentence's language must be.
+LABELLED, LABELLED_CHARS, RIGHT, SURE = 4000, 2000, 0.85, 0.9
 # Usual names and codes of the languages.
 NAMES = {
     "hi": "hi hin hindi हिन्दी हिंदी hinglish", "en": "en eng english", "mr": "mr mar marathi मराठी", "bn": "bn ben bengali bangla বাংলা", "ta": "ta tam tamil தமிழ்",
@@ -99,12 +106,27 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 #: Blocks of the scripts: letters outside them count as Latin.
 SCRIPTS = {"cyrillic": "[\u0400-\u052f]", "arabic": "[\u0600-\u06ff\u0750-\u077f]", "devanagari": "[\u0904-\u0939\u0958-\u0961]", "bengali": "[\u0980-\u09ff]", "tamil": "[\u0b80-\u0bff]", "thai": "[\u0e00-\u0e7f]", "kana": "[\u3041-\u30ff]", "han": "[\u3400-\u9fff]"}
-SCRIPT_RES = [re.compile(x) for x in SCRIPTS.values()]
 
 
-def scripts_of(text: str) -> np.ndarray:
-    """Which of the scripts a text has letters of."""
-    return np.zeros(len(SCRIPT_RES), bool) if text.isascii() else np.array([bool(r.search(text)) for r in SCRIPT_RES])
+@cache
+def script_table() -> np.ndarray:
+    """Code point: the number of its script, from 1; 0 for all others."""
+    out = np.zeros(0x3000 + 1, np.uint8)
+    han = list(SCRIPTS).index("han") + 1
+    for k, block in enumerate(SCRIPTS.values(), 1):
+        find = re.compile(block)
+        out[[c for c in range(len(out)) if find.match(chr(c))]] = k
+    return np.append(out, np.where([SCRIPTS["han"][1] <= chr(c) <= SCRIPTS["han"][3] for c in range(len(out), 0xA001)], han, 0).astype(np.uint8))
+
+
+def scripts_of(texts: list[str]) -> np.ndarray:
+    """Which of the scripts each text has letters of, by one look at the table for all of them."""
+    table = script_table()
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    out = np.zeros((len(texts), len(SCRIPTS) + 1), bool)
+    out[owner, table[np.minimum(code, len(table) - 1)]] = True
+    return out[:, 1:]
 
 
 def once(text: str) -> str:
@@ -117,11 +139,13 @@ class Classifier:
 
     ``uses`` tells the share of each class's training sentences with letters of each script; a
     class that has never or nearly never a script of the text, or always one that it lacks, is
-    out of the question for it.
+    out of the question for it. ``limits`` are the probabilities of rejection, of short and long
+    texts.
     """
 
     def __init__(self, table: np.ndarray, bias: np.ndarray, classes: list[str], heat: float, uses: np.ndarray) -> None:
         self.table, self.bias, self.classes, self.heat, self.uses = table, bias, classes, heat, uses
+        self.limits = [0.0, 0.0]
         self.languages = sorted({c.split("-")[0] for c in classes})
         self.sums = np.array([[c.split("-")[0] == lang for lang in self.languages] for c in classes], np.float64)
 
@@ -147,7 +171,7 @@ class Classifier:
     def probabilities(self, texts: list[str]) -> np.ndarray:
         """Calibrated probability of each language; even where a text has no letters."""
         z, size = self.scores([once(t) for t in texts])
-        has = np.stack([scripts_of(t) for t in texts]) if texts else np.zeros((0, len(SCRIPT_RES)), bool)
+        has = scripts_of(texts)
         # a class of a script of its own needs letters of one of its scripts; one without kana can't have written kana
         own = self.uses > 0.5
         fits = ~own.any(axis=1)[None, :] | (has[:, None, :] & own[None, :, :]).any(axis=2)
@@ -175,6 +199,18 @@ def train(samples: list[tuple[str, str]], labelled: list[tuple[str, str]] = (),
     sentences; the model of the sentences alone and the label together tell each one's
     language where they are sure, and the model is trained again with these.
     """
+    key = (tuple(samples), tuple(labelled), seed)
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = _train(samples, labelled, seed)
+    return _MODELS[key]
+
+
+#: The last model trained on this driver, by what it was trained on.
+_MODELS: dict[tuple, Classifier] = {}
+
+
+def _train(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], seed: int) -> Classifier:
     model = fitted(samples, seed)
     if not labelled:
         return model
@@ -225,27 +261,37 @@ def fitted(samples: list[tuple[str, str]], seed: int, more: list[tuple[str, str]
     emb = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     weights, bias = rng.normal(0, 0.1, (WIDTH, len(classes))), np.zeros(len(classes))
     own_rows = np.flatnonzero(~held & (np.diff(starts) > 0))
+    size = np.diff(starts)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for i in rng.permutation(own_rows):
-            b = bucket[starts[i] : starts[i + 1]]
-            x = emb[b].mean(axis=0)
-            z = x @ weights + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[labels[i]] -= 1
-            step = weights @ p
-            weights -= rate * np.outer(x, p)
-            bias -= 0.1 * rate * p
-            np.subtract.at(emb, b, rate * step / np.sqrt(len(b)) / 2)
+        order = rng.permutation(own_rows)
+        for k in range(0, len(order), STEP):
+            rows = order[k : k + STEP]
+            n = size[rows]
+            first = np.cumsum(n) - n
+            b = bucket[np.arange(n.sum()) + np.repeat(starts[rows] - first, n)]
+            x = np.add.reduceat(emb[b], first, axis=0) / n[:, None]
+            p = softmax(x @ weights + bias)
+            p[np.arange(len(rows)), labels[rows]] -= 1
+            step = (p @ weights.T) * (rate / np.sqrt(n) / 2)[:, None]
+            weights -= rate * (x.T @ p)
+            bias -= 0.1 * rate * p.sum(axis=0)
+            np.subtract.at(emb, b, np.repeat(step, n, axis=0))
     table = (emb @ weights).astype(np.float32)
-    uses = np.array([np.mean([scripts_of(t) for name, t in zip(names, canon, strict=True) if name == c], axis=0) for c in classes])
+    has = scripts_of(canon)
+    uses = np.array([has[[name == c for name in names]].mean(axis=0) for c in classes])
     model = Classifier(table, bias, classes, 1.0, uses)
-    z, _ = model.scores([t for t, h in zip(texts, held, strict=True) if h])
+    kept = [t for t, h in zip(texts, held, strict=True) if h]
+    z, _ = model.scores(kept)
     y = labels[held]
     heats = np.geomspace(0.2, 5, 40)
     loss = [-np.log(softmax(z * h)[np.arange(len(y)), y] + 1e-12).mean() for h in heats]
     model.heat = float(heats[int(np.argmin(loss))]) if len(y) else 1.0
+    own = model.probabilities(kept)[np.arange(len(y)), model.sums[y].argmax(axis=1)] if len(y) else np.zeros(0)
+    length = np.array([sum(c.isalpha() for c in t) for t in kept])
+    for long in (False, True):
+        sure = own[(length >= LONG) == long]
+        model.limits[long] = float(np.quantile(sure, LOST)) if len(sure) else 0.0
     return model
 
 
@@ -286,14 +332,43 @@ def path(p: np.ndarray) -> list[int]:
 
 
 def labelled_rows(df: DataFrame, key: str, text: str, label: str, rows: int = LABELLED) -> list[tuple[str, str]]:
-    """A bounded sample of rows whose label names one of the languages: the lowest hashes of their keys, at most ``rows``."""
+    """A bounded sample of rows whose label names one of the languages: the lowest hashes of their keys, at most ``rows``, of less than ``LABELLED_CHARS`` characters, as they go to the driver."""
     named = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), label_language(F.col(f"`{label}`")).alias("lang"))
-    named = named.filter(F.col("lang").isin(list(NAMES)) & (F.length("t") > 0) & (F.length("t") < 2000))
+    named = named.filter(F.col("lang").isin(list(NAMES)) & (F.length("t") > 0) & (F.length("t") < LABELLED_CHARS))
     return [(r["lang"], r["t"]) for r in named.orderBy(F.xxhash64("k"), "k").select("lang", "t").limit(rows).collect()]
 
 
-def segments(df: DataFrame, ids: list[str], text: str, samples: list[tuple[str, str]], labelled: list[tuple[str, str]] = (), carry: list[str] | None = None) -> DataFrame:
-    """Ids (and carried columns), seg_no, n_segs, n_langs, start_char, end_char, lang and confidence of each stretch in one language."""
+class Scorer:
+    """The model in a worker: probabilities of raw sentences, kept for those that come again."""
+
+    def __init__(self, model: Classifier) -> None:
+        self.model, self.kept = model, {}
+
+    def __call__(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities by language, number of letters and of characters of each sentence."""
+        kept = self.kept
+        new = [t for t in dict.fromkeys(sentences) if t not in kept]
+        if len(kept) + len(new) > KEEP:
+            kept.clear()
+            new = list(dict.fromkeys(sentences))
+        if new:
+            canon = canonical_array(pa.array(new, pa.string()))
+            distinct = {t: k for k, t in enumerate(dict.fromkeys(canon))}
+            p = self.model.probabilities(list(distinct))
+            for raw, t in zip(new, canon, strict=True):
+                kept[raw] = (p[distinct[t]], sum(map(str.isalpha, t)), len(t))
+        rows = [kept[t] for t in sentences]
+        if not rows:
+            return np.empty((0, len(self.model.languages))), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.stack([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+
+
+def segments(df: DataFrame, ids: list[str], text: str, samples: list[tuple[str, str]], labelled: list[tuple[str, str]] = (), carry: list[str] | None = None, reject: bool = True) -> DataFrame:
+    """Ids (and carried columns), seg_no, n_segs, n_langs, start_char, end_char, lang and confidence of each stretch in one language.
+
+    With ``reject`` a stretch that isn't sure enough has the language ``und``; its confidence is
+    that of the likeliest one.
+    """
     known = tuple(sorted(set(samples)))
     model = train(list(known), labelled)
     keep = [*ids, *(carry or [])]
@@ -303,33 +378,38 @@ def segments(df: DataFrame, ids: list[str], text: str, samples: list[tuple[str,
     splitter = trained(known)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from phonolake.llm.tokens import portions
+
+        score = Scorer(model)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            spans = [units(t, splitter.split(t)) for t in texts]
-            flat = canonical_array(pa.array([t[a:b] for t, s in zip(texts, spans, strict=True) for a, b in s], pa.string()))
-            distinct = {t: k for k, t in enumerate(dict.fromkeys(flat))}
-            p_all = model.probabilities(list(distinct)) if distinct else np.empty((0, len(model.languages)))
-            rows, values, at = [], [], 0
-            for i, s in enumerate(spans):
-                if not s:
-                    continue
-                mine = flat[at : at + len(s)]
-                p = p_all[[distinct[t] for t in mine]]
-                at += len(s)
-                way = path(p)
-                runs = [k for k in range(len(way)) if k == 0 or way[k] != way[k - 1]]
-                langs = {way[k] for k in runs}
-                for no, k in enumerate(runs):
-                    end = runs[no + 1] if no + 1 < len(runs) else len(way)
-                    sizes = np.array([len(t) for t in mine[k:end]], float)
-                    letters = any(c.isalpha() for t in mine[k:end] for c in t)
-                    sure = float((p[k:end, way[k]] * sizes).sum() / sizes.sum()) if letters else 0.0
-                    rows.append(i)
-                    values.append((no, len(runs), len(langs), s[k][0], s[end - 1][1], model.languages[way[k]] if letters else "und", sure))
-            take = pa.array(rows, pa.int64())
-            columns = list(zip(*values, strict=True)) if values else [[]] * 7
-            types = [pa.int32()] * 5 + [pa.string(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(keep))), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [*keep, "seg_no", "n_segs", "n_langs", "start_char", "end_char", "lang", "confidence"])
+            all_texts = batch.column(len(keep)).to_pylist()
+            for first, last in portions(all_texts):
+                texts = all_texts[first:last]
+                spans = [units(t, splitter.split(t)) for t in texts]
+                p, letters, sizes = score([t[a:b] for t, s in zip(texts, spans, strict=True) for a, b in s])
+                top = p.argmax(axis=1)
+                rows, values, at = [], [], 0
+                for i, s in enumerate(spans, first):
+                    if not s:
+                        continue
+                    end_at = at + len(s)
+                    way = top[at:end_at]
+                    if (way != way[0]).any():  # else no change can pay
+                        way = np.array(path(p[at:end_at]))
+                    cuts = [0, *(np.flatnonzero(way[1:] != way[:-1]) + 1).tolist(), len(s)]
+                    langs = len(set(way.tolist()))
+                    for no, (k, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        mine, lang = slice(at + k, at + end), way[k]
+                        n = int(letters[mine].sum())
+                        sure = float(p[mine, lang] @ sizes[mine] / sizes[mine].sum()) if n else 0.0
+                        name = model.languages[lang] if n and not (reject and sure < model.limits[n >= LONG]) else "und"
+                        rows.append(i)
+                        values.append((no, len(cuts) - 1, langs, s[k][0], s[end - 1][1], name, sure))
+                    at = end_at
+                take = pa.array(rows, pa.int64())
+                columns = list(zip(*values, strict=True)) if values else [[]] * 7
+                types = [pa.int32()] * 5 + [pa.string(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(keep))), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [*keep, "seg_no", "n_segs", "n_langs", "start_char", "end_char", "lang", "confidence"])
 
     return src.mapInArrow(convert, f"{kinds}, seg_no int, n_segs int, n_langs int, start_char int, end_char int, lang string, confidence double")
 
@@ -338,5 +418,5 @@ def mislabelled(df: DataFrame, ids: list[str], text: str, label: str, samples: l
     """The segments of rows whose label names no language, or another than the only one, or that have several."""
     marked = df.withColumn("__named", label_language(F.col(f"`{label}`")))
     told = labelled_rows(df, ids[0], text, label)
-    found = segments(marked.filter(F.trim(F.translate(F.col(f"`{text}`"), BLANKS, "")) != ""), ids, text, samples, told, ["__named"])
+    found = segments(marked.filter(F.trim(F.translate(F.col(f"`{text}`"), BLANKS, "")) != ""), ids, text, samples, told, ["__named"], reject=False)
     return found.filter((F.col("__named") == "") | (F.col("n_langs") > 1) | (F.col("__named") != F.col("lang"))).drop("__named")

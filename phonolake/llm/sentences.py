@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,7 @@ PLAIN = {c: chr(c - 0xFEE0) for c in range(0xFF10, 0xFF5B) if chr(c).isalnum()}
 SHORT_LAST = {"etc", "usw", "p.m", "a.m", "p.m.", "и т.д", "т.д", "т.п", "др", "al", "jr", "sr"}
 #: Cyrillic and Greek letters that look like Latin ones, in words that are otherwise Latin.
 LIKE_LATIN = str.maketrans("аеорсухѕіјАВЕЅІЈКМНОРСТУХοΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxsijABESIJKMHOPCTYXoABEZHIKMNOPTYX")
+ODD = re.compile("[" + "".join(map(chr, PLAIN)) + "]")
 GHOSTS = "­​‌‍⁠﻿"
 
 GAP = re.compile(rf"[{re.escape(MARKS)}][{re.escape(MARKS + CLOSERS + GHOSTS)}]*|(?<=[{THAI}]) +(?=[{THAI}])|[ \t]*[{BREAKS}]\s*")
@@ -56,6 +58,7 @@ BLANKS = " \t" + BREAKS + "".join(chr(c) for c, x in PLAIN.items() if x == " ")
 NONE, END = 0, 1
 
 
+@lru_cache(1 << 17)
 def shape(word: str, capitals: bool, ends: bool = True) -> str:
     """Class of a word: how its first letters look; among capitals they tell nothing. ``ends``: it stands before a mark."""
     if not word:
@@ -78,6 +81,7 @@ def shape(word: str, capitals: bool, ends: bool = True) -> str:
     return "."
 
 
+@lru_cache(1 << 17)
 def cleaned(word: str) -> str:
     """A word without invisible and look-alike characters."""
     if word.isascii():
@@ -89,6 +93,7 @@ def cleaned(word: str) -> str:
     return latin if latin.isascii() and (latin.lower() in SHORT or any("a" <= c <= "z" for c in word.lower())) else word
 
 
+@lru_cache(1 << 17)
 def script(word: str) -> str:
     """Latin, or the script of the first letter."""
     c = next((c for c in word if c.isalpha()), "")
@@ -148,7 +153,7 @@ class Gap:
 
 def gaps(text: str) -> list[Gap]:
     """All places of a text where a sentence may end, with what the model looks at."""
-    plain = text.translate(PLAIN)
+    plain = text if text.isascii() or not ODD.search(text) else text.translate(PLAIN)
     spans = None
     out: list[Gap] = []
     n = len(plain)

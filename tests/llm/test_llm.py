@@ -212,6 +212,35 @@ def test_language_held_out(samples):
     assert np.mean(np.array(right)[sure]) > 0.97
 
 
+FOREIGN = [
+    "Il pacco non è ancora arrivato e nessuno risponde al telefono.", "De vergadering van morgen is helaas afgezegd door ziekte.", "오늘 회의는 취소되었습니다. 내일 다시 연락드리겠습니다.",
+    "Η συνάντηση ακυρώθηκε λόγω ασθένειας και θα γίνει αύριο.", "Mötet i morgon är tyvärr inställt på grund av sjukdom.",
+]
+
+
+def test_rejection(spark, samples):
+    """Languages that the model doesn't know are rejected, and few held-out sentences of those it knows."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(FOREIGN)], "i int, t string")
+    assert {r.lang for r in p4.segments(df, ["i"], "t", samples).collect()} == {"und"}
+    assert "und" not in {r.lang for r in p4.segments(df, ["i"], "t", samples, reject=False).collect()}
+    held = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(samples[1::2])], "i int, t string")
+    got = [r.lang for r in p4.segments(held, ["i"], "t", samples[::2]).collect()]
+    assert got.count("und") / len(got) < 0.1
+
+
+def test_model_is_trained_once(samples, monkeypatch):
+    first = p4.train(samples)
+    monkeypatch.setattr(p4, "fitted", None)
+    assert p4.train(samples) is first
+
+
+def test_scripts_by_table():
+    import re
+
+    texts = ["", "abc", "Щи борщ", "नमस्ते", "你好ですアx", "สวัสดี", "\U0001f4de\U00020000", "اردو বাংলা தமிழ்"]
+    assert p4.scripts_of(texts).tolist() == [[bool(re.search(b, t)) for b in p4.SCRIPTS.values()] for t in texts]
+
+
 def test_rounds_are_fixed(samples, monkeypatch):
     """As many rounds however many labelled sentences there are."""
     made = np.random.default_rng
