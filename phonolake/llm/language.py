@@ -4,10 +4,10 @@ Method: hashed subwords (runs of one to four letters with word ends) have embedd
 sentence is their average; a linear softmax gives languages. Embeddings and weights are
 trained together by stochastic gradient descent in numpy on labelled sentences (a few hundred,
 a fixed table) and parts of them, in small steps of ``STEP`` rows, and the probabilities are
-calibrated on parts kept aside. The limit of rejection is calibrated on them too: a stretch less
-sure than all but ``LOST`` of the kept parts of its length is of no known language (``und``). A
-sentence that alone isn't trusted leans on its neighbours, by the best path over the sentences
-with a price for each change.
+calibrated on parts kept aside. The limit of rejection is calibrated on whole sentences that a
+second model wasn't trained on: a stretch less sure than all but ``LOST`` of them is of no known
+language (``und``). A sentence that alone isn't trusted leans on its neighbours, by the best path
+over the sentences with a price for each change.
 
 Defined results: null and blank texts have no segment; a text without letters has the language
 ``und`` with confidence 0; one-language texts are one segment; offsets count code points of
@@ -29,12 +29,12 @@ from phonolake.llm.canonical import canonical_array
 from phonolake.llm.sentences import BLANKS, trained
 
 BUCKETS, WIDTH, ORDERS = 2**15, 16, (1, 2, 3, 4)
-PARTS, EPOCHS, RATE, STEP = 8, 9, 1.0, 16
+PARTS, EPOCHS, RATE, STEP = 8, 9, 0.5, 16
 #: Probability under which a sentence alone is not trusted; price of a change of language.
 REJECT, CHANGE = 0.55, 1.2
 CHARS = 200_000
-#: Share of the kept parts that rejection may lose; a part's letters from which it has the limit of long ones.
-LOST, LONG = 0.02, 25
+#: Share of the sentences kept aside (one of ``FOLDS``) that rejection may lose; letters from which a text has the limit of long ones.
+LOST, LONG, FOLDS = 0.05, 15, 4
 #: Sentences whose probabilities a worker keeps between batches.
 KEEP = 100_000
 #: Rows of a labelled table that the training takes at most, and their length in characters; share of right labels it counts with; how sure a sentence's language must be.
@@ -111,22 +111,21 @@ SCRIPTS = {"cyrillic": "[\u0400-\u052f]", "arabic": "[\u0600-\u06ff\u0750-\u077f
 @cache
 def script_table() -> np.ndarray:
     """Code point: the number of its script, from 1; 0 for all others."""
-    out = np.zeros(0x3000 + 1, np.uint8)
-    han = list(SCRIPTS).index("han") + 1
+    out = np.zeros(0xA001, np.uint8)
     for k, block in enumerate(SCRIPTS.values(), 1):
-        find = re.compile(block)
-        out[[c for c in range(len(out)) if find.match(chr(c))]] = k
-    return np.append(out, np.where([SCRIPTS["han"][1] <= chr(c) <= SCRIPTS["han"][3] for c in range(len(out), 0xA001)], han, 0).astype(np.uint8))
+        for first, last in re.findall("(.)-(.)", block[1:-1]):
+            out[ord(first) : ord(last) + 1] = k
+    return out
 
 
 def scripts_of(texts: list[str]) -> np.ndarray:
-    """Which of the scripts each text has letters of, by one look at the table for all of them."""
+    """How many letters of each of the scripts a text has, by one look at the table for all of them."""
     table = script_table()
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    out = np.zeros((len(texts), len(SCRIPTS) + 1), bool)
-    out[owner, table[np.minimum(code, len(table) - 1)]] = True
-    return out[:, 1:]
+    kind = table[np.minimum(code, len(table) - 1)]
+    odd = kind > 0
+    return np.bincount(owner[odd] * len(SCRIPTS) + kind[odd] - 1, minlength=len(texts) * len(SCRIPTS)).reshape(len(texts), len(SCRIPTS))
 
 
 def once(text: str) -> str:
@@ -171,12 +170,16 @@ class Classifier:
     def probabilities(self, texts: list[str]) -> np.ndarray:
         """Calibrated probability of each language; even where a text has no letters."""
         z, size = self.scores([once(t) for t in texts])
-        has = scripts_of(texts)
+        many = scripts_of(texts)
+        has = many > 0
         # a class of a script of its own needs letters of one of its scripts; one without kana can't have written kana
         own = self.uses > 0.5
         fits = ~own.any(axis=1)[None, :] | (has[:, None, :] & own[None, :, :]).any(axis=2)
         kana = list(SCRIPTS).index("kana")
         fits &= ~(has[:, kana][:, None] & (self.uses[:, kana] < 0.02)[None, :] & own.any(axis=1)[None, :])
+        # most of the letters aren't of a script that the class never uses
+        letters = np.array([sum(map(str.isalpha, t)) for t in texts])
+        fits &= ~((many * 2 > letters[:, None])[:, None, :] & (self.uses < 0.02)[None, :, :]).any(axis=2)
         fits[~fits.any(axis=1)] = True
         p = softmax(np.where(fits, z * self.heat, -50.0)) @ self.sums
         p[size == 0] = 1 / len(self.languages)
@@ -212,6 +215,7 @@ _MODELS: dict[tuple, Classifier] = {}
 
 def _train(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], seed: int) -> Classifier:
     model = fitted(samples, seed)
+    bounds = model.limits = limits(samples, seed)
     if not labelled:
         return model
     splitter = trained(tuple(sorted(set(samples))))
@@ -227,7 +231,9 @@ def _train(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], seed
     odds = n * np.log(RIGHT) + (n.sum(axis=1, keepdims=True) - n) * wrong + 0.5 * np.log(model.probabilities(texts) + 1e-9)
     p = softmax(odds)
     more = [(model.languages[k], t) for k, t, sure in zip(p.argmax(axis=1), texts, p.max(axis=1), strict=True) if sure > SURE]
-    return fitted(samples, seed, more)
+    model = fitted(samples, seed, more)
+    model.limits = bounds
+    return model
 
 
 def fitted(samples: list[tuple[str, str]], seed: int, more: list[tuple[str, str]] = ()) -> Classifier:
@@ -278,7 +284,7 @@ def fitted(samples: list[tuple[str, str]], seed: int, more: list[tuple[str, str]
             bias -= 0.1 * rate * p.sum(axis=0)
             np.subtract.at(emb, b, np.repeat(step, n, axis=0))
     table = (emb @ weights).astype(np.float32)
-    has = scripts_of(canon)
+    has = scripts_of(canon) > 0
     uses = np.array([has[[name == c for name in names]].mean(axis=0) for c in classes])
     model = Classifier(table, bias, classes, 1.0, uses)
     kept = [t for t, h in zip(texts, held, strict=True) if h]
@@ -287,14 +293,18 @@ def fitted(samples: list[tuple[str, str]], seed: int, more: list[tuple[str, str]
     heats = np.geomspace(0.2, 5, 40)
     loss = [-np.log(softmax(z * h)[np.arange(len(y)), y] + 1e-12).mean() for h in heats]
     model.heat = float(heats[int(np.argmin(loss))]) if len(y) else 1.0
-    own = model.probabilities(kept)[np.arange(len(y)), model.sums[y].argmax(axis=1)] if len(y) else np.zeros(0)
-    length = np.array([sum(c.isalpha() for c in t) for t in kept])
-    for long in (False, True):
-        sure = own[(length >= LONG) == long]
-        model.limits[long] = float(np.quantile(sure, LOST)) if len(sure) else 0.0
     return model
 
 
+def limits(samples: list[tuple[str, str]], seed: int) -> list[float]:
+    """Probabilities of rejection, of short and long texts: what all but ``LOST`` of sentences that a model wasn't trained on reach."""
+    samples = sorted(set(samples))
+    model = fitted([x for i, x in enumerate(samples) if i % FOLDS], seed)
+    aside = canonical_array(pa.array([t for _, t in samples[::FOLDS]], pa.string()))
+    short = [" ".join(w) if " " in t else "".join(w) for t in aside for w in [(t.split(" ") if " " in t else list(t))[:2]] if any(c.isalpha() for x in w for c in x)]
+    return [float(np.quantile(model.probabilities(t).max(axis=1), LOST)) if t else 0.0 for t in (short, aside)]
+
+
 THAI_CHANGE = re.compile(r"(?<=[ก-๎]) +(?=[^\s\dก-๎])")
 LETTERS = re.compile(r"[^\W\d_]{2,}")
 

@@ -1,12 +1,18 @@
 """Sentence boundaries in texts of any of the languages and scripts.
 
-Method: a hidden-event n-gram model. Between words stand hidden events, boundary or none. Its
-n-grams hold the event before, the word and the closing marks before a gap, what a quotation
-that closes there followed, the event, and the word after. Forward and backward sums over the
-gaps of a text give each gap's posterior probability of a boundary, and one half decides.
-Gaps without a closing mark have no boundary, except where the fixed rules say so: a line
-break and a blank between two Thai letters are boundaries, what stands inside quotation marks
-has none. The counts come from strings of labelled sentences (a few hundred, a fixed table).
+Method: a hidden-event n-gram model. Between any two words stands a hidden event, boundary or
+none. At a gap behind a closing mark the n-grams hold the event before, the word and the marks
+before the gap, whether a quotation closes there or goes on and what it followed, the event, and
+the word after. At a gap without a mark they hold the kinds of the characters on both sides: so
+the blank between two Thai letters and the line break are boundaries, and a blank between other
+words is none, by what the labelled sentences say. Forward and backward sums over the gaps of a
+text give each gap's posterior probability of a boundary, and one half decides. The counts come
+from strings of labelled sentences (a few hundred, a fixed table).
+
+Shortenings are told by their counts: as words, by their form (length, case, a place at the
+beginning or after another shortening), and by what follows; the list below is one more trait,
+left out for titles in half of the strings so that their form counts on its own. A word that is written small
+within sentences tells a beginning when it has a capital.
 
 Defined results: null and blank texts have no sentence; a text without any mark is one
 sentence unless the rules split it; offsets count code points of the text as stored, without
@@ -19,7 +25,7 @@ from __future__ import annotations
 import bisect
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,9 +40,9 @@ CLOSERS = "\"'”’»›“)]}」』）】"
 QUOTES = {'"': '"', "„": "“", "“": "”", "«": "»", "「": "」", "『": "』", "‹": "›"}
 THAI = "ก-ฺเ-๎"
 BREAKS = "\n\r\x0b\x0c\x85  "
-# Common shortenings of the languages, without their last point.
+# Common shortenings of the languages, without their last point.
 SHORT = set(
-    "mr mrs ms dr prof st inc ltd co corp jr sr vs etc e.g i.e approx sec fig figs p pp no vol ch ed al a.m p.m u.s n.e n.w s.e s.w dept est "
+    "mr mrs ms dr prof st rs inc ltd co corp jr sr vs etc e.g i.e approx sec fig figs p pp no vol ch ed al a.m p.m u.s n.e n.w s.e s.w dept est "
     "sra srta dra pág págs aprox núm art cap ud uds ee.uu mm mme mlle env av éd chap nr ca bzw usw z vgl s abb bd str hr fr d h u a "
     "т е д п руб стр рис г гг ул см д-р тыс млн им डॉ पं रु क्र कं लि श्री प्रो मो ডা মো টা লি ড ক্র திரு திருமதி எண் ரூ டாக் น พ.ศ ค.ศ".split()
 )
@@ -49,18 +55,20 @@ LIKE_LATIN = str.maketrans("аеорсухѕіјАВЕЅІЈКМНОРСТУХο
 ODD = re.compile("[" + "".join(map(chr, PLAIN)) + "]")
 GHOSTS = "­​‌‍⁠﻿"
 
-GAP = re.compile(rf"[{re.escape(MARKS)}][{re.escape(MARKS + CLOSERS + GHOSTS)}]*|(?<=[{THAI}]) +(?=[{THAI}])|[ \t]*[{BREAKS}]\s*")
+GAP = re.compile(rf"[{re.escape(MARKS)}][{re.escape(MARKS + CLOSERS + GHOSTS)}]*|[ \t]*[{BREAKS}]\s*")
+BARE = re.compile(rf"([^\s{re.escape(MARKS)}])[ \t]+(?=(\S))")
 QUOTE = re.compile("[" + re.escape("".join({*QUOTES, *QUOTES.values()})) + "]")
-BEFORE = re.compile(r"[^\s\"“”«»„‹›「」『』()\[\]（）!?…।॥۔؟。！？]*$")
+WORD_ENDS = frozenset("\"“”«»„‹›「」『』()[]（）!?…।॥۔؟。！？")
 AFTER = re.compile(r"[^\s.,;:!?…।۔。！？，、؟،\"“”«»„「」()（）]*")
-SPEAKER = re.compile(rf"(?:^|[{BREAKS}])[^\s:：]{{1,20}}:[ \t]+$")
 BLANKS = " \t" + BREAKS + "".join(chr(c) for c, x in PLAIN.items() if x == " ") + "　"
 NONE, END = 0, 1
+#: The least probability of a boundary behind a shortening before the word that follows is looked at.
+SURELY = 0.002
 
 
 @lru_cache(1 << 17)
-def shape(word: str, capitals: bool, ends: bool = True) -> str:
-    """Class of a word: how its first letters look; among capitals they tell nothing. ``ends``: it stands before a mark."""
+def shape(word: str, capitals: bool, ends: bool = True, listed: bool = True) -> str:
+    """Class of a word: how its first letters look; among capitals they tell nothing. ``ends``: it stands before a mark; ``listed``: the list counts for words of the form of a title."""
     if not word:
         return "-"
     c = word[0]
@@ -68,12 +76,13 @@ def shape(word: str, capitals: bool, ends: bool = True) -> str:
         return "9" if word.isdigit() else "9x"
     if len(word) == 1 and c.isupper():
         return "I"
+    form = "T" if c.isupper() and len(word) < 5 and word[1:].islower() else ""
     if ends and word.lower() in SHORT_LAST:
         return "E"
-    if ends and word.lower() in SHORT:
+    if ends and word.lower() in SHORT and (listed or not form):
         return "S"
     if c.isupper():
-        return "C" if capitals else "U"
+        return "C" if capitals else ends and form or "U"
     if c.islower():
         return "l"
     if c.isalpha():
@@ -93,6 +102,18 @@ def cleaned(word: str) -> str:
     return latin if latin.isascii() and (latin.lower() in SHORT or any("a" <= c <= "z" for c in word.lower())) else word
 
 
+@lru_cache(1 << 14)
+def kind_of(c: str) -> str:
+    """Kind of a character beside a gap without a mark."""
+    if "ก" <= c <= "ฺ" or "เ" <= c <= "๎":
+        return "THAI"
+    if c.isdigit():
+        return "9"
+    if c.isalpha():
+        return "U" if c.isupper() else "l" if c.islower() else script(c)
+    return "."
+
+
 @lru_cache(1 << 17)
 def script(word: str) -> str:
     """Latin, or the script of the first letter."""
@@ -143,16 +164,36 @@ def closes_at(spans: list[tuple[int, int]], at: int) -> bool:
 
 
 class Gap:
-    """A place where a sentence may end."""
+    """A place where a sentence may end. ``fixed``: a gap without a mark, by its kind or its probability."""
 
     __slots__ = ("at", "fixed", "follows", "left", "next", "right")
 
-    def __init__(self, at: int, fixed: int | None = None, left=None, right=None, follows=False, next_=None) -> None:
+    def __init__(self, at: int, fixed: float | str | None = None, left=None, right=None, follows=False, next_=None) -> None:
         self.at, self.fixed, self.left, self.right, self.follows, self.next = at, fixed, left, right, follows, next_
 
 
-def gaps(text: str) -> list[Gap]:
-    """All places of a text where a sentence may end, with what the model looks at."""
+def word_before(text: str, at: int) -> int:
+    """Where the word that ends at a place begins."""
+    while at and text[at - 1] not in WORD_ENDS and not text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def after_speaker(text: str, at: int) -> bool:
+    """Whether a line's first word and a colon stand directly before a place."""
+    k = at
+    while k and text[k - 1] in " \t":
+        k -= 1
+    if k == at or not k or text[k - 1] != ":":
+        return False
+    k = end = k - 1
+    while k and text[k - 1] not in ":：" and not text[k - 1].isspace():
+        k -= 1
+    return k < end and (k == 0 or text[k - 1] in BREAKS)
+
+
+def gaps(text: str, known: frozenset[str] | set[str] = frozenset(), listed: bool = True) -> list[Gap]:
+    """All places behind marks and line breaks where a sentence may end, with what the model looks at; ``known`` are words written small and, with a point, words that end sentences."""
     plain = text if text.isascii() or not ODD.search(text) else text.translate(PLAIN)
     spans = None
     out: list[Gap] = []
@@ -163,7 +204,7 @@ def gaps(text: str) -> list[Gap]:
         first = plain[a]
         if first not in MARKS:
             if b < n and a:
-                out.append(Gap(b, END))
+                out.append(Gap(b, "line"))
             continue
         # trailing invisible characters and an opening quote that follows directly are not part of the marks
         while b > a and plain[b - 1] in GHOSTS:
@@ -179,7 +220,7 @@ def gaps(text: str) -> list[Gap]:
         blank = after.isspace()
         if not blank:
             if first == "." and set(plain[a:b]) <= {"."}:
-                continue  # inside a number, a file name or a shortening
+                continue  # inside a number, a file name or a shortening: no gap between words
             if after in ",;:，、،-–—" or after in "'’" or (first == "." and after.isalnum() and plain[a - 1 : a].isascii()):
                 continue
         elif a == 0 or plain[a - 1].isspace() and first == "." and b - a == 1:
@@ -194,54 +235,64 @@ def gaps(text: str) -> list[Gap]:
         # quotations don't overlap: only the last one that opens before can hold or close here
         j = bisect.bisect_left(spans, (a,)) - 1
         closed = spans[j] if j >= 0 and a <= spans[j][1] < b else None
-        if j >= 0 and b <= spans[j][1]:
-            continue
+        inside = j >= 0 and b <= spans[j][1]
         marks = plain[a:b]
         kind = "".join(c for c in marks if c in MARKS)
         strong = [c for c in kind if c not in ".…"]
         dots = len(kind) - len(strong)
         m_ = ("e" if dots > 1 or "…" in kind else "") + ("q" if any(c in "!?！？؟" for c in strong) else "d" if strong else "p" if dots == 1 and "…" not in kind else "")
-        spelt = BEFORE.search(plain, max(0, a - 40), a).group()
-        start = a - len(spelt)
-        spelt = cleaned(spelt)
+        start = word_before(plain, a)
+        spelt = cleaned(plain[start:a])
         word = spelt.lower()
-        capitals = plain[max(0, a - 20) : k + 15].isupper()
+        right = cleaned(AFTER.match(plain, k).group()) or plain[k]
+        capitals = len(spelt) > 1 and spelt.isupper() and right.upper() == right
         context, intro = "n", ""
-        if closed:
+        if inside:
+            context = "in"
+        elif closed:
             i = closed[0]
-            lead = plain[max(0, i - 40) : i]
-            stripped = lead.rstrip()
-            if not stripped or lead[len(stripped) :].strip(" \t" + GHOSTS) != lead[len(stripped) :].strip(" \t" + GHOSTS).strip(BREAKS) or any(c in BREAKS for c in lead[len(stripped) :]) or SPEAKER.search(plain, max(0, i - 50), i):
+            k_ = i
+            while k_ and (plain[k_ - 1].isspace() or plain[k_ - 1] in GHOSTS):
+                k_ -= 1
+            before = plain[k_ - 1 : k_]
+            if not before or any(c in BREAKS for c in plain[k_:i]) or after_speaker(plain, i):
                 context = "q0"
-            elif stripped[-1] in ":：":
+            elif before in ":：":
                 context = "q:"
-            elif stripped[-1] in ",，、،":
+            elif before in ",，、،":
                 context = "q,"
-            elif stripped[-1] in MARKS + CLOSERS:
+            elif before in MARKS + CLOSERS:
                 context = "q?"  # the sentence may begin with the quotation
             else:
                 context = "qw"
             if any(c in MARKS for c in marks[closed[1] - a + 1 :]):
                 context = "qm"  # a mark of the sentence's own follows the quotation
-            tail = stripped.rstrip(":：,，、،")
-            intro = (BEFORE.search(tail).group() if tail and ord(tail[-1]) < 0x2E80 else tail[-1:]).lower()
+            while k_ and plain[k_ - 1] in ":：,，、،":
+                k_ -= 1
+            intro = (plain[word_before(plain, k_) : k_] if k_ and ord(plain[k_ - 1]) < 0x2E80 else plain[max(0, k_ - 1) : k_]).lower()
         elif any(c in CLOSERS for c in marks):
             context = "b"
-        right = cleaned(AFTER.match(plain, k).group())
-        if not right:
-            right = plain[k]
         if ord(right[0]) >= 0x2E80:
             right = right[:2]
         # the word directly after the gap before: a list number, a shortening that begins a sentence
-        lead = plain[max(0, start - 30) : start].rstrip(" \t\"“«„(" + GHOSTS)
-        begins = start <= head or plain[max(0, start - 30) : start].rstrip(" \t")[-1:] in tuple(BREAKS) or bool(SPEAKER.search(plain, max(0, start - 50), start))
-        follows = bool(out) and out[-1].next is not None and out[-1].next >= start - 2 and lead[-1:] in tuple(MARKS + CLOSERS)
+        k_ = start
+        while k_ and plain[k_ - 1] in " \t":
+            k_ -= 1
+        begins = start <= head or plain[k_ - 1 : k_] in tuple(BREAKS) or after_speaker(plain, start)
+        while k_ and (plain[k_ - 1] in " \t\"“«„(" or plain[k_ - 1] in GHOSTS):
+            k_ -= 1
+        follows = bool(out) and out[-1].next is not None and out[-1].next >= start - 2 and k_ > 0 and plain[k_ - 1] in MARKS + CLOSERS
         look = shape(right, capitals, False)
+        if look == "U" and right.lower() in known:
+            look = "V"
         if len(look) > 2:
             look = "z" if right[0] >= "\u2e80" else "x"  # letters without case, whatever the script
         if {script(spelt), script(right)} in SWITCHES:
             look += "*"
-        out.append(Gap(b, None, (m_, word, shape(spelt, capitals), context, intro, "" if blank else "0", begins), (right.lower(), look), follows, k))
+        form = shape(spelt, capitals, True, listed or not (begins or follows))
+        if form == "T" and (word in known or word + "." in known):
+            form = "U"  # a known word
+        out.append(Gap(b, None, (m_, word, form, context, intro, "" if blank else "0", begins), (right.lower(), look), follows, k))
     return out
 
 
@@ -252,71 +303,83 @@ class HiddenEvents:
         self.left: dict = defaultdict(lambda: [0.0, 0.0])
         self.right: dict = defaultdict(float)
         self.total: dict = defaultdict(float)
-        self.kept: dict[str, list[int]] = {}
+        self.bare: dict = defaultdict(lambda: [0.0, 0.0])
+        self.known: set[str] = set()
         self.memo: dict = {}
 
     @staticmethod
-    def _contexts(left: tuple, starts: bool) -> list[tuple]:
-        """Contexts of an event, from the shortest to the longest."""
+    def _contexts(left: tuple, starts: int) -> list[tuple]:
+        """Contexts of an event, from the shortest to the longest. ``starts``: 1 directly after a boundary, 2 directly after a mark that is none."""
         m, word, kind, quote, intro, blank, begins = left
         if quote == "q?":
-            quote = "q0" if starts else "qw"
-        first = begins or starts
-        first = first and kind in ("9", "I", "S")
+            quote = "q0" if starts == 1 else "qw"
+        first = (begins or starts == 1) and kind in ("9", "I", "S", "T")
+        if starts == 2 and kind in ("I", "S", "T"):
+            first = "chain"
+        if kind == "T" and not first:  # elsewhere a short word with a capital is a word
+            kind = "U"
         steps = [(m,), *([("*", quote)] if quote != "n" else []), (m, quote), (m, quote, kind), (m, quote, kind, first), (m, quote, blank, kind, first), (m, quote, word)]
         if intro:
             steps += [(m, quote, "i", intro), (m, quote, "i", intro, word)]
         return steps
 
     @staticmethod
-    def _words(event: int, left: tuple, right: tuple, starts: bool) -> list[tuple]:
-        m, _, kind, quote, *_ = left
+    def _words(event: int, left: tuple, right: tuple, starts: int) -> list[tuple]:
+        m, _, kind, quote, _, _, begins = left
+        if kind == "T" and not (begins or starts):
+            kind = "U"
         quote = "q" if quote[0] == "q" and quote != "qm" else quote
         word, look = right
-        known = kind if kind in ("9", "I", "S") else "w"
-        return [((event, m), look), ((event, m, quote), look), ((event, m, quote, known), look), ((event, m, quote, known), word, look)]
+        known = kind if kind in ("9", "I", "S", "T") else "w"
+        raw = look
+        if known == "w" and look[0] == "V":  # behind an ordinary word any capital tells a beginning
+            look = "U" + look[1:]
+        return [((event, m), raw), ((event, m, quote), raw), ((event, m, quote, known), look), ((event, m, quote, known), word, look)]
 
     def __getstate__(self) -> dict:
         """The counts alone, as plain mappings, for the workers."""
-        return {"left": dict(self.left), "right": dict(self.right), "total": dict(self.total), "kept": {}, "memo": {}}
+        return {"left": dict(self.left), "right": dict(self.right), "total": dict(self.total), "bare": dict(self.bare), "known": self.known, "memo": {}}
 
-    def learn(self, left: tuple, right: tuple, starts: bool, event: int, weight: float = 1.0) -> None:
+    def learn(self, left: tuple, right: tuple, starts: int, event: int, weight: float = 1.0) -> None:
         for c in self._contexts(left, starts):
             self.left[c][event] += weight
         for c, *w in self._words(event, left, right, starts):
             self.right[(c, *w)] += weight
             self.total[(c, len(w))] += weight
 
-    def _event(self, left: tuple, starts: bool) -> tuple[float, float]:
+    def _event(self, left: tuple, starts: int) -> tuple[float, float]:
         p = 0.6
         for c in self._contexts(left, starts):
             n = self.left.get(c)
             if n:
                 total = n[0] + n[1]
                 p = (n[1] + 1.0 * p) / (total + 1.0)
+        if left[2] == "S" and not (left[6] or starts):  # contexts hold each other's counts: behind a shortening, what follows may still tell otherwise
+            p = max(p, SURELY)
         return 1 - p, p
 
-    def _follow(self, event: int, left: tuple, right: tuple, starts: bool) -> float:
+    def _follow(self, event: int, left: tuple, right: tuple, starts: int) -> float:
         steps = self._words(event, left, right, starts)
         p = 0.08
         for c, *w in steps[:3]:
             p = (self.right.get((c, *w), 0.0) + 2.0 * p) / (self.total.get((c, len(w)), 0.0) + 2.0)
         return p
 
-    def _seen(self, event: int, left: tuple, right: tuple, starts: bool) -> tuple[float, float]:
+    def _seen(self, event: int, left: tuple, right: tuple, starts: int) -> tuple[float, float]:
         """How often the word itself followed, of how many words that look like it."""
         steps = self._words(event, left, right, starts)
-        return self.right.get((steps[3][0], *steps[3][1:]), 0.0), self.right.get((steps[2][0], right[1]), 0.0)
+        return self.right.get((steps[3][0], *steps[3][1:]), 0.0), self.right.get((steps[2][0], steps[2][1]), 0.0)
 
-    def factors(self, left: tuple, right: tuple, starts: bool) -> tuple[float, float]:
+    def factors(self, left: tuple, right: tuple, starts: int) -> tuple[float, float]:
         key = (left, right, starts)
         got = self.memo.get(key)
         if got is None:
             none, end = self._event(left, starts)
             got = (none * self._follow(NONE, left, right, starts), end * self._follow(END, left, right, starts))
             seen = [self._seen(e, left, right, starts) for e in (NONE, END)]
-            if any(n for n, _ in seen):  # the word is known: its own share, smoothed
-                got = tuple(x * (n + 1) / (of + 40) for x, (n, of) in zip(got, seen, strict=True))
+            if any(n for n, _ in seen):  # the word is known: its own share, smoothed towards its share of all
+                share = (sum(n for n, _ in seen) + 1) / (sum(of for _, of in seen) + 200)
+                got = tuple(x * (n + 5 * share) / (of + 5) for x, (n, of) in zip(got, seen, strict=True))
             total = sum(got) or 1.0
             got = (got[0] / total, got[1] / total)
             if len(self.memo) > 300_000:
@@ -324,16 +387,44 @@ class HiddenEvents:
             self.memo[key] = got
         return got
 
+    def learn_bare(self, pair: tuple[str, str], event: int, weight: float) -> None:
+        """A gap without a mark, by the kinds of the characters beside it."""
+        for c in ((), pair[:1], pair):
+            self.bare[c][event] += weight
+
+    def bare_end(self, pair: tuple[str, str]) -> float:
+        """Probability of a boundary at a gap without a mark."""
+        p = self.memo.get(pair)
+        if p is None:
+            p = 0.01
+            for c in ((), pair[:1], pair):
+                if n := self.bare.get(c):
+                    p = (n[END] + p) / (n[NONE] + n[END] + 1.0)
+            self.memo[pair] = p
+        return p
+
+    def places(self, text: str) -> list[Gap]:
+        """The gaps of a text; of those without a mark the ones that may hold a boundary, as the event before a gap tells nothing of them."""
+        found = gaps(text, self.known)
+        pairs = {(a, b): self.bare_end((kind_of(a), kind_of(b))) for a, b in set(BARE.findall(text))}
+        if any(p > 0.01 for p in pairs.values()):
+            found += [Gap(m.end(), p) for m in BARE.finditer(text) if (p := pairs[m.groups()]) > 0.01]
+            found.sort(key=lambda g: g.at)
+        return found
+
     def posteriors(self, places: list[Gap]) -> list[float]:
         """Probability of a boundary at each gap, by forward and backward sums."""
         steps = []
         for g in places:
             if g.fixed is not None:
-                row = (1.0 - g.fixed, float(g.fixed))
+                end = self.bare_end(("line", "line")) if g.fixed == "line" else g.fixed
+                row = (1.0 - end, end)
                 steps.append((row, row))
+            elif g.follows:
+                steps.append((self.factors(g.left, g.right, 2), self.factors(g.left, g.right, 1)))
             else:
-                none = self.factors(g.left, g.right, False)
-                steps.append((none, self.factors(g.left, g.right, True) if g.follows else none))
+                none = self.factors(g.left, g.right, 0)
+                steps.append((none, none))
         forward = [(1.0, 0.0)]
         for a, b in steps:
             x, y = forward[-1]
@@ -355,7 +446,7 @@ class HiddenEvents:
         """Spans (start, end) of the sentences of a text."""
         if not text or not (bare := text.strip(BLANKS + GHOSTS)):
             return []
-        places = gaps(text)
+        places = self.places(text)
         ends = [g.at for g, p in zip(places, self.posteriors(places), strict=True) if p > 0.5] if places else []
         if not ends and len(bare) == len(text):
             return [(0, len(text))]
@@ -378,13 +469,27 @@ def pause(text: str, rng: np.random.Generator) -> str:
     return " ".join(words)
 
 
+def titled(text: str, rng: np.random.Generator) -> str:
+    """The sentence with the short title that it begins with, if any, replaced by one or two made-up ones of its form."""
+    m = TITLE.match(text)
+    if not m or m.group(1).lower() not in SHORT:
+        return text
+    made = ["".join(chr(97 + int(k)) for k in rng.integers(0, 26, rng.integers(2, 5))).capitalize() + "." for _ in range(int(rng.integers(1, 3)))]
+    return text[: m.start()] + " ".join(made) + text[m.end() :]
+
+
+LAST = re.compile(rf"([^\W\d_]+)[{re.escape(MARKS + CLOSERS)}]*$")
+TITLE = re.compile(r"^([A-Z][a-z]{1,3})\.(?= [A-Z][a-z])")
+
+
 def train(samples: list[tuple[str, str]], rounds: int = 30, seed: int = 11) -> HiddenEvents:
     """Counts from strings of labelled sentences (language, text): each sentence has no boundary inside and one at its end.
 
     ``rounds`` strings start at each sentence, which counts once in all of them; in some a pause
-    is written as dots after one of its words, and some are in capitals. They follow on with sentences of the same
-    language, and now and then of another one, with a blank, two blanks or, after marks that
-    aren't a point, nothing between.
+    is written as dots after one of its words, a title is made up, or all are capitals, and in
+    half the list of shortenings doesn't count for titles. They follow on with sentences of the same
+    language, and now and then of another one, with a blank, two blanks, a line break or, after
+    marks that aren't a point, nothing between.
     """
     model, rng = HiddenEvents(), np.random.default_rng(seed)
     samples = sorted(set(samples))
@@ -392,30 +497,43 @@ def train(samples: list[tuple[str, str]], rounds: int = 30, seed: int = 11) -> H
     for lang, text in samples:
         by[lang].append(text)
     every = [t for _, t in samples]
+    for t in every:
+        model.known.update(w for w in re.findall(r"(?<=[^\W\d_,;] )[^\W\d_]+", t) if w.islower())
+    firsts = Counter(m.group().lower() for t in every if (m := re.match(r"[^\W\d_]+(?= )", t)))
+    model.known.update(w for w, n in firsts.items() if n > 1)
+    model.known.update(m.group(1).lower() + "." for t in every if (m := LAST.search(t)) and m.group(1).lower() not in SHORT)
     for lang, text in samples:
-        for _ in range(rounds):
+        for turn in range(rounds):
             parts = [text]
             for _ in range(2):
                 pool = by[lang] if rng.random() < 0.85 else every
                 parts.append(pool[int(rng.integers(len(pool)))])
             if rng.random() < 0.15:
                 parts[0] = pause(parts[0], rng)
+            if rng.random() < 0.2:
+                parts[0] = titled(parts[0], rng)
             joined, ends = parts[0], []
             for p in parts[1:]:
                 last = joined[-1]
                 glue = " " if last in ".'" or rng.random() < 0.8 and ord(last) < 0x2E80 else "" if not last.isascii() or rng.random() < 0.3 else "  "
+                unmarked = last not in MARKS + CLOSERS and {kind_of(last), kind_of(p[0])} != {"THAI"}
                 ends.append(len(joined))
-                joined += glue + p
+                joined += ("\n" if unmarked else glue) + p  # a sentence without a mark ends its line
+            if rng.random() < 0.2:
+                joined += "\n" + text
             if rng.random() < 0.1 and len(joined.upper()) == len(joined):
                 joined = joined.upper()
-            wanted, before = set(ends), NONE
-            for g in gaps(joined):
+            wanted, before = set(ends), 0
+            for g in gaps(joined, model.known, turn % 2 == 0):
                 if g.fixed is not None:
-                    before = NONE
+                    model.learn_bare(("line", "line"), END, 1 / rounds)  # no sentence has one within
+                    before = 0
                     continue
                 event = END if g.at in wanted else NONE
-                model.learn(g.left, g.right, g.follows and before == END, event, 1 / rounds)
-                before = event
+                model.learn(g.left, g.right, (1 if before == 1 else 2) if g.follows and before else 0, event, 1 / rounds)
+                before = 1 if event == END else 2
+            for m in BARE.finditer(joined):
+                model.learn_bare((kind_of(m.group(1)), kind_of(m.group(2))), END if m.start() + 1 in wanted else NONE, 1 / rounds)
     return model
 
 
