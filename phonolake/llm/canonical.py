@@ -277,7 +277,9 @@ def changed(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[list[int], pa.A
         if b == a + 1 and sizes[a] > SLICE:
             yield [a], pa.array([long_form(texts[a].as_py())], pa.string())
         else:
-            yield rewritten(pa.array(range(a, b), pa.int64()), texts.slice(a, b - a))
+            part = texts.slice(a, b - a)
+            odd = pc.invert(pc.fill_null(pc.string_is_ascii(part), True))  # ASCII is its own form
+            yield rewritten(pa.array(range(a, b), pa.int64()).filter(odd), part.filter(odd))
         a = b
 
 

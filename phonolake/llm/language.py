@@ -181,7 +181,8 @@ class Classifier:
         letters = np.array([sum(map(str.isalpha, t)) for t in texts])
         fits &= ~((many * 2 > letters[:, None])[:, None, :] & (self.uses < 0.02)[None, :, :]).any(axis=2)
         fits[~fits.any(axis=1)] = True
-        p = softmax(np.where(fits, z * self.heat, -50.0)) @ self.sums
+        p = softmax(np.where(fits, z * self.heat, -50.0))
+        p = np.stack([p[:, own].sum(axis=1) for own in self.sums.T > 0], axis=1)
         p[size == 0] = 1 / len(self.languages)
         return p
 

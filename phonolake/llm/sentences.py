@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 # Closing marks, closing quotes and brackets, quotation marks in pairs.
 MARKS = ".!?…।॥۔؟。！？"
 CLOSERS = "\"'”’»›“)]}」』）】"
+ENDINGS = frozenset(MARKS + CLOSERS)
 QUOTES = {'"': '"', "„": "“", "“": "”", "«": "»", "「": "」", "『": "』", "‹": "›"}
 THAI = "ก-ฺเ-๎"
 BREAKS = "\n\r\x0b\x0c\x85  "
@@ -58,9 +59,10 @@ GHOSTS = "­​‌‍⁠﻿"
 GAP = re.compile(rf"[{re.escape(MARKS)}][{re.escape(MARKS + CLOSERS + GHOSTS)}]*|[ \t]*[{BREAKS}]\s*")
 BARE = re.compile(rf"([^\s{re.escape(MARKS)}])[ \t]+(?=(\S))")
 QUOTE = re.compile("[" + re.escape("".join({*QUOTES, *QUOTES.values()})) + "]")
-WORD_ENDS = frozenset("\"“”«»„‹›「」『』()[]（）!?…।॥۔؟。！？")
+WORD_ENDS = frozenset("".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "\"“”«»„‹›「」『』()[]（）!?…।॥۔؟。！？")
 AFTER = re.compile(r"[^\s.,;:!?…।۔。！？，、؟،\"“”«»„「」()（）]*")
 BLANKS = " \t" + BREAKS + "".join(chr(c) for c, x in PLAIN.items() if x == " ") + "　"
+UNSEEN = BLANKS + GHOSTS
 NONE, END = 0, 1
 #: The least probability of a boundary behind a shortening before the word that follows is looked at.
 SURELY = 0.002
@@ -174,7 +176,7 @@ class Gap:
 
 def word_before(text: str, at: int) -> int:
     """Where the word that ends at a place begins."""
-    while at and text[at - 1] not in WORD_ENDS and not text[at - 1].isspace():
+    while at and text[at - 1] not in WORD_ENDS:
         at -= 1
     return at
 
@@ -192,9 +194,20 @@ def after_speaker(text: str, at: int) -> bool:
     return k < end and (k == 0 or text[k - 1] in BREAKS)
 
 
+@lru_cache(1 << 14)
+def mark_class(marks: str) -> tuple[str, bool]:
+    """Class of the marks before a gap, and whether a closing quote or bracket is among them."""
+    kind = "".join(c for c in marks if c in MARKS)
+    strong = [c for c in kind if c not in ".…"]
+    dots = len(kind) - len(strong)
+    dotted = "e" if dots > 1 or "…" in kind else ""
+    return dotted + ("q" if any(c in "!?！？؟" for c in strong) else "d" if strong else "p" if dots == 1 and "…" not in kind else ""), any(c in CLOSERS for c in marks)
+
+
 def gaps(text: str, known: frozenset[str] | set[str] = frozenset(), listed: bool = True) -> list[Gap]:
     """All places behind marks and line breaks where a sentence may end, with what the model looks at; ``known`` are words written small and, with a point, words that end sentences."""
-    plain = text if text.isascii() or not ODD.search(text) else text.translate(PLAIN)
+    ascii_ = text.isascii()
+    plain = text if ascii_ or not ODD.search(text) else text.translate(PLAIN)
     spans = None
     out: list[Gap] = []
     n = len(plain)
@@ -231,16 +244,13 @@ def gaps(text: str, known: frozenset[str] | set[str] = frozenset(), listed: bool
         if k >= n or plain[k] in BREAKS:
             continue  # the end, or a line break that decides
         if spans is None:
-            spans = quotations(plain)
+            spans = quotations(plain) if not ascii_ or '"' in plain else []
         # quotations don't overlap: only the last one that opens before can hold or close here
         j = bisect.bisect_left(spans, (a,)) - 1
         closed = spans[j] if j >= 0 and a <= spans[j][1] < b else None
         inside = j >= 0 and b <= spans[j][1]
         marks = plain[a:b]
-        kind = "".join(c for c in marks if c in MARKS)
-        strong = [c for c in kind if c not in ".…"]
-        dots = len(kind) - len(strong)
-        m_ = ("e" if dots > 1 or "…" in kind else "") + ("q" if any(c in "!?！？؟" for c in strong) else "d" if strong else "p" if dots == 1 and "…" not in kind else "")
+        m_, closer = mark_class(marks)
         start = word_before(plain, a)
         spelt = cleaned(plain[start:a])
         word = spelt.lower()
@@ -261,7 +271,7 @@ def gaps(text: str, known: frozenset[str] | set[str] = frozenset(), listed: bool
                 context = "q:"
             elif before in ",，、،":
                 context = "q,"
-            elif before in MARKS + CLOSERS:
+            elif before in ENDINGS:
                 context = "q?"  # the sentence may begin with the quotation
             else:
                 context = "qw"
@@ -270,7 +280,7 @@ def gaps(text: str, known: frozenset[str] | set[str] = frozenset(), listed: bool
             while k_ and plain[k_ - 1] in ":：,，、،":
                 k_ -= 1
             intro = (plain[word_before(plain, k_) : k_] if k_ and ord(plain[k_ - 1]) < 0x2E80 else plain[max(0, k_ - 1) : k_]).lower()
-        elif any(c in CLOSERS for c in marks):
+        elif closer:
             context = "b"
         if ord(right[0]) >= 0x2E80:
             right = right[:2]
@@ -278,10 +288,10 @@ def gaps(text: str, known: frozenset[str] | set[str] = frozenset(), listed: bool
         k_ = start
         while k_ and plain[k_ - 1] in " \t":
             k_ -= 1
-        begins = start <= head or plain[k_ - 1 : k_] in tuple(BREAKS) or after_speaker(plain, start)
+        begins = start <= head or (k_ > 0 and plain[k_ - 1] in BREAKS) or after_speaker(plain, start)
         while k_ and (plain[k_ - 1] in " \t\"“«„(" or plain[k_ - 1] in GHOSTS):
             k_ -= 1
-        follows = bool(out) and out[-1].next is not None and out[-1].next >= start - 2 and k_ > 0 and plain[k_ - 1] in MARKS + CLOSERS
+        follows = bool(out) and out[-1].next is not None and out[-1].next >= start - 2 and k_ > 0 and plain[k_ - 1] in ENDINGS
         look = shape(right, capitals, False)
         if look == "U" and right.lower() in known:
             look = "V"
@@ -306,6 +316,7 @@ class HiddenEvents:
         self.bare: dict = defaultdict(lambda: [0.0, 0.0])
         self.known: set[str] = set()
         self.memo: dict = {}
+        self.cold: set = set()
 
     @staticmethod
     def _contexts(left: tuple, starts: int) -> list[tuple]:
@@ -332,13 +343,14 @@ class HiddenEvents:
         word, look = right
         known = kind if kind in ("9", "I", "S", "T") else "w"
         raw = look
-        if known == "w" and look[0] == "V":  # behind an ordinary word any capital tells a beginning
+        if known != "S" and look[0] == "V":  # behind an ordinary word any capital tells a beginning, behind a title none
             look = "U" + look[1:]
+            raw = raw if known == "w" else look
         return [((event, m), raw), ((event, m, quote), raw), ((event, m, quote, known), look), ((event, m, quote, known), word, look)]
 
     def __getstate__(self) -> dict:
         """The counts alone, as plain mappings, for the workers."""
-        return {"left": dict(self.left), "right": dict(self.right), "total": dict(self.total), "bare": dict(self.bare), "known": self.known, "memo": {}}
+        return {"left": dict(self.left), "right": dict(self.right), "total": dict(self.total), "bare": dict(self.bare), "known": self.known, "memo": {}, "cold": set()}
 
     def learn(self, left: tuple, right: tuple, starts: int, event: int, weight: float = 1.0) -> None:
         for c in self._contexts(left, starts):
@@ -406,10 +418,12 @@ class HiddenEvents:
     def places(self, text: str) -> list[Gap]:
         """The gaps of a text; of those without a mark the ones that may hold a boundary, as the event before a gap tells nothing of them."""
         found = gaps(text, self.known)
-        pairs = {(a, b): self.bare_end((kind_of(a), kind_of(b))) for a, b in set(BARE.findall(text))}
-        if any(p > 0.01 for p in pairs.values()):
-            found += [Gap(m.end(), p) for m in BARE.finditer(text) if (p := pairs[m.groups()]) > 0.01]
-            found.sort(key=lambda g: g.at)
+        if pairs := set(BARE.findall(text)) - self.cold:
+            hot = {(a, b): p for a, b in pairs if (p := self.bare_end((kind_of(a), kind_of(b)))) > 0.01}
+            self.cold |= pairs - hot.keys()  # pairs of characters: as many as there are in use
+            if hot:
+                found += [Gap(m.end(), hot[m.groups()]) for m in BARE.finditer(text) if m.groups() in hot]
+                found.sort(key=lambda g: g.at)
         return found
 
     def posteriors(self, places: list[Gap]) -> list[float]:
@@ -444,7 +458,7 @@ class HiddenEvents:
 
     def split(self, text: str | None) -> list[tuple[int, int]]:
         """Spans (start, end) of the sentences of a text."""
-        if not text or not (bare := text.strip(BLANKS + GHOSTS)):
+        if not text or not (bare := text.strip(UNSEEN)):
             return []
         places = self.places(text)
         ends = [g.at for g, p in zip(places, self.posteriors(places), strict=True) if p > 0.5] if places else []
@@ -454,7 +468,7 @@ class HiddenEvents:
         for end in [*ends, len(text)]:
             piece = text[at:end]
             a, b = at + len(piece) - len(piece.lstrip(BLANKS)), at + len(piece.rstrip(BLANKS))
-            if a < b and piece.strip(BLANKS + GHOSTS):
+            if a < b and piece.strip(UNSEEN):
                 out.append((a, b))
             at = end
         return out
