@@ -58,14 +58,14 @@ def label_language(label: Column) -> Column:
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and text of each subword of the texts. Digits and marks count as blanks."""
-    from phonolake.llm.repetition import TOP, letters
+    from phonolake.llm.repetition import looked_up
 
     joined = "\n" + "\n".join(t.replace("\n", " ") for t in texts) + "\n"
-    code = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), TOP - 1)
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.cumsum(code == 10) - 1
-    small, counts = letters()
-    word = counts[code] & ~((code >= 48) & (code < 58))
-    code = np.where(word, small[code], 32).astype(np.uint64)
+    small, word = looked_up(code)
+    word &= ~((code >= 48) & (code < 58))
+    code = np.where(word, small, 32).astype(np.uint64)
     keep = word | np.append(True, word[:-1]) | np.append(word[1:], True)
     keep &= ~((code == 32) & np.append(False, (code[:-1] == 32) & (owner[:-1] == owner[1:]) & ~np.append(word[2:], [False, False])[: len(code) - 1]))
     code, owner, word = code[keep], owner[keep], word[keep]

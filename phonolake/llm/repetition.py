@@ -1,11 +1,11 @@
 """The share of a text that it has already said before.
 
-Method: hashed character and word n-grams of a text, the shares of them that come again in it,
-go into a logistic regression that is trained on labelled rows and calibrated; rows are scored
-in Arrow batches, and a fixed threshold keeps the possible ones, with every row whose repeated
-runs could cover the limit. For these (and, for the plain
-measure, for all rows) the exact share follows: the characters in stretches of ``STRETCH`` or
-more that occur from an earlier place on in the same text.
+Method: a text's hashed character and word n-grams are counted; the shares of them that come
+again, and the share of letters that repeated ones cover, go into a logistic regression that is
+trained on labelled rows and calibrated; rows are scored in Arrow batches, and a fixed threshold
+of the probability alone decides. The labelled rows are made from labelled sentences, most of
+them near the limit, and labelled by the plain measure, which ``repetition`` gives besides: the
+characters in stretches of ``STRETCH`` or more that occur from an earlier place on.
 
 Letter case, blanks and punctuation don't count, and text is put into its consistent form first.
 
@@ -29,14 +29,25 @@ from phonolake.llm.canonical import canonical_array
 
 STRETCH, SHARE = 10, 0.4
 CHAR_ORDERS, WORD_ORDERS = (5, 10, 20), (1, 2, 3)
-#: Calibrated probability from which a row is possible: far below an even chance, so that no row near the limit is lost.
-POSSIBLE = 0.005
+#: Calibrated probability from which a row is a case.
+LIKELY = 0.5
 #: Rows made for the training from the labelled sentences; characters of text that are worked on at a time.
-TRAINING_ROWS, CHARS = 3000, 2_000_000
+TRAINING_ROWS, CHARS = 6000, 2_000_000
+#: Scale of the cover beside the shares; penalty of the weights.
+SCALE, PENALTY = 100.0, 1e-4
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 TOP = 0x30000
 
 
+def looked_up(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Small letter of each code point, and whether it counts; above ``TOP`` stand the rarest Chinese letters, and below 40000 nothing else."""
+    small, counts = letters()
+    if not len(code) or code.max() < TOP:
+        return small[code], counts[code]
+    low = np.minimum(code, TOP - 1)
+    return np.where(code < TOP, small[low], code), np.where(code < TOP, counts[low], code < 0x40000)
+
+
 @cache
 def letters() -> tuple[np.ndarray, np.ndarray]:
     """Code point: its small letter, and whether it counts (letter, digit or sign of a letter)."""
@@ -58,12 +69,10 @@ class Texts:
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))
         row = np.repeat(np.arange(len(texts)), lengths)[: len(code)]
-        small, counts = letters()
-        code = np.minimum(code, TOP - 1)
-        keep = counts[code]
+        small, keep = looked_up(code)
         word = np.cumsum(~keep | (code >= 0x2E80))  # letters of scripts without blanks are words of their own
         self.n = len(texts)
-        self.code, self.row, self.word = small[code[keep]].astype(np.uint64), row[keep], word[keep]
+        self.code, self.row, self.word = small[keep].astype(np.uint64), row[keep], word[keep]
         self.sizes = np.bincount(self.row, minlength=self.n)
 
     def again(self, hashed: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -97,27 +106,31 @@ class Texts:
             h ^= h >> np.uint64(29)
         return h, self.row[:count] == self.row[n - 1 : n - 1 + count]
 
-    def shares(self) -> np.ndarray:
-        """Exact share of each row that lies in stretches said before."""
-        h, inside = self.grams(STRETCH)
-        out = np.zeros(self.n)
+    def covered(self, h: np.ndarray, inside: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row: the share of its runs of n characters that come again, and of its characters that these cover."""
         at = np.flatnonzero(inside)
-        if not len(at):
-            return out
         hits = at[self.again(h[at], self.row[at])]
         marks = np.zeros(len(self.code) + 1, np.int32)
         np.add.at(marks, hits, 1)
-        np.add.at(marks, hits + STRETCH, -1)
-        covered = np.bincount(self.row[np.cumsum(marks[:-1]) > 0], minlength=self.n)
-        return covered / np.maximum(self.sizes, 1)
+        np.add.at(marks, np.minimum(hits + n, len(self.code)), -1)
+        cover = np.bincount(self.row[np.cumsum(marks[:-1]) > 0], minlength=self.n) / np.maximum(self.sizes, 1)
+        return np.bincount(self.row[hits], minlength=self.n) / np.maximum(np.bincount(self.row[at], minlength=self.n), 1), cover
+
+    def shares(self) -> np.ndarray:
+        """Exact share of each row that lies in stretches said before."""
+        return self.covered(*self.grams(STRETCH), STRETCH)[1] if len(self.code) else np.zeros(self.n)
 
     def features(self) -> np.ndarray:
-        """Of each row: the shares of hashed n-grams that come again, by order, and a constant."""
-        columns = []
+        """Of each row: the shares of hashed n-grams that come again, by order, what those of ``STRETCH`` cover beyond the limit, and a constant."""
+        columns, cover = [], np.zeros(self.n)
         for n in CHAR_ORDERS:
             h, inside = self.grams(n)
-            at = np.flatnonzero(inside)
-            columns.append(self._share(h[at], self.row[at]))
+            if n == STRETCH:
+                share, cover = self.covered(h, inside, n)
+                columns.append(share)
+            else:
+                at = np.flatnonzero(inside)
+                columns.append(self._share(h[at], self.row[at]))
         if len(self.code):
             first = np.flatnonzero(np.diff(self.word, prepend=-1) != 0)
             h = np.zeros(len(first), np.uint64)
@@ -138,36 +151,37 @@ class Texts:
             elif n > 1:
                 g, r = np.empty(0, np.uint64), np.empty(0, np.int64)
             columns.append(self._share(g, r))
-        return np.stack([*columns, np.ones(self.n)], axis=1)
+        return np.stack([*columns, (cover - SHARE) * SCALE, np.ones(self.n)], axis=1)
 
     def _share(self, h: np.ndarray, row: np.ndarray) -> np.ndarray:
         total = np.bincount(row, minlength=self.n)
         return np.bincount(row[self.again(h, row)], minlength=self.n) / np.maximum(total, 1)
 
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, steps: int = 30) -> np.ndarray:
     """Logistic regression by Newton steps, with a small penalty."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(x.shape[1])
-        w = w - np.linalg.solve(hess, x.T @ (p - y) + 1e-3 * w)
+        hess = (x * (p * (1 - p))[:, None]).T @ x + PENALTY * np.eye(x.shape[1])
+        w = w - np.linalg.solve(hess, x.T @ (p - y) + PENALTY * w)
     return w
 
 
 def train(samples: list[str], rows: int = TRAINING_ROWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Weights and calibration from rows made of the labelled sentences.
 
-    A row strings sentences together and says a part of them again, as often as chance wants;
-    its label is whether the share said again reaches the limit. Half of the rows fit the
-    weights, the other half the calibration (slope and offset of the log-odds).
+    A row strings sentences together and says a part of them again, as often as chance wants, or
+    until about the limit is reached; its label is whether the share said again reaches the
+    limit. Half of the rows fit the weights, the other half the calibration (slope and offset of
+    the log-odds).
     """
     rng = np.random.default_rng(seed)
     samples = sorted(set(samples))
     made = []
     for _ in range(rows if samples else 0):
         parts = [samples[k] for k in rng.integers(0, len(samples), rng.integers(1, 6))]
-        kind = rng.integers(0, 5)
+        kind = rng.integers(0, 6)
         if kind == 1:
             parts += parts * int(rng.integers(1, 5))
         elif kind == 2:
@@ -182,6 +196,9 @@ def train(samples: list[str], rows: int = TRAINING_ROWS, seed: int = 7) -> tuple
             a = int(rng.integers(0, len(words)))
             phrase, step = words[a : a + int(rng.integers(1, 4))], int(rng.integers(1, 5))
             parts = [w for k in range(0, len(words), step) for w in [*words[k : k + step], *phrase]]
+        elif kind == 5:  # about the limit: the beginning again, of two thirds of what was said
+            whole = " ".join(parts)
+            parts = [whole, whole[: int(len(whole) * rng.uniform(0.5, 0.85))]]
         made.append(" ".join(parts))
     t = Texts(made)
     x, y = t.features(), (t.shares() >= SHARE).astype(float)
@@ -195,12 +212,6 @@ def probability(x: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return 1 / (1 + np.exp(-np.clip((x @ w) * slope + offset, -30, 30)))
 
 
-def possible(x: np.ndarray, sizes: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Rows that go on to the exact measure: the likely ones, and surely all cases, as each run that comes again covers ``STRETCH`` letters at most."""
-    again = np.rint(x[:, CHAR_ORDERS.index(STRETCH)] * np.maximum(sizes - STRETCH + 1, 0))
-    return (probability(x, model) >= POSSIBLE) | ((again > 0) & (again * STRETCH >= SHARE * sizes))
-
-
 def repetition(df: DataFrame, ids: list[str], text: str, samples: list[str], found: bool = False) -> DataFrame:
     """Ids, repeated share and calibrated probability of each row; with ``found`` the ids of the cases alone."""
     model = train(samples)
@@ -218,9 +229,7 @@ def repetition(df: DataFrame, ids: list[str], text: str, samples: list[str], fou
                 t = Texts(texts[a:b])
                 x = t.features()
                 if found:
-                    some = np.flatnonzero(possible(x, t.sizes, model))
-                    share = Texts([texts[a + i] for i in some]).shares() if len(some) else np.empty(0)
-                    take = pa.array(a + some[share >= SHARE], pa.int64())
+                    take = pa.array(a + np.flatnonzero(probability(x, model) >= LIKELY), pa.int64())
                     yield pa.RecordBatch.from_arrays([batch.column(k).take(take) for k in range(len(ids))], ids)
                 else:
                     yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(ids))), pa.array(t.shares()), pa.array(probability(x, model))], [*ids, "repeated_share", "probability"])
