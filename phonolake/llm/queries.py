@@ -74,11 +74,11 @@ def p2_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of the jobs of more than 480 samples."""
-    return p3.pieces(table(spark, folder, "chunk_jobs"), ["file_index", "chunk_index"], "audio")
+    return p3.pieces(table(spark, folder, "chunk_jobs"), ["file_index", "chunk_index"], "audio", divisor=1, least=0, last=True)
 
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """Pieces of all jobs that hold samples."""
+    """Pieces of all jobs that hold samples, cut at landmarks of the rolling hash."""
     return p3.pieces(table(spark, folder, "chunk_jobs"), ["file_index", "chunk_index"], "audio", all_items=True)
 
 
@@ -159,7 +159,7 @@ def _percentile_sql() -> str:
 #: Cuts of problem 3 in SQL: pauses by gaps and islands, then a recursive walk over the cut points.
 PIECES_SQL = """
 WITH RECURSIVE jobs AS (
-  SELECT file_index, chunk_index, any_value(audio) AS audio, any_value(len(audio)) AS n FROM chunk_jobs WHERE len(audio) > {least} GROUP BY file_index, chunk_index
+  SELECT file_index, chunk_index, any_value(audio) AS audio, any_value(len(audio)) AS n FROM chunk_jobs WHERE len(audio) > 480 GROUP BY file_index, chunk_index
 ), quiet AS (
   SELECT file_index, chunk_index, i - 1 AS i, i - row_number() OVER (PARTITION BY file_index, chunk_index ORDER BY i) AS island
   FROM (SELECT file_index, chunk_index, unnest(range(1, n + 1)) AS i, unnest(audio) AS x FROM jobs) WHERE abs(x) < 0.02::FLOAT
@@ -180,4 +180,4 @@ SELECT file_index, chunk_index, piece_no::INT AS piece_no, s::INT AS start_sampl
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_percentiles": _percentile_sql(), "p6_by_days": _percentile_sql(), "p3_found": PIECES_SQL.format(least=480), "p3_pieces": PIECES_SQL.format(least=0)}
+    return {"p6_percentiles": _percentile_sql(), "p6_by_days": _percentile_sql(), "p3_found": PIECES_SQL}
