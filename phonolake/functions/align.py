@@ -1,23 +1,24 @@
 """Edit distances and error rates.
 
 The distance of token arrays runs in the JVM: the tokens of a pair get one letter for each
-distinct token, and the built-in ``levenshtein`` compares the letter strings. Pairs with more
-distinct tokens than letters (255) take the array form, a fold over the rows of the table; it
-is evaluated only for them. Null arrays give null; an empty side gives the size of the other.
+distinct token, and the built-in ``levenshtein`` compares the letter strings. The letters are
+those of one byte, and for pairs with more distinct tokens than these, the ``WIDE`` code points
+of a constant string. Only pairs with still more take the array form, a fold over the rows of
+the table. Equal arrays have distance 0 without either. Null arrays give null; an empty side gives the size of the other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from phonolake.functions import text as tx
 
 LETTERS = 255
+#: Letters of pairs with many distinct tokens: as many code points in a row as one block has.
+WIDE = "".join(map(chr, range(0x4E00, 0xA000)))
 
 
 def fold_distance(a: Column, b: Column) -> Column:
@@ -43,29 +44,14 @@ def token_distance(a: Column, b: Column) -> Column:
     def body(s: Column) -> Column:
         x, y, known = s["a"], s["b"], s["known"]
         spelt = lambda v: F.array_join(F.transform(v, lambda w: F.chr(F.array_position(known, w))), "")
-        return F.when(F.size(known) <= LETTERS, F.levenshtein(spelt(x), spelt(y))).otherwise(fold_distance(x, y)).cast("int")
+        wide = lambda v: F.array_join(F.transform(v, lambda w: F.substr(F.lit(WIDE), F.array_position(known, w).cast("int"), F.lit(1))), "")
+        some = F.when(F.size(known) <= LETTERS, F.levenshtein(spelt(x), spelt(y))).when(F.size(known) <= len(WIDE), F.levenshtein(wide(x), wide(y)))
+        return F.when(x == y, 0).otherwise(some.otherwise(fold_distance(x, y))).cast("int")
 
     both = let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.struct(s["a"], s["b"], F.array_distinct(F.concat(s["a"], s["b"])).alias("known")))
     return let(both, body)
 
 
-@F.pandas_udf(T.IntegerType())
-def token_distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The same in Arrow batches, for engines that plan Python anyway."""
-    def one(x, y) -> int | None:
-        if x is None or y is None:
-            return None
-        prev = list(range(len(y) + 1))
-        for i, s in enumerate(x, 1):
-            cur = [i]
-            for j, t in enumerate(y, 1):
-                cur.append(min(cur[-1] + 1, prev[j] + 1, prev[j - 1] + (s != t)))
-            prev = cur
-        return prev[-1]
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="Int32")
-
-
 def rate(errors: Column, length: Column) -> Column:
     """Errors by reference length; null without a reference, above 1 where the hypothesis is longer."""
     return F.when(length > 0, errors.cast("double") / length)

@@ -1,6 +1,8 @@
 """Models as pluggable functions of Arrow batches.
 
-A model is anything with ``load()`` (once in a worker) and ``transcribe(list of arrays, rate)``.
+A model is anything with ``load()`` (once in a worker) and ``transcribe(list of arrays, rate)``;
+where hotwords or a prompt are given, ``transcribe`` takes them by name. Detectors, diarizers and
+denoisers are plug-ins of a stage run (``plans/pipelines.py``).
 The runner loads it once, feeds batches, and halves a batch that fails until single items fail,
 which come out as errors. Stand-ins give the same for the same input, as no weights are here.
 """
@@ -8,6 +10,7 @@ which come out as errors. Stand-ins give the same for the same input, as no weig
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -21,7 +24,55 @@ from pyspark.sql import types as T
 class Model(Protocol):
     def load(self) -> None: ...
 
-    def transcribe(self, batch: list[np.ndarray], rate: int) -> list: ...
+    def transcribe(self, batch: list[np.ndarray], rate: int, **options) -> list: ...
+
+
+class Detector(Protocol):
+    def spans(self, samples: np.ndarray, rate: int) -> list[tuple[int, int]]:
+        """Speech as (first sample, end)."""
+
+
+class Diarizer(Protocol):
+    def turns(self, samples: np.ndarray, rate: int) -> list[tuple[float, float, str]]:
+        """Turns as (start, end, speaker), in seconds."""
+
+
+class Denoiser(Protocol):
+    def clean(self, samples: np.ndarray, rate: int) -> np.ndarray: ...
+
+
+class Levels:
+    """Stand-ins of the three: speech by level, one speaker for each half, small samples made 0."""
+
+    def __init__(self, level: float = 0.02, **limits: int) -> None:
+        self.level, self.limits = level, limits
+
+    def spans(self, samples: np.ndarray, rate: int) -> list[tuple[int, int]]:
+        return speech_spans(samples, self.level, **self.limits)
+
+    def turns(self, samples: np.ndarray, rate: int) -> list[tuple[float, float, str]]:
+        half = len(samples) // 2 / rate
+        return [(0.0, half, "SPEAKER_00"), (half, len(samples) / rate, "SPEAKER_01")]
+
+    def clean(self, samples: np.ndarray, rate: int) -> np.ndarray:
+        return np.where(np.abs(samples) < self.level, np.float32(0), samples)
+
+
+def speech_spans(samples: np.ndarray, level: float, least_speech: int = 1, least_silence: int = 1, pad: int = 0) -> list[tuple[int, int]]:
+    """Spans of samples at or above a level: silence shorter than ``least_silence`` is bridged, then speech shorter than ``least_speech`` is dropped, and each span is padded, up to its neighbours' middle."""
+    edge = np.diff(np.concatenate([[0], (np.abs(np.asarray(samples, np.float32)) >= np.float32(level)).view(np.int8), [0]]))
+    first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(first):
+        return []
+    new = np.append(True, first[1:] - end[:-1] >= least_silence)
+    first, end = first[new], end[np.append(new[1:], True)]
+    keep = end - first >= least_speech
+    first, end = first[keep], end[keep]
+    if not len(first):
+        return []
+    middle = (end[:-1] + first[1:]) // 2
+    low, high = np.append(0, middle), np.append(middle, len(samples))
+    return list(zip(np.maximum(first - pad, low).tolist(), np.minimum(end + pad, high).tolist(), strict=True))
 
 
 class Stub:
@@ -32,14 +83,14 @@ class Stub:
     def load(self) -> None:
         pass
 
-    def transcribe(self, batch: list[np.ndarray], rate: int) -> list[str]:
-        out = []
+    def transcribe(self, batch: list[np.ndarray], rate: int, hotwords: tuple[str, ...] = (), prompt: str | None = None) -> list[str]:
+        out, known = [], [*self.WORDS, *hotwords]
         for x in batch:
             if not len(x):
                 out.append("")
                 continue
             seed = hashlib.md5(np.asarray(x, np.float32).tobytes()).digest()
-            out.append(" ".join(self.WORDS[b % len(self.WORDS)] for b in seed[: 1 + len(x) // max(rate, 1) % 8]))
+            out.append(" ".join(known[b % len(known)] for b in seed[: 1 + len(x) // max(rate, 1) % 8]))
         return out
 
 
@@ -84,8 +135,8 @@ def halving(call: Callable[[list], list], items: list) -> list[tuple[str | None,
         return halving(call, items[:half]) + halving(call, items[half:])
 
 
-def transcribed(df: DataFrame, ids: list[str], samples: str, rate: int, make: Callable[[], Model], batch_size: int = 4) -> DataFrame:
-    """Ids, hypothesis and error. An empty signal has an empty text and isn't given to the model. Rows are ordered by length within a partition, to save padding."""
+def transcribed(df: DataFrame, ids: list[str], samples: str, rate: int, make: Callable[[], Model], batch_size: int = 4, **options) -> DataFrame:
+    """Ids, hypothesis and error; ``options`` (hotwords, prompt) go to the model. An empty signal has an empty text and isn't given to the model. Rows are ordered by length within a partition, to save padding."""
     src = df.select(*ids, F.col(samples).cast("array<float>").alias("__x")).sortWithinPartitions(F.size("__x"))
     kinds = ", ".join(f"`{c}` {k}" for c, k in src.dtypes[: len(ids)])
 
@@ -99,7 +150,7 @@ def transcribed(df: DataFrame, ids: list[str], samples: str, rate: int, make: Ca
             full = [i for i, x in enumerate(signals) if len(x)]
             for a in range(0, len(full), batch_size):
                 part = full[a : a + batch_size]
-                for i, (t, e) in zip(part, halving(lambda xs: model.transcribe(xs, rate), [signals[i] for i in part]), strict=True):
+                for i, (t, e) in zip(part, halving(lambda xs: model.transcribe(xs, rate, **options), [signals[i] for i in part]), strict=True):
                     text[i], error[i] = t, e
             out["hypothesis"], out["error"] = text, error
             yield out
@@ -181,3 +232,43 @@ def inverse_normalized(text: pd.Series, language: pd.Series) -> pd.Series:
             return t
 
     return pd.Series([one(t, x) for t, x in zip(text, language)])
+
+
+SAID = {n: w for w, n in (UNITS | TENS).items()}
+
+
+def said(n: int) -> str:
+    """A whole number in English words, by lakh and crore where ``SCALES`` has them."""
+    if n < 0:
+        return "minus " + said(-n)
+    for word, size in (("crore", 10_000_000), ("lakh", 100_000), ("thousand", 1000), ("hundred", 100)):
+        if n >= size:
+            head, rest = divmod(n, size)
+            return said(head) + " " + word + (" " + said(rest) if rest else "")
+    if n in SAID:
+        return SAID[n]
+    return SAID[n // 10 * 10] + " " + SAID[n % 10]
+
+
+NUMBER = re.compile(r"(?<![\w.,])(\d{1,3}(?:,\d{2,3})+|\d+)(\.\d+)?(?![\w]|[.,]\d)")
+
+
+def digits_to_spoken(text: str | None) -> str | None:
+    """Numbers written in digits as words; a number with a leading zero, or of more than nine digits, digit by digit."""
+    if not text:
+        return text
+
+    def one(m: re.Match) -> str:
+        whole, part = m.group(1).replace(",", ""), m.group(2)
+        spelt = lambda t: " ".join(SAID[int(c)] for c in t)
+        words = spelt(whole) if len(whole) > 9 or len(whole) > 1 and whole[0] == "0" else said(int(whole))
+        return words + (" point " + spelt(part[1:]) if part else "")
+
+    return NUMBER.sub(one, text)
+
+
+@F.pandas_udf(T.StringType())
+def text_normalized(text: pd.Series) -> pd.Series:
+    """Digits to words; texts without a digit are passed on."""
+    known: dict[str, str] = {}
+    return pd.Series([t if t is None or not any(c.isdigit() for c in t) else known.setdefault(t, digits_to_spoken(t)) for t in text])

@@ -67,17 +67,23 @@ def match(audio: DataFrame, lines: DataFrame, mapped: DataFrame) -> DataFrame:
     offered = offered.select("line_no", "text", F.explode(identifier_parts(F.col("id"))).alias("candidate"))
     hits = wanted.join(offered, "candidate").select("audio", "line_no", "text").dropDuplicates(["audio", "line_no"])
     joined = hits.groupBy("audio").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ").alias("joined"), F.count(F.lit(1)).alias("n_segments"))
-    firsts = lines.select("line_no", F.trim("value").alias("line")).filter(F.col("line").contains(":"))
-    firsts = firsts.select("line_no", "line", F.explode(F.array_distinct(_before_colons(F.col("line")))).alias("stem"))
-    firsts = firsts.groupBy("stem").agg(F.min_by("line", "line_no").alias("whole"))
+    # the places before colons go through the join without the line's text
+    told = lines.select("line_no", F.trim("value").alias("line")).filter(F.col("line").contains(":"))
+    firsts = told.select("line_no", F.explode(F.array_distinct(_before_colons(F.col("line")))).alias("stem")).groupBy("stem").agg(F.min("line_no").alias("first"))
+    stems = files.select(tx.stem(F.col("audio")).alias("stem")).distinct()
+    firsts = stems.join(firsts, "stem").join(told.select(F.col("line_no").alias("first"), F.col("line").alias("whole")), "first").select("stem", "whole")
     out = files.withColumn("stem", tx.stem(F.col("audio"))).join(joined, "audio", "left").join(firsts, "stem", "left")
     return out.select("audio", F.coalesce("joined", "whole").alias("reference"), F.coalesce("n_segments", F.lit(0)).cast("bigint").alias("n_segments")).filter(F.col("reference").isNotNull() & (F.col("reference") != ""))
 
 
+#: A stem is part of a file name, and no file system takes a longer one.
+NAME = 255
+
+
 def _before_colons(line: Column) -> Column:
-    """What stands before each colon of a line."""
-    parts = F.split(line, ":")
-    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ":"))
+    """What stands before each colon of a line, as far as it can be a file's name."""
+    parts = F.split(F.substring(line, 1, NAME + 1), ":")
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ":"))).otherwise(F.array().cast("array<string>"))
 
 
 def by_stem(audio: DataFrame, texts: DataFrame) -> DataFrame:

@@ -40,6 +40,12 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the stored tables of this run; for long sessions, once the results that were read from them are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/phonolake/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: a lost executor costs nothing, lineage is cut."""
     path = fresh_path(df.sparkSession)

@@ -32,7 +32,7 @@ def corpus_rates(rows: DataFrame, *by: str, rtf: str | None = None, memory: str
 def grid(left: DataFrame, right: DataFrame, facts: DataFrame, on: list[str], value: Column) -> DataFrame:
     """Every pair of two small dimensions with the count of facts and a sum, zero where there are none."""
     cells = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), value)
-    name = value._jc.toString().rsplit(" AS ", 1)[-1].strip("`")
+    name = cells.columns[-1]
     return left.crossJoin(right).join(cells, on, "left").fillna(0, ["n", name])
 
 
@@ -44,7 +44,7 @@ def pivot_first(df: DataFrame, index: str, columns: str, names: list[str], value
 def delta(df: DataFrame, key: str, value: str, baseline: str) -> DataFrame:
     """Difference to the baseline's value, in percentage points. One aggregated row for each key."""
     base = df.filter(F.col(key) == baseline).select(F.col(value).alias("baseline"))
-    return df.crossJoin(F.broadcast(base)).withColumn("delta_pp", (F.col(value) - F.col("baseline")) * 100)
+    return df.crossJoin(base).withColumn("delta_pp", (F.col(value) - F.col("baseline")) * 100)
 
 
 def with_index(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:

@@ -109,7 +109,13 @@ def k03(spark, folder):
     return sinks.evaluation(table(spark, folder, "stage_config").select(F.col("channel").alias("slice"), "stage", "vad"), rates, {"model": "stub", "device": "cpu"})
 
 
-@query("k04_results_document")
+RESULTS = """
+SELECT '{"results":[' || string_agg('{"stage":' || coalesce('"' || stage || '"', 'null') || ',"n":' || n || ',"wer":' || coalesce(wer::VARCHAR, 'null') || '}', ',' ORDER BY stage NULLS FIRST) || ']}' AS value
+FROM (SELECT stage, count(*) AS n, round(sum(word_errors) / nullif(sum(reference_words), 0), 6) AS wer FROM p GROUP BY stage)
+"""
+
+
+@query("k04_results_document", PAIRS + RESULTS)
 def k04(spark, folder):
     """``results`` of the stages, one value."""
     rates = report.corpus_rates(report.scored(dealt(spark, folder, "experiment_results", "result_id", "stage", "file", "original_duration_seconds", "rtf_total", "reference", "hypothesis")), "stage")
@@ -124,18 +130,11 @@ def k05(spark, folder):
     return row.select("result_id", F.from_csv("value", F.lit("cell string"), {"escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})["cell"].alias("cell"))
 
 
-@query("k08_console", "SELECT result_id, rpad(coalesce(stage, ''), 35, ' ') || ' ' || lpad(coalesce(printf('%.4f', floor(wer * 10000 + 0.5) / 10000), 'N/A'), 10, ' ') || ' ' || lpad(coalesce(printf('%.4f', floor(cer * 10000 + 0.5) / 10000), 'N/A'), 10, ' ') || ' ' || lpad(coalesce(printf('%.4f', floor(rtf_total * 10000 + 0.5) / 10000), 'N/A'), 10, ' ') AS row FROM experiment_results WHERE stage IS NOT NULL AND NOT coalesce(isnan(wer), false) AND NOT coalesce(isnan(rtf_total), false)")
-def k08(spark, folder):
-    df = table(spark, folder, "experiment_results").filter("stage is not null and not coalesce(isnan(wer), false) and not coalesce(isnan(rtf_total), false)")
-    cells = [F.rpad("stage", 35, " "), *[F.lpad(report.shown(F.col(c)), 10, " ") for c in ("wer", "cer", "rtf_total")]]
-    return df.select("result_id", F.concat_ws(" ", *cells).alias("row"))
-
-
 CELL = "lpad(coalesce(CASE WHEN isnan({c}) THEN 'nan' ELSE printf('%.4f', floor({c} * 10000 + 0.5) / 10000) END, 'N/A'), 10, ' ')"
 
 
-@query("k08_console_all", f"SELECT result_id, rpad(coalesce(stage, ''), 35, ' ') || ' ' || {CELL.format(c='wer')} || ' ' || {CELL.format(c='cer')} || ' ' || {CELL.format(c='rtf_total')} AS row FROM experiment_results")
-def k08_all(spark, folder):
+@query("k08_console", f"SELECT result_id, rpad(coalesce(stage, ''), 35, ' ') || ' ' || {CELL.format(c='wer')} || ' ' || {CELL.format(c='cer')} || ' ' || {CELL.format(c='rtf_total')} AS row FROM experiment_results")
+def k08(spark, folder):
     """Every row: a missing stage is a blank cell, a metric that isn't a number is nan, as the console has it."""
     cells = [F.rpad(F.coalesce("stage", F.lit("")), 35, " "), *[F.lpad(report.shown(F.col(c)), 10, " ") for c in ("wer", "cer", "rtf_total")]]
     return table(spark, folder, "experiment_results").select("result_id", F.concat_ws(" ", *cells).alias("row"))
@@ -145,7 +144,7 @@ def k08_all(spark, folder):
 
 
 def stage_rows(spark, folder):
-    return dealt(spark, folder, "experiment_results").join(F.broadcast(table(spark, folder, "stage_config")), "stage")
+    return dealt(spark, folder, "experiment_results").join(table(spark, folder, "stage_config"), "stage")
 
 
 @query("proj01_code_mixed", f"SELECT example_id FROM examples WHERE regexp_matches({sql_norm('reference')}, '[\\x{{0900}}-\\x{{097f}}]') AND regexp_matches({sql_norm('reference')}, '[A-Za-z]')")
@@ -198,16 +197,17 @@ def proj09(spark, folder):
     return e.select("result_id", F.contains("stage", F.lit("diarization")).alias("needs_speakers"), F.contains("stage", F.lit("vad")).alias("needs_vad"))
 
 
-@query("proj10_records", PAIRS + "SELECT result_id, file, round(original_duration_seconds, 3) AS seconds, round(rtf_total, 6) AS rtf, reference_words, reference_characters FROM p")
+@query("proj10_records", PAIRS + "SELECT result_id, file, original_duration_seconds AS seconds, rtf_total AS rtf, reference_words, reference_characters FROM p")
 def proj10(spark, folder):
     rows = report.scored(dealt(spark, folder, "experiment_results", "result_id", "stage", "file", "original_duration_seconds", "rtf_total", "reference", "hypothesis"))
     record = rows.select("result_id", F.struct("file", F.col("original_duration_seconds").alias("seconds"), F.col("rtf_total").alias("rtf"), align.metric(F.col("counts")).alias("metrics")).alias("r"))
-    return record.select("result_id", "r.file", F.round("r.seconds", 3).alias("seconds"), F.round("r.rtf", 6).alias("rtf"), "r.metrics.reference_words", "r.metrics.reference_characters")
+    return record.select("result_id", "r.file", "r.seconds", "r.rtf", "r.metrics.reference_words", "r.metrics.reference_characters")
 
 
-@query("proj11_yes_no", "SELECT result_id, CASE WHEN \"Language Prob\" >= 0.8 THEN 'YES' ELSE 'NO' END AS sure FROM transcription_results WHERE NOT coalesce(isnan(\"Language Prob\"), false)")
+@query("proj11_yes_no", "SELECT result_id, CASE WHEN \"Language Prob\" >= 0.8 AND NOT isnan(\"Language Prob\") THEN 'YES' ELSE 'NO' END AS sure FROM transcription_results")
 def proj11(spark, folder):
-    return table(spark, folder, "transcription_results").filter("not coalesce(isnan(`Language Prob`), false)").select("result_id", tx.yes_no(F.col("Language Prob") >= 0.8).alias("sure"))
+    """What isn't a number isn't sure."""
+    return table(spark, folder, "transcription_results").select("result_id", tx.yes_no((F.col("Language Prob") >= 0.8) & ~F.isnan("Language Prob")).alias("sure"))
 
 
 @query("proj12_columns", 'SELECT File AS file, "Detected Language" AS language, Transcription AS text FROM transcription_results')
@@ -223,40 +223,24 @@ def proj13(spark, folder):
 
 # ---- joins ---------------------------------------------------------------------------------
 
-# every recording has lines of its own: a part, a second part, a whole with a colon, or none
+# every recording has lines of its own: a part, a second part, a whole with a colon, or one with a colon and no blank
 LINE_PARTS = """
 lines AS (
-  SELECT example_id * 2 AS line_no, s || CASE WHEN example_id % 3 = 0 THEN '_p1 ' WHEN example_id % 3 = 1 THEN ': ' ELSE ':' END || t AS value FROM base WHERE example_id % 5 <> 4
-  UNION ALL SELECT example_id * 2 + 1, 'x_' || s || '_p2 ' || t FROM base WHERE example_id % 3 = 0 AND example_id % 5 <> 4
+  SELECT example_id * 2 AS line_no, s || CASE WHEN example_id % 3 = 0 THEN '_p1 ' WHEN example_id % 3 = 1 THEN ': ' ELSE ':' END || t AS value FROM base
+  UNION ALL SELECT example_id * 2 + 1, 'x_' || s || '_p2 ' || t FROM base WHERE example_id % 3 = 0
 )"""
 MATCH_SQL = f"""
-WITH base AS (SELECT example_id, regexp_replace(string_split(audio, '/')[-1], '\\.[^.]*$', '') AS s, 'word' || example_id || ' more' AS t FROM examples WHERE audio IS NOT NULL),
+WITH base AS (SELECT example_id, regexp_replace(string_split(audio, '/')[-1], '\\.[^.]*$', '') AS s, trim(regexp_replace(coalesce(reference, ''), '[\\s\\x0b\\x85\\p{{Z}}]+', ' ', 'g')) AS t FROM examples WHERE audio IS NOT NULL),
 {LINE_PARTS},
 a AS (SELECT DISTINCT audio, regexp_replace(string_split(audio, '/')[-1], '\\.[^.]*$', '') AS s, string_split(audio, '/')[-2] AS p FROM examples WHERE audio IS NOT NULL),
 i AS (SELECT line_no, value, rtrim(regexp_extract(value, '^(\\S+)', 1), ':') AS id, regexp_extract(value, '^\\S+\\s+(.*)$', 1) AS text FROM lines),
 hits AS (SELECT audio, line_no, text FROM a JOIN i ON text <> '' AND (id = s OR id = p OR (right(s, 1) = '_' AND starts_with(id, s)) OR (right(p, 1) = '_' AND starts_with(id, p)) OR starts_with(id, s || '_') OR starts_with(id, p || '_') OR contains(id, '_' || s || '_') OR contains(id, '_' || p || '_'))),
 j AS (SELECT audio, string_agg(text, ' ' ORDER BY line_no) AS joined, count(*) AS n FROM hits GROUP BY audio),
-f AS (SELECT audio, arg_min(value, line_no) AS whole FROM a JOIN lines ON starts_with(value, s || ':') GROUP BY audio)
+f AS (SELECT audio, arg_min(trim(value), line_no) AS whole FROM a JOIN lines ON starts_with(value, s || ':') GROUP BY audio)
 SELECT audio, coalesce(joined, whole) AS reference, coalesce(n, 0)::BIGINT AS n_segments FROM a LEFT JOIN j USING (audio) LEFT JOIN f USING (audio) WHERE coalesce(joined, whole) IS NOT NULL
 """
 
 
-def match_lines(spark, folder):
-    e = table(spark, folder, "examples").filter("audio is not null").select("example_id", tx.stem(F.col("audio")).alias("s"), F.concat(F.lit("word"), F.col("example_id").cast("string"), F.lit(" more")).alias("t"))
-    e = e.filter("example_id % 5 <> 4")
-    mark = F.when(F.col("example_id") % 3 == 0, "_p1 ").when(F.col("example_id") % 3 == 1, ": ").otherwise(":")
-    first = e.select((F.col("example_id") * 2).alias("line_no"), F.concat("s", mark, "t").alias("value"))
-    second = e.filter("example_id % 3 = 0").select((F.col("example_id") * 2 + 1).alias("line_no"), F.concat(F.lit("x_"), "s", F.lit("_p2 "), "t").alias("value"))
-    return first.unionByName(second)
-
-
-@query("j01_manifest_match", MATCH_SQL)
-def j01(spark, folder):
-    recordings = table(spark, folder, "examples").filter("audio is not null").select("audio")
-    none = spark.createDataFrame([], "audio_path string, identifier string")
-    return manifest.match(recordings, match_lines(spark, folder), none)
-
-
 def reference_lines(spark, folder):
     """A line of every example with its reference, and a second one of every third."""
     e = table(spark, folder, "examples").filter("audio is not null")
@@ -267,20 +251,14 @@ def reference_lines(spark, folder):
     return first.unionByName(second)
 
 
-@query("j01_manifest_match_all")
-def j01_all(spark, folder):
+@query("j01_manifest_match", MATCH_SQL)
+def j01(spark, folder):
     """Every recording against the lines of all examples with their references."""
     recordings = table(spark, folder, "examples").filter("audio is not null").select("audio")
     none = spark.createDataFrame([], "audio_path string, identifier string")
     return manifest.match(recordings, reference_lines(spark, folder), none)
 
 
-@query("j02_manifest_fallback_all")
-def j02_all(spark, folder):
-    """Of these, the recordings that take a whole line."""
-    return j01_all(spark, folder).filter("n_segments = 0").select("audio", "reference")
-
-
 @query("j02_manifest_fallback", f"SELECT audio, reference FROM ({MATCH_SQL}) WHERE n_segments = 0")
 def j02(spark, folder):
     return j01(spark, folder).filter("n_segments = 0").select("audio", "reference")
@@ -357,14 +335,15 @@ def a01(spark, folder):
     return rounded(report.corpus_rates(report.scored(dealt(spark, folder, "experiment_results", "result_id", "stage", "file", "original_duration_seconds", "rtf_total", "reference", "hypothesis")), "stage"), "wer", "cer")
 
 
-@query("a02_mean_rtf", "SELECT stage, round(avg(rtf_total), 6) AS mean_rtf FROM experiment_results WHERE NOT coalesce(isnan(rtf_total), false) GROUP BY stage")
+@query("a02_mean_rtf", "SELECT stage, round(avg(rtf_total) FILTER (WHERE NOT isnan(rtf_total)), 6) AS mean_rtf FROM experiment_results GROUP BY stage")
 def a02(spark, folder):
-    return table(spark, folder, "experiment_results").filter("not coalesce(isnan(rtf_total), false)").groupBy("stage").agg(F.round(F.avg("rtf_total"), 6).alias("mean_rtf"))
+    """Over the rows that have a number; a stage without one has null."""
+    return table(spark, folder, "experiment_results").groupBy("stage").agg(F.round(F.avg(F.nanvl("rtf_total", F.lit(None).cast("double"))), 6).alias("mean_rtf"))
 
 
-@query("a03_peak_memory", "SELECT stage, max(gpu_memory_mb) AS peak_mb FROM experiment_results WHERE NOT coalesce(isnan(gpu_memory_mb), false) GROUP BY stage")
+@query("a03_peak_memory", "SELECT stage, max(gpu_memory_mb) FILTER (WHERE NOT isnan(gpu_memory_mb)) AS peak_mb FROM experiment_results GROUP BY stage")
 def a03(spark, folder):
-    return table(spark, folder, "experiment_results").filter("not coalesce(isnan(gpu_memory_mb), false)").groupBy("stage").agg(F.max("gpu_memory_mb").alias("peak_mb"))
+    return table(spark, folder, "experiment_results").groupBy("stage").agg(F.max(F.nanvl("gpu_memory_mb", F.lit(None).cast("double"))).alias("peak_mb"))
 
 
 @query("a04_slice_counts", "SELECT s.stage, count(e.result_id) AS n FROM (SELECT stage FROM stage_config UNION ALL SELECT 'never run') s LEFT JOIN experiment_results e ON e.stage = s.stage GROUP BY s.stage")
@@ -389,16 +368,8 @@ def a05(spark, folder):
     return totals.groupBy("speaker").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("seconds"), 3).alias("seconds"))
 
 
-@query("a06_longest_speaker", f"SELECT clip, round(max(seconds), 6) AS seconds, arg_max(speaker, seconds) AS speaker FROM ({TURNS_SQL}) GROUP BY clip HAVING count(*) = count(DISTINCT seconds)")
+@query("a06_longest_speaker", "SELECT clip, round(max(seconds), 6) AS seconds, first(speaker ORDER BY seconds DESC, place) AS speaker FROM (SELECT result_id AS clip, unnest(map_keys(speaker_durations)) AS speaker, greatest(0, unnest(map_values(speaker_durations))) AS seconds, unnest(range(cardinality(speaker_durations)::BIGINT)) AS place FROM experiment_results WHERE speaker_durations IS NOT NULL) GROUP BY clip")
 def a06(spark, folder):
-    """Clips without ties here, as SQL's choice among equals is free; ties are in the tests."""
-    totals = segments.speaker_totals(speaker_turns(spark, folder))
-    plain = totals.groupBy("clip").agg(F.count(F.lit(1)).alias("a"), F.countDistinct("seconds").alias("b")).filter("a = b").select("clip")
-    return segments.longest_speaker(totals).join(plain, "clip").select("clip", F.round("seconds", 6).alias("seconds"), "speaker")
-
-
-@query("a06_longest_speaker_all", "SELECT clip, round(max(seconds), 6) AS seconds, first(speaker ORDER BY seconds DESC, place) AS speaker FROM (SELECT result_id AS clip, unnest(map_keys(speaker_durations)) AS speaker, greatest(0, unnest(map_values(speaker_durations))) AS seconds, unnest(range(cardinality(speaker_durations)::BIGINT)) AS place FROM experiment_results WHERE speaker_durations IS NOT NULL) GROUP BY clip")
-def a06_all(spark, folder):
     """Every clip; of equal speakers the first heard."""
     totals = segments.speaker_totals(speaker_turns(spark, folder))
     return segments.longest_speaker(totals).select("clip", F.round("seconds", 6).alias("seconds"), "speaker")
@@ -465,8 +436,10 @@ def a19(spark, folder):
 @query("a20_grouping_sets", PAIRS + "SELECT channel, vad, count(*) AS n, round(sum(word_errors) / nullif(sum(reference_words), 0), 6) AS wer FROM p JOIN stage_config USING (stage) GROUP BY GROUPING SETS ((channel, vad), (channel), ())")
 def a20(spark, folder):
     """The rates by channel and detection, by channel, and over all."""
-    report.scored(stage_rows(spark, folder)).createOrReplaceTempView("phonolake_scored")
-    return spark.sql("SELECT channel, vad, count(*) AS n, round(sum(counts.word_errors) / nullif(sum(counts.reference_words), 0), 6) AS wer FROM phonolake_scored GROUP BY GROUPING SETS ((channel, vad), (channel), ())")
+    rows = report.scored(stage_rows(spark, folder)).select("channel", "vad", "counts.word_errors", "counts.reference_words")
+    channel, vad = F.col("channel"), F.col("vad")
+    grouped = rows.groupingSets([[channel, vad], [channel], []], channel, vad)
+    return grouped.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("word_errors") / F.nullif(F.sum("reference_words"), F.lit(0)), 6).alias("wer"))
 
 
 # ---- ranks, limits, sets -------------------------------------------------------------------
@@ -499,7 +472,7 @@ def l05(spark, folder):
     return table(spark, folder, "experiment_results").filter(F.contains("hypothesis", F.lit("order"))).groupBy("file").agg(F.min_by("hypothesis", "result_id").alias("first_text"))
 
 
-@query("l06_halving")
+@query("l06_halving", "SELECT result_id, CASE WHEN result_id % 97 <> 0 THEN result_id::VARCHAR END AS text, CASE WHEN result_id % 97 = 0 THEN 'ValueError: bad item' END AS error FROM experiment_results")
 def l06(spark, folder):
     """Batches with failing items: each failure comes out alone."""
     from phonolake.functions import models, signal
@@ -537,9 +510,10 @@ def u03(spark, folder):
 
 # ---- structured text -----------------------------------------------------------------------
 
-@query("g01_parse_answer", "SELECT doc_id, CASE WHEN json_valid(j) THEN coalesce(json_extract_string(j, '$.extracted_intent'), 'unknown') ELSE 'unknown' END AS intent, CASE WHEN json_valid(j) THEN coalesce((json_extract_string(j, '$.confirm'))::BOOLEAN, false) ELSE false END AS confirm FROM (SELECT doc_id, regexp_extract(text, '(\\{\"extracted_intent\".*\\})', 1) AS j FROM documents) WHERE j <> ''")
+@query("g01_parse_answer", "SELECT doc_id, CASE WHEN json_valid(j) THEN coalesce(json_extract_string(j, '$.extracted_intent'), 'unknown') ELSE 'unknown' END AS intent, CASE WHEN json_valid(j) THEN coalesce((json_extract_string(j, '$.confirm'))::BOOLEAN, false) ELSE false END AS confirm FROM (SELECT doc_id, coalesce(regexp_extract(text, '(\\{\"extracted_intent\".*\\})', 1), '') AS j FROM documents)")
 def g01(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", F.regexp_extract("text", r'(\{"extracted_intent".*\})', 1).alias("j")).filter("j <> ''")
+    """Answers within the texts; a text without one, or with a broken one, takes the failure branch."""
+    rows = table(spark, folder, "documents").select("doc_id", F.regexp_extract("text", r'(\{"extracted_intent".*\})', 1).alias("j"))
     a = st.parse_answer(F.col("j"), F.lit(""), F.lit(False), "extracted_intent", "confirm")
     return rows.select("doc_id", a.alias("a")).select("doc_id", "a.intent", F.col("a.requires_confirmation").alias("confirm"))
 
@@ -580,10 +554,11 @@ def g07(spark, folder):
     return table(spark, folder, "documents").filter("text is not null").select(intent).filter("intent <> ''").groupBy("intent").agg(F.count(F.lit(1)).alias("n")).withColumn("known", st.known_intent(F.col("intent")))
 
 
-@query("f13_split", "SELECT CASE WHEN example_id % 10 < 8 THEN 'train' ELSE 'validation' END AS part, count(*) AS n FROM examples GROUP BY 1")
+@query("f13_split", "SELECT CASE WHEN ('0x' || substr(md5(example_id::VARCHAR), 1, 7))::BIGINT % 10 < 8 THEN 'train' ELSE 'validation' END AS part, count(*) AS n FROM examples GROUP BY 1")
 def f13(spark, folder):
-    """Eight of ten keys, by arithmetic on the key, so that it is the same on any cluster."""
-    return table(spark, folder, "examples").groupBy(F.when(F.col("example_id") % 10 < 8, "train").otherwise("validation").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    """Eight of ten keys by a hash of the key, so that it is the same on any cluster and no pattern of the keys shows."""
+    bucket = F.conv(F.substring(F.md5(F.col("example_id").cast("string")), 1, 7), 16, 10).cast("bigint") % 10
+    return table(spark, folder, "examples").groupBy(F.when(bucket < 8, "train").otherwise("validation").alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("w12_context_lag", "SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS context FROM events")

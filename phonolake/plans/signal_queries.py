@@ -10,7 +10,7 @@ from phonolake.functions import structured as st
 from phonolake.functions import text as tx
 from phonolake.operators import merging, report, segments
 from phonolake.plans import pipelines
-from phonolake.plans.register import PAIRS, dealt, query, table
+from phonolake.plans.register import PAIRS, dealt, q, query, table
 from phonolake.streaming import turns
 
 VEC = "list_transform(embedding, lambda x: x::DOUBLE)"
@@ -200,18 +200,13 @@ def w04(spark, folder):
     return vectors(spark, folder).select("vec_id", F.explode(chunks).alias("c")).select("vec_id", F.col("c.chunk_index").alias("piece"), total(F.col("c.chunk")).alias("total"))
 
 
-@query("w05_merge_overlap", "SELECT result_id, trim(regexp_replace(hypothesis, '\\s+', ' ', 'g')) AS merged FROM (SELECT result_id, hypothesis, list_filter(string_split(hypothesis, ' '), lambda w: w <> '') AS w FROM experiment_results) WHERE len(w) BETWEEN 6 AND 20 AND len(list_distinct(w)) = len(w) AND NOT regexp_matches(hypothesis, '[^\\S ]|[\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x0b]')")
-def w05(spark, folder):
-    """Texts of distinct words, cut into halves that share three words, and merged."""
-    e = table(spark, folder, "experiment_results").withColumn("w", F.filter(F.split("hypothesis", " "), lambda x: x != ""))
-    e = e.filter(F.size("w").between(6, 20) & (F.size(F.array_distinct("w")) == F.size("w")) & ~F.col("hypothesis").rlike(r"[^\S ]|[\x{a0}\x{2000}-\x{200a}\x{202f}\x0b]"))
-    half = F.floor(F.size("w") / 2).cast("int")
-    left, right = F.array_join(F.slice("w", F.lit(1), half + 1), " "), F.array_join(F.slice("w", half - 1, F.size("w")), " ")
-    return e.select("result_id", merging.merge(left, right).alias("merged"))
+#: Words of a hypothesis by blanks of any kind; two lists of words as one, without the longest run (twelve at most) that ends the first and begins the second.
+WORDS_SQL = "list_filter(string_split(regexp_replace(hypothesis, '[\\s\\x0b\\x85\\p{Z}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+MERGED_SQL = "CASE WHEN len({a}) = 0 THEN {b} WHEN {a} = {b} THEN {a} ELSE list_concat({a}, {b}[coalesce(list_max(list_filter(range(1, least(12, len({a}), len({b})) + 1), lambda n: {a}[len({a}) - n + 1 :] = {b}[1:n])), 0) + 1 :]) END"
 
 
-@query("w05_merge_overlap_all")
-def w05_all(spark, folder):
+@query("w05_merge_overlap", f"SELECT result_id, array_to_string({MERGED_SQL.format(a='l', b='r')}, ' ') AS merged FROM (SELECT result_id, w[1 : len(w) // 2 + 1] AS l, w[greatest(len(w) // 2 - 1, 1) :] AS r FROM (SELECT result_id, {WORDS_SQL} AS w FROM experiment_results WHERE hypothesis IS NOT NULL))")
+def w05(spark, folder):
     """Every text, cut into halves that share three words where it has them, and merged; words may return, so the longest overlap may be longer."""
     e = table(spark, folder, "experiment_results").filter("hypothesis is not null").select("result_id", merging.words(F.col("hypothesis")).alias("w"))
     half = F.floor(F.size("w") / 2).cast("int")
@@ -219,20 +214,8 @@ def w05_all(spark, folder):
     return e.select("result_id", merging.merge(left, right).alias("merged"))
 
 
-PLAIN_WORDS = "len(w) > 0 AND len(list_distinct(w)) = len(w) AND NOT regexp_matches(hypothesis, '[^\\S ]|[\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x0b]')"
-
-
-@query("a16_chunk_merge", f"SELECT result_id, array_to_string(w, ' ') AS text, (CASE WHEN len(w) <= 8 THEN 1 ELSE ceil((len(w) - 8) / 5.0) + 1 END)::BIGINT AS n_chunks FROM (SELECT result_id, hypothesis, list_filter(string_split(hypothesis, ' '), lambda w: w <> '') AS w FROM experiment_results) WHERE {PLAIN_WORDS}")
+@query("a16_chunk_merge", f"SELECT result_id, array_to_string(list_reduce(list_transform(range(n), lambda k: w[k * 5 + 1 : k * 5 + 8]), lambda x, y: {MERGED_SQL.format(a='x', b='y')}), ' ') AS text, n AS n_chunks FROM (SELECT *, CASE WHEN len(w) <= 8 THEN 1 ELSE ceil((len(w) - 8) / 5.0) + 1 END::BIGINT AS n FROM (SELECT result_id, {WORDS_SQL} AS w FROM experiment_results) WHERE len(w) > 0)")
 def a16(spark, folder):
-    """Texts of distinct words, cut into chunks of eight that share three, as rows; merged again in order."""
-    e = table(spark, folder, "experiment_results").withColumn("w", F.filter(F.split("hypothesis", " "), lambda x: x != ""))
-    e = e.filter((F.size("w") > 0) & (F.size(F.array_distinct("w")) == F.size("w")) & ~F.col("hypothesis").rlike(r"[^\S ]|[\x{a0}\x{2000}-\x{200a}\x{202f}\x0b]"))
-    chunks = e.select("result_id", F.explode(sg.overlapped(F.col("w"), 8, 3)).alias("c")).select("result_id", "c.chunk_index", F.array_join("c.chunk", " ").alias("text"))
-    return merging.fold(chunks, "result_id", "chunk_index", "text")
-
-
-@query("a16_chunk_merge_all")
-def a16_all(spark, folder):
     """Every text that isn't blank, cut into chunks of eight that share three and merged again in order; where words return, a merge may take more than was shared."""
     e = table(spark, folder, "experiment_results").select("result_id", merging.words(F.col("hypothesis")).alias("w")).filter(F.size("w") > 0)
     chunks = e.select("result_id", F.explode(sg.overlapped(F.col("w"), 8, 3)).alias("c")).select("result_id", "c.chunk_index", F.array_join("c.chunk", " ").alias("text"))
@@ -291,6 +274,30 @@ def w07b(spark, folder):
     return sg.for_each_batch(jobs, loud_runs, "file_index bigint, chunk_index int, start bigint, end bigint").dropDuplicates()
 
 
+VAD_SQL = """
+WITH j AS (SELECT file_index, chunk_index, any_value(audio) AS audio, any_value(len(audio)) AS n FROM chunk_jobs WHERE len(audio) > 0 GROUP BY ALL),
+x AS (SELECT file_index, chunk_index, n, unnest(range(len(audio))) AS i, unnest(audio) AS v FROM j),
+l AS (SELECT *, CASE WHEN i - lag(i) OVER w - 1 < 8 THEN 0 ELSE 1 END AS fresh FROM x WHERE abs(v) >= 0.05::FLOAT WINDOW w AS (PARTITION BY file_index, chunk_index ORDER BY i)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY file_index, chunk_index ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM l),
+r AS (SELECT file_index, chunk_index, n, min(i) AS s, max(i) + 1 AS e FROM g GROUP BY file_index, chunk_index, n, g HAVING max(i) + 1 - min(i) >= 4)
+SELECT file_index, chunk_index, greatest(s - 3, 0)::BIGINT AS start, least(e + 3, n)::BIGINT AS "end" FROM r
+"""
+
+
+@query("w07c_vad", VAD_SQL)
+def w07c(spark, folder):
+    """Speech with its limits: a higher level, pauses of half a second, speech of a quarter, and padding."""
+    import pandas as pd
+
+    def run(batch):
+        found = zip(batch["file_index"], batch["chunk_index"], batch["audio"], strict=True)
+        rows = [(f, c, s, e) for f, c, a in found for s, e in models.speech_spans(a, 0.05, least_speech=4, least_silence=8, pad=3)]
+        return pd.DataFrame(rows, columns=["file_index", "chunk_index", "start", "end"])
+
+    jobs = table(spark, folder, "chunk_jobs").filter(F.size("audio") > 0).select("file_index", "chunk_index", "audio")
+    return sg.for_each_batch(jobs, run, "file_index bigint, chunk_index int, start bigint, end bigint").dropDuplicates()
+
+
 @query("w08_trailing_silence", "SELECT result_id, round(greatest(0, original_duration_seconds - coalesce(vad_speech_seconds, 0)), 6) AS silence, greatest(0, original_duration_seconds - coalesce(vad_speech_seconds, 0)) >= 0.8 AS finished FROM experiment_results")
 def w08(spark, folder):
     silence = segments.trailing_silence(F.col("original_duration_seconds"), F.col("vad_speech_seconds"))
@@ -346,17 +353,26 @@ def f01(spark, folder):
     return models.transcribed(table(spark, folder, "chunk_jobs"), ["file_index", "chunk_index", "queued_at"], "audio", RATE, models.Stub)
 
 
-class Upper:
-    """A stand-in for a correcting model."""
+class Marked:
+    """A stand-in for a correcting model: the text with its context before it and a mark behind."""
 
     def correct(self, texts, contexts):
-        return [t.upper() for t in texts]
+        return [f"[{c}] {t}." for t, c in zip(texts, contexts, strict=True)]
+
+
+CORRECTED = "'[' || coalesce(File, '') || '] ' || coalesce(Transcription, '') || '.'"
+
+
+@query("f08_hotwords")
+def f08(spark, folder):
+    """Every job with hotwords and a prompt for the decoder."""
+    return models.transcribed(table(spark, folder, "chunk_jobs"), ["file_index", "chunk_index", "queued_at"], "audio", RATE, models.Stub, hotwords=("Selquora", "Ostrivel"), prompt="A helpline call.")
 
 
-@query("f10_correct")
+@query("f10_correct", f"SELECT result_id, {CORRECTED} AS corrected FROM transcription_results")
 def f10(spark, folder):
     """Every transcription through the correction interface; a failure leaves the raw text."""
-    return models.corrected(table(spark, folder, "transcription_results"), ["result_id"], "Transcription", "File", Upper)
+    return models.corrected(table(spark, folder, "transcription_results"), ["result_id"], "Transcription", "File", Marked)
 
 
 @query("st01_turns", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 600 SECOND THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL), r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT user_id, round(epoch(min(ts)), 3) AS turn_start, round(epoch(max(ts)) + 600, 3) AS turn_end, count(*) AS n FROM r GROUP BY user_id, run")
@@ -394,10 +410,10 @@ def c01(spark, folder):
     return pipelines.evaluation(table(spark, folder, "examples"), table(spark, folder, "chunk_jobs"), models.Stub, RATE)
 
 
-@query("c02_run_stage", "SELECT stage, count(*) AS n, round(sum(processed), 3) AS processed FROM (SELECT c.stage, CASE WHEN c.vad THEN p.loud ELSE p.n END / 16.0::DOUBLE AS processed FROM (SELECT file_index, chunk_index, any_value(len(audio)) AS n, any_value(len(list_filter(audio, lambda x: abs(x) >= 0.02::FLOAT))) AS loud FROM chunk_jobs WHERE len(audio) > 0 GROUP BY ALL) p CROSS JOIN stage_config c WHERE c.channel = 'average') GROUP BY stage")
+@query("c02_run_stage", "SELECT stage, count(*) AS n, round(sum(processed), 3) AS processed FROM (SELECT c.stage, CASE WHEN c.channel = 'right' THEN NULL WHEN c.vad THEN p.loud ELSE p.n END / 16.0::DOUBLE AS processed FROM (SELECT file_index, chunk_index, any_value(len(audio)) AS n, any_value(len(list_filter(audio, lambda x: abs(x) >= 0.02::FLOAT))) AS loud FROM chunk_jobs WHERE len(audio) > 0 GROUP BY ALL) p CROSS JOIN stage_config c) GROUP BY stage")
 def c02(spark, folder):
-    """Every stage of the average channel over every job: what is left after speech detection by level."""
-    done = pipelines.stages(table(spark, folder, "chunk_jobs"), table(spark, folder, "stage_config").filter("channel = 'average'"), RATE)
+    """Every stage over every job: what is left after speech detection by level; a stage that can't run has none."""
+    done = pipelines.stages(table(spark, folder, "chunk_jobs"), table(spark, folder, "stage_config"), RATE)
     return done.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("processed_duration_seconds"), 3).alias("processed"))
 
 
@@ -408,6 +424,13 @@ def c03(spark, folder):
     return done.groupBy("stage", F.col("error").isNotNull().alias("failed")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("c02b_stage_results")
+def c02b(spark, folder):
+    """The results of every stage for every recording, with stand-ins for the models."""
+    level = models.Levels(0.05, least_speech=4, least_silence=8, pad=3)
+    return pipelines.stage_run(table(spark, folder, "examples"), table(spark, folder, "chunk_jobs"), table(spark, folder, "stage_config"), RATE, models.Stub, level, level, level)
+
+
 @query("c04_baseline_table", 'SELECT result_id, File AS file, "Detected Language" AS language, CASE WHEN "Duration (s)" > 0 THEN round("Inference Time (s)" / "Duration (s)", 3) ELSE 0.0 END::DOUBLE AS rtf, trim(Transcription) AS text FROM transcription_results')
 def c04(spark, folder):
     return pipelines.baseline(table(spark, folder, "transcription_results"))
@@ -436,39 +459,19 @@ def c08(spark, folder):
     return table(spark, folder, "experiment_results").select("result_id", n.alias("segments"), tx.yes_no(segments.turn_finished(silence, n > 0)).alias("finished"))
 
 
-@query("c09_context_correction", "SELECT result_id, 'How can I help you?' AS question, upper(regexp_replace(coalesce(Transcription, ''), '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g')) AS corrected FROM transcription_results WHERE regexp_matches(coalesce(Transcription, ''), '^[\\x00-\\x7f]*$')")
-def c09(spark, folder):
-    rows = table(spark, folder, "transcription_results").filter(F.coalesce("Transcription", F.lit("")).rlike(r"^[\x00-\x7f]*$"))
-    done = models.corrected(rows, ["result_id"], "Transcription", "File", Upper)
-    return done.select("result_id", F.lit("How can I help you?").alias("question"), "corrected")
-
+QUESTION = "How can I help you?"
 
-@query("c09_context_correction_all")
-def c09_all(spark, folder):
-    """Every transcription with its correction, whatever its letters; SQL has other capitals (ß), so the tests compare it."""
-    done = models.corrected(table(spark, folder, "transcription_results"), ["result_id"], "Transcription", "File", Upper)
-    return done.select("result_id", F.lit("How can I help you?").alias("question"), "corrected")
 
-
-@query("c10_voicebot", PAIRS + "SELECT result_id, CASE WHEN reference_words > 0 AND word_errors / reference_words > 0.5 THEN 'YES' ELSE 'NO' END AS confirm_slot, 'unknown' AS intent FROM p")
-def c10(spark, folder):
-    """The voicebot table with answers that aren't JSON: raw texts, unknown intent, confirmation where unsure."""
-    rows = report.scored(dealt(spark, folder, "experiment_results", "result_id", "reference", "hypothesis"))
-    unsure = F.coalesce(F.col("counts.word_errors") / F.nullif(F.col("counts.reference_words"), F.lit(0)) > 0.5, F.lit(False))
-    a = st.parse_answer(F.concat(F.lit("not json "), F.coalesce("hypothesis", F.lit(""))), F.col("hypothesis"), unsure)
-    return rows.select("result_id", a.alias("a")).select("result_id", tx.yes_no(F.col("a.requires_confirmation")).alias("confirm_slot"), "a.intent")
+@query("c09_context_correction", f"SELECT result_id, File AS file, {q(QUESTION)} AS question, Transcription AS raw, {CORRECTED} AS corrected, \"Inference Time (s)\" AS seconds FROM transcription_results")
+def c09(spark, folder):
+    """Every transcription with its question, as it is and corrected."""
+    rows = table(spark, folder, "transcription_results")
+    done = models.corrected(rows, ["result_id", "File", "Transcription", "Inference Time (s)"], "Transcription", "File", Marked)
+    return done.select("result_id", F.col("File").alias("file"), F.lit(QUESTION).alias("question"), F.col("Transcription").alias("raw"), "corrected", F.col("Inference Time (s)").alias("seconds"))
 
 
-@query("c11_model_sequence", "SELECT 'stub-' || m AS model, n FROM (SELECT unnest([1, 2, 3, 4, 5]) AS m) CROSS JOIN (SELECT count(*) AS n FROM examples WHERE reference IS NOT NULL)")
+@query("c11_model_sequence")
 def c11(spark, folder):
-    """Five runs as one table instead of five processes."""
-    names = spark.createDataFrame([(f"stub-{i}",) for i in range(1, 6)], "model string")
-    count = table(spark, folder, "examples").filter("reference is not null").agg(F.count(F.lit(1)).alias("n"))
-    return names.crossJoin(F.broadcast(count))
-
-
-@query("c11_model_sequence_all")
-def c11_all(spark, folder):
     """The evaluation with five stand-in models: transcribed, scored, by slice and model."""
     from functools import partial
 
@@ -485,8 +488,16 @@ def answers(text):
     return F.when(k == 0, whole).when(k == 1, F.to_json(F.struct(cleaned))).when(k == 2, F.concat(F.lit("not json "), text)).otherwise(F.lit('{"intent": "refund_issue"'))
 
 
-@query("c10_voicebot_all")
-def c10_all(spark, folder):
+INTENTS_SQL = "[" + ", ".join(map(q, st.INTENTS)) + "]"
+VOICEBOT = f"""
+SELECT result_id, CASE WHEN k < 2 THEN 'clean ' || coalesce(hypothesis, '') ELSE hypothesis END AS cleaned, CASE WHEN CASE WHEN k = 0 THEN result_id % 8 = 4 ELSE unsure END THEN 'YES' ELSE 'NO' END AS confirm_slot,
+  CASE WHEN k = 0 THEN {INTENTS_SQL}[(result_id // 4) % 4 + 1] ELSE 'unknown' END AS intent, CASE WHEN k = 0 THEN '12' END AS amount
+FROM (SELECT *, result_id % 4 AS k, reference_words > 0 AND word_errors / reference_words > 0.5 AS unsure FROM p)
+"""
+
+
+@query("c10_voicebot", PAIRS + VOICEBOT)
+def c10(spark, folder):
     """The voicebot table with valid answers, answers that lack keys, and answers that aren't JSON."""
     rows = dealt(spark, folder, "experiment_results", "result_id", "reference", "hypothesis").filter("reference is not null")
     words = lambda c: tx.words(F.coalesce(c, F.lit("")))

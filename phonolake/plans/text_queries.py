@@ -157,7 +157,10 @@ def x19(spark, folder):
     return table(spark, folder, "transcription_results").select("result_id", tx.prompt("Question: %s Answer as heard: %s Correct it.", F.lit("What is your query?"), F.col("Transcription")).alias("prompt"))
 
 
-@query("x20_hypothesis_text")
+STRIPPED = RAW_SPACE.replace("\\s", "\\s\\x{1c}-\\x{1f}")
+
+
+@query("x20_hypothesis_text", f"SELECT result_id, regexp_replace(coalesce(hypothesis, ''), '^{STRIPPED}|{STRIPPED}$', '', 'g') AS text FROM experiment_results")
 def x20(spark, folder):
     """Texts as models give them, through the adapter, in Arrow batches."""
     from phonolake.functions.signal import for_each_batch
@@ -179,3 +182,9 @@ def x21(spark, folder):
 def x22(spark, folder):
     """Spoken numbers of the hypotheses as digits; the table-driven rules have no SQL."""
     return table(spark, folder, "experiment_results").select("result_id", models.inverse_normalized(F.col("hypothesis"), F.lit("en")).alias("text"))
+
+
+@query("x22b_spelt_numbers")
+def x22b(spark, folder):
+    """Numbers of the hypotheses as words; the tests compare them."""
+    return table(spark, folder, "experiment_results").select("result_id", models.text_normalized(F.col("hypothesis")).alias("text"))

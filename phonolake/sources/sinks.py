@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phonolake.operators.report import shown
+from phonolake.operators.report import shown, with_index
 from phonolake.sources.texts import RESULTS_CSV
 
 
@@ -37,8 +37,20 @@ def results_document(df: DataFrame, order: str) -> DataFrame:
     return df.agg(F.transform(listed, lambda x: x["r"]).alias("results")).select(F.to_json(F.struct("results"), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def document_parts(df: DataFrame, order: str, path: str, mode: str = "errorifexists") -> None:
+    """The same document of any number of rows, as text parts that give it when read in the order of their names.
+
+    Rows are numbered over a range sort, and each writes its own line; no task sees all.
+    """
+    rows = with_index(df.select(F.col(order).alias("__o"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")), "__o", "value", name="__at")
+    lines = rows.select("__at", F.concat(F.when(F.col("__at") > 0, ",").otherwise(""), "value").alias("value"))
+    ends = df.sparkSession.createDataFrame([(-1, '{"results":['), (2**62, "]}")], "__at bigint, value string")
+    lines.unionByName(ends).repartitionByRange("__at").sortWithinPartitions("__at").select("value").write.mode(mode).text(path)
+
+
 def text(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.coalesce(1).write.mode(mode).text(path)
+    """Lines as they lie; parts are read in the order of their names."""
+    df.write.mode(mode).text(path)
 
 
 def csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -214,8 +214,9 @@ def every(spark, folder, tmp_path, name, table, rows):
 
 def test_every_transcription_is_corrected(spark, folder, tmp_path):
     rows = [{"result_id": 10**9 + k, "Transcription": t} for k, t in enumerate(["ein großer Fuß", "été “oui”", "привет", "नमस्ते", "你好", None, " plain "])]
-    stored, got = every(spark, folder, tmp_path, "c09_context_correction_all", "transcription_results", rows)
-    assert sorted((r.result_id, r.corrected) for r in got) == sorted((r.result_id, (r.Transcription or "").upper().strip()) for r in stored)
+    stored, got = every(spark, folder, tmp_path, "c09_context_correction", "transcription_results", rows)
+    assert sorted((r.result_id, r.corrected) for r in got) == sorted((r.result_id, f"[{r.File or ''}] {r.Transcription or ''}.") for r in stored)
+    assert {r.result_id: r.raw for r in got} == {r.result_id: r.Transcription for r in stored}
     assert {r.question for r in got} == {"How can I help you?"}
 
 
@@ -244,7 +245,7 @@ def spoken(spark, folder, tmp_path, name):
 
 
 def test_every_text_is_merged(spark, folder, tmp_path):
-    texts, got = spoken(spark, folder, tmp_path, "w05_merge_overlap_all")
+    texts, got = spoken(spark, folder, tmp_path, "w05_merge_overlap")
     want = {i: brute_merge(" ".join(w[: len(w) // 2 + 1]), " ".join(w[max(len(w) // 2 - 2, 0) :])) for i, w in texts}
     assert len(got) == len(want) and {r.result_id: r.merged for r in got} == want
     assert any(want[i] != " ".join(w) for i, w in texts)
@@ -253,7 +254,7 @@ def test_every_text_is_merged(spark, folder, tmp_path):
 def test_every_text_is_folded(spark, folder, tmp_path):
     from functools import reduce
 
-    texts, got = spoken(spark, folder, tmp_path, "a16_chunk_merge_all")
+    texts, got = spoken(spark, folder, tmp_path, "a16_chunk_merge")
     chunks = {i: [" ".join(w[a : a + 8]) for a in range(0, max(len(w) - 3, 1), 5)] for i, w in texts if w}
     want = {i: (reduce(brute_merge, c, ""), len(c)) for i, c in chunks.items()}
     assert len(got) == len(want) and {r.result_id: (r.text, r.n_chunks) for r in got} == want
@@ -272,21 +273,21 @@ def by_sql(name, tmp_path, table):
 
 def test_tied_clips_stay(spark, folder, tmp_path):
     rows = [{"result_id": 10**9 + k, "speaker_durations": m} for k, m in enumerate([{"P": 2.0, "A": 2.0}, {"C": 0.0, "A": 1.0, "P": 1.0}, {"A": 3.0}])]
-    stored, got = every(spark, folder, tmp_path, "a06_longest_speaker_all", "experiment_results", rows)
+    stored, got = every(spark, folder, tmp_path, "a06_longest_speaker", "experiment_results", rows)
     assert len(got) == sum(bool(r.speaker_durations) for r in stored)
     listed = spark.read.parquet(f"{tmp_path}/experiment_results.parquet").filter("result_id >= 1000000000").select("result_id", F.map_entries("speaker_durations").alias("e")).collect()
     first = {r.result_id: next(x.key for x in r.e if x.value == max(y.value for y in r.e)) for r in listed}
     assert {r.clip: r.speaker for r in got if r.clip in first} == first
-    assert sorted(map(tuple, got), key=str) == by_sql("a06_longest_speaker_all", tmp_path, "experiment_results")
+    assert sorted(map(tuple, got), key=str) == by_sql("a06_longest_speaker", tmp_path, "experiment_results")
 
 
 def test_console_prints_every_row(spark, folder, tmp_path):
     rows = [{"result_id": 10**9, "stage": None, "wer": 0.25, "rtf_total": float("nan")}, {"result_id": 10**9 + 1, "stage": "raw", "wer": float("nan"), "rtf_total": None}]
-    stored, got = every(spark, folder, tmp_path, "k08_console_all", "experiment_results", rows)
+    stored, got = every(spark, folder, tmp_path, "k08_console", "experiment_results", rows)
     shown = {r.result_id: r.row for r in got}
     assert len(got) == len(stored)
     assert shown[10**9].startswith(" " * 36 + "    0.2500") and shown[10**9].endswith("       nan") and shown[10**9 + 1].startswith("raw" + " " * 33 + "       nan")
-    assert sorted(map(tuple, got), key=str) == by_sql("k08_console_all", tmp_path, "experiment_results")
+    assert sorted(map(tuple, got), key=str) == by_sql("k08_console", tmp_path, "experiment_results")
 
 
 def test_five_models_are_run(spark, folder):
@@ -295,7 +296,7 @@ def test_five_models_are_run(spark, folder):
     import __spark_entry__ as e
     from phonolake.plans import pipelines
 
-    got = {(r.model, r.slice): r.asDict() for r in e.queries()["c11_model_sequence_all"](spark, folder).collect()}
+    got = {(r.model, r.slice): r.asDict() for r in e.queries()["c11_model_sequence"](spark, folder).collect()}
     examples, jobs = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("examples", "chunk_jobs"))
     alone = {r.slice: r.asDict() for r in pipelines.evaluation(examples, jobs, partial(models.Numbered, 3), 16).collect()}
     assert {m for m, _ in got} == {f"stub-{i}" for i in range(1, 6)} and got["stub-3", "clean"] == alone["clean"] | {"model": "stub-3"}
@@ -313,7 +314,7 @@ def test_voicebot_answers(spark, folder):
     import __spark_entry__ as e
 
     rows = {r.result_id: r for r in report.scored(spark.read.parquet(f"{folder}/experiment_results.parquet").select("result_id", "reference", "hypothesis")).collect()}
-    got = e.queries()["c10_voicebot_all"](spark, folder).collect()
+    got = e.queries()["c10_voicebot"](spark, folder).collect()
     assert len(got) == len(rows) and {r.intent for r in got} == {*st.INTENTS, st.UNKNOWN}
     for r in got:
         i, c, raw = r.result_id, rows[r.result_id].counts, rows[r.result_id].hypothesis
@@ -346,6 +347,78 @@ def test_all_references_are_matched(spark, folder):
         whole = next((v for v, _ in made if v.startswith(stem(a) + ":")), None)
         if hits or whole:
             want[a] = (" ".join(hits) if hits else whole, len(hits))
-    assert {r.audio: (r.reference, r.n_segments) for r in e.queries()["j01_manifest_match_all"](spark, folder).collect()} == want
+    assert {r.audio: (r.reference, r.n_segments) for r in e.queries()["j01_manifest_match"](spark, folder).collect()} == want
     assert len(want) == len({r.audio for r in rows})
-    assert {r.audio: r.reference for r in e.queries()["j02_manifest_fallback_all"](spark, folder).collect()} == {a: t for a, (t, n) in want.items() if not n}
+    assert {r.audio: r.reference for r in e.queries()["j02_manifest_fallback"](spark, folder).collect()} == {a: t for a, (t, n) in want.items() if not n}
+
+
+def test_stage_run(spark):
+    """All stages over a signal: channel, speakers, detection, denoising, texts and rates; a failing one has its error."""
+    from phonolake.plans import pipelines
+
+    examples = spark.createDataFrame([(1, "a/one.wav", "ek do"), (2, "a/two.wav", None)], "example_id bigint, audio string, reference string")
+    loud, low = [0.5] * 32, [0.01] * 16
+    jobs = spark.createDataFrame([(1, 0, loud + low), (1, 0, loud + low), (1, 1, low), (2, 0, loud), (3, 0, None), (4, 0, [])], "file_index bigint, chunk_index int, audio array<float>")
+    config = spark.createDataFrame([("raw", "average", False, False, False), ("right", "right", True, True, True), ("all", "average", True, True, True)], "stage string, channel string, vad boolean, diarization boolean, denoise boolean")
+    level = models.Levels(0.02)
+    got = {(r.stage, r.file): r for r in pipelines.stage_run(examples, jobs, config, 16, models.Stub, level, level, level).collect()}
+    assert set(got) == {(s, f) for s in ("raw", "right", "all") for f in ("a/one.wav", "a/two.wav")}
+    one = got["all", "a/one.wav"]
+    # the first chunk's halves are as long: the first speaker; its loud samples stay; the second chunk has no speech
+    assert (one.original_duration_seconds, one.processed_duration_seconds, one.vad_segments, one.vad_speech_seconds, one.selected_speaker) == (4.0, 1.5, 1, 1.5, "SPEAKER_00")
+    assert one.speaker_durations == {"SPEAKER_00": 1.5, "SPEAKER_01": 1.5} and one.wer is not None and one.error is None and one.total_time_seconds >= one.whisper_time_seconds
+    assert got["raw", "a/two.wav"].wer is None and got["raw", "a/two.wav"].vad_segments is None and got["raw", "a/one.wav"].processed_duration_seconds == 4.0
+    assert got["right", "a/one.wav"].error.startswith("ValueError") and got["right", "a/one.wav"].hypothesis == "" and got["right", "a/one.wav"].processed_duration_seconds is None
+    assert list(got["raw", "a/one.wav"].asDict()) == [*pipelines.STAGE_FIELDS, "error"]
+    plan = pipelines.stage_run(examples, jobs, config, 16, models.Stub, level, level, level)._jdf.queryExecution().executedPlan().toString()
+    assert "audio#" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    assert pipelines.stage_run(examples, jobs.limit(0), config, 16, models.Stub, level, level, level).count() == 0
+
+
+def test_speech_spans():
+    x = np.array([0, 1, 1, 0, 1, 0, 0, 0, 1, 0, 0, 0, 0, 0, 1, 1, 1], float)
+    assert models.speech_spans(x, 0.5) == [(1, 3), (4, 5), (8, 9), (14, 17)]
+    assert models.speech_spans(x, 0.5, least_silence=2) == [(1, 5), (8, 9), (14, 17)]
+    assert models.speech_spans(x, 0.5, least_silence=2, least_speech=2) == [(1, 5), (14, 17)]
+    assert models.speech_spans(x, 0.5, least_silence=2, least_speech=2, pad=9) == [(0, 9), (9, 17)]
+    assert models.speech_spans(x[:1], 0.5) == [] == models.speech_spans(x[:0], 0.5) == models.speech_spans(x, 0.5, least_speech=9)
+
+
+@pytest.mark.parametrize("text,want", [("", ""), (None, None), ("no digits", "no digits"), ("0 and 7", "zero and seven"), ("42", "forty two"), ("1,250.50 now", "one thousand two hundred fifty point five zero now"), ("12,34,567", "twelve lakh thirty four thousand five hundred sixty seven"), ("007", "zero zero seven"), ("1234567890", "one two three four five six seven eight nine zero"), ("v2.5 a1", "v2.5 a1"), ("at 10.", "at ten."), ("30000000", "three crore")])
+def test_digits_to_words(text, want):
+    assert models.digits_to_spoken(text) == want
+
+
+def test_hotwords_reach_the_model(spark):
+    jobs = spark.createDataFrame([(i, [0.1 * i] * 100) for i in range(30)], "i int, a array<float>")
+    said = {w for r in models.transcribed(jobs, ["i"], "a", 16, models.Stub, hotwords=("Ostrivel",), prompt="p").collect() for w in r.hypothesis.split()}
+    assert "Ostrivel" in said and "Ostrivel" not in {w for r in models.transcribed(jobs, ["i"], "a", 16, models.Stub).collect() for w in r.hypothesis.split()}
+
+
+def test_document_of_many_rows(spark, tmp_path):
+    rows = [(i, f"t{i}", None if i % 3 else 1.5) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, t string, x double").repartition(7)
+    sinks.document_parts(df, "i", f"{tmp_path}/doc")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*")))
+    assert json.loads(text) == {"results": [{"i": i, "t": t, "x": x} for i, t, x in rows]}
+    sinks.document_parts(df.limit(0), "i", f"{tmp_path}/none")
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*")))) == {"results": []}
+
+
+def test_lines_with_many_colons(spark):
+    """A long line is not multiplied: only what can be a file's name goes into the join."""
+    files = spark.createDataFrame([("d/a:b.wav",), ("d/c.wav",)], "audio string")
+    told = spark.createDataFrame([(0, "a:b: first"), (1, "c:" + "x:" * 50_000), (2, "a:b: second")], "line_no bigint, value string")
+    none = spark.createDataFrame([], "audio_path string, identifier string")
+    got = {r.audio: r.reference for r in manifest.match(files, told, none).collect()}
+    assert got["d/c.wav"].startswith("c:x:") and got["d/a:b.wav"] == "first second"
+
+
+def test_stored_tables_are_released(spark):
+    from phonolake.operators import ranks
+
+    df = ranks.stored(spark.range(5).toDF("i"))
+    assert df.count() == 5
+    ranks.release(spark)
+    with pytest.raises(Exception, match="(?i)path|file"):
+        df.count()

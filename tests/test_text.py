@@ -48,13 +48,13 @@ def test_strip_danda(spark):
 @given(st.lists(st.tuples(st.lists(st.sampled_from("abcdeकख"), max_size=9), st.lists(st.sampled_from("abcdeकख"), max_size=9)), min_size=1, max_size=20))
 def test_distance(spark, pairs):
     df = spark.createDataFrame([(list(a), list(b)) for a, b in pairs], "a array<string>, b array<string>")
-    got = df.select(align.token_distance(F.col("a"), F.col("b")).alias("x"), align.fold_distance(F.col("a"), F.col("b")).alias("y"), align.token_distance_udf("a", "b").alias("z")).collect()
+    got = df.select(align.token_distance(F.col("a"), F.col("b")).alias("x"), align.fold_distance(F.col("a"), F.col("b")).alias("y")).collect()
     for (a, b), r in zip(pairs, got, strict=True):
-        assert r.x == r.y == r.z == distance(a, b)
+        assert r.x == r.y == distance(a, b)
 
 
 def test_distance_of_many_tokens(spark):
-    a, b = [f"w{i}" for i in range(400)], [f"w{i}" for i in range(3, 401)]
+    a, b = [f"w{i}" for i in range(2000)], [f"w{i}" for i in range(3, 2001)]
     df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
     assert df.select(align.token_distance(F.col("a"), F.col("b")).alias("x")).first().x == distance(a, b)
 
