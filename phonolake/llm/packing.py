@@ -5,9 +5,10 @@ so are the gaps of the open containers; in each round all items of a size go at
 smallest gaps that hold them (a successor sweep over the sorted gaps), items and containers of
 one size pair up by rank, which settles conflicts, the gaps are updated, and the next smaller
 size follows; what finds no gap opens containers. Sizes and gaps are whole numbers up to the
-capacity, so a round works on runs of containers with the same gap: the plan is made from one
-count for each size (at most ``capacity`` rows, whatever the data), and the items take their
-places in it by rank, where they lie.
+capacity, so a round works on runs of containers with the same gap. These runs and the sweep
+over them are held on the driver, from one count for each size: at most ``capacity`` rows,
+whatever the data, and a capacity above ``SIZES`` is an error. The items take their places by
+rank, where they lie.
 
 Defined results: items without size (null or empty texts) are in no container; an item above
 the capacity is split into pieces of the capacity and a rest, all others stay whole; ties are
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from phonolake.operators.ranks import sorted_parts, stored, with_position
 
 CAPACITY = 2048
+#: The greatest capacity: the plan has one row for each size on the driver, and a few places for each in the workers.
+SIZES = 2**17
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -79,6 +82,8 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
 
 def pack(items: DataFrame, item_id: str, size: str, capacity: int = CAPACITY) -> DataFrame:
     """item id, piece_no, start, size and container_id of each item, or of each piece of one above the capacity."""
+    if not 0 < capacity <= SIZES:
+        raise ValueError(f"capacity {capacity} isn't between 1 and {SIZES}")
     cut = F.transform(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int")), lambda k: F.struct(k.alias("piece_no"), (k * capacity).alias("start"), F.least(F.col("n") - k * capacity, F.lit(capacity)).alias("size")))
     sized = items.select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{size}`").cast("int").alias("n")).filter(F.col("n") > 0)
     pieces = stored(sized.select("item", F.explode(cut).alias("p")).select("item", "p.piece_no", "p.start", "p.size"))

@@ -491,6 +491,16 @@ def test_plan_never_overfills():
             assert opened <= least * 11 / 9 + 1
 
 
+def test_capacity_is_bounded(spark):
+    for capacity in (0, p8.SIZES + 1):
+        with pytest.raises(ValueError, match="capacity"):
+            p8.pack(spark.createDataFrame([(1, 2)], "doc_id int, n int"), "doc_id", "n", capacity)
+    # the plan of the greatest capacity stays small
+    rng = random.Random(3)
+    places, opened = p8.plan(Counter(rng.randint(1, p8.SIZES) for _ in range(200_000)), p8.SIZES)
+    assert len(places) < 3 * p8.SIZES and opened > 0
+
+
 def test_pack(spark):
     rng = random.Random(8)
     rows = [(i, rng.choice([None, 0, 7, 7, rng.randint(1, 100), 250])) for i in range(900)]
