@@ -32,7 +32,7 @@ BUCKETS, WIDTH, ORDERS = 2**15, 16, (1, 2, 3, 4)
 PARTS, EPOCHS, RATE, STEP = 8, 9, 0.5, 16
 #: Probability under which a sentence alone is not trusted; price of a change of language.
 REJECT, CHANGE = 0.55, 1.2
-CHARS = 200_000
+CHARS = 30_000
 #: Share of the sentences kept aside (one of ``FOLDS``) that rejection may lose; letters from which a text has the limit of long ones.
 LOST, LONG, FOLDS = 0.05, 15, 4
 #: Sentences whose probabilities a worker keeps between batches.
@@ -56,8 +56,8 @@ def label_language(label: Column) -> Column:
     return F.when(none, F.lit("")).otherwise(F.coalesce(F.element_at(known, first), first))
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text of each subword of the texts. Digits and marks count as blanks."""
+def grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Bucket and text of each subword of the texts, by order; each part is sorted by text. Digits and marks count as blanks."""
     from phonolake.llm.repetition import looked_up
 
     joined = "\n" + "\n".join(t.replace("\n", " ") for t in texts) + "\n"
@@ -69,7 +69,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep = word | np.append(True, word[:-1]) | np.append(word[1:], True)
     keep &= ~((code == 32) & np.append(False, (code[:-1] == 32) & (owner[:-1] == owner[1:]) & ~np.append(word[2:], [False, False])[: len(code) - 1]))
     code, owner, word = code[keep], owner[keep], word[keep]
-    buckets, owners = [], []
+    parts = []
     for n in ORDERS:
         size = len(code) - n + 1
         if size < 1:
@@ -84,8 +84,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inside &= owner[:size] == owner[n - 1 : n - 1 + size]
         if n == 1:
             inside &= word
-        buckets.append((h[inside] % np.uint64(BUCKETS)).astype(np.int64))
-        owners.append(owner[:size][inside])
+        parts.append(((h[inside] % np.uint64(BUCKETS)).astype(np.int64), owner[:size][inside]))
     # whole words, from blank to blank
     first = np.flatnonzero(word & ~np.append(False, word[:-1]))
     if len(first):
@@ -95,13 +94,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         mixed = np.where(word, (mixed ^ (mixed >> np.uint64(29))) * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)), np.uint64(0))
         h = np.add.reduceat(mixed, first)
         h ^= h >> np.uint64(32)
-        buckets.append((h % np.uint64(BUCKETS)).astype(np.int64))
-        owners.append(owner[last])
-    if not buckets:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    bucket, own = np.concatenate(buckets), np.concatenate(owners)
-    order = np.argsort(own, kind="stable")
-    return bucket[order], own[order]
+        parts.append(((h % np.uint64(BUCKETS)).astype(np.int64), owner[last]))
+    return parts
 
 
 #: Blocks of the scripts: letters outside them count as Latin.
@@ -157,15 +151,13 @@ class Classifier:
             while b < len(texts) and (b == a or chars + len(texts[b]) < CHARS):
                 chars += len(texts[b])
                 b += 1
-            bucket, own = grams(texts[a:b])
-            if len(own):
-                starts = np.flatnonzero(np.diff(own, prepend=-1))
-                total = np.add.reduceat(self.table[bucket], starts, axis=0)
-                n = np.diff(np.append(starts, len(own)))
-                out[a + own[starts]] = total / n[:, None]
-                size[a + own[starts]] = n
+            for bucket, own in grams(texts[a:b]):
+                if len(own):
+                    starts = np.flatnonzero(np.diff(own, prepend=-1))
+                    out[a + own[starts]] += np.add.reduceat(self.table[bucket], starts, axis=0)
+                    size[a + own[starts]] += np.diff(np.append(starts, len(own)))
             a = b
-        return out + self.bias, size
+        return out / np.maximum(size, 1)[:, None] + self.bias, size
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         """Calibrated probability of each language; even where a text has no letters."""
@@ -263,7 +255,10 @@ def fitted(samples: list[tuple[str, str]], seed: int, more: list[tuple[str, str]
                 labels.append(classes.index(name))
                 held.append(k == PARTS - 1)
     labels, held = np.array(labels, np.int64), np.array(held, bool)
-    bucket, own = grams([once(t) for t in texts])
+    parts = grams([once(t) for t in texts])
+    bucket, own = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+    order = np.argsort(own, kind="stable")
+    bucket, own = bucket[order], own[order]
     starts = np.searchsorted(own, np.arange(len(texts) + 1))
     emb = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     weights, bias = rng.normal(0, 0.1, (WIDTH, len(classes))), np.zeros(len(classes))

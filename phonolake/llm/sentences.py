@@ -416,10 +416,10 @@ class HiddenEvents:
         return p
 
     def places(self, text: str) -> list[Gap]:
-        """The gaps of a text; of those without a mark the ones that may hold a boundary, as the event before a gap tells nothing of them."""
+        """The gaps of a text; of those without a mark only the ones that hold a boundary: no other gap looks at them."""
         found = gaps(text, self.known)
         if pairs := set(BARE.findall(text)) - self.cold:
-            hot = {(a, b): p for a, b in pairs if (p := self.bare_end((kind_of(a), kind_of(b)))) > 0.01}
+            hot = {(a, b): p for a, b in pairs if (p := self.bare_end((kind_of(a), kind_of(b)))) > 0.5}
             self.cold |= pairs - hot.keys()  # pairs of characters: as many as there are in use
             if hot:
                 found += [Gap(m.end(), hot[m.groups()]) for m in BARE.finditer(text) if m.groups() in hot]
