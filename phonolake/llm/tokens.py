@@ -59,7 +59,11 @@ class Encoder:
                 self.left[rank], self.right[rank] = parts
                 pairs[parts[0], parts[1]] = rank
                 self.made[token] = rank
-        self.longest = max(map(len, self.made))
+        # lengths of the tokens that begin with two bytes, longest first: the only ones that the longest match tries
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.made:
+            lengths.setdefault(token[:2], set()).add(len(token))
+        self.lengths = {head: sorted(some, reverse=True) for head, some in lengths.items() if len(head) == 2}
         # merges as one sorted array of left * size + right
         self.size = size
         keys = np.array([a * size + b for a, b in pairs], np.int64)
@@ -75,7 +79,7 @@ class Encoder:
         parts = [word[i : i + 1] for i in range(len(word))]
         ranks = self.ranks
         if len(parts) > 200:
-            return self._merge_long(word)
+            return self._merge_long(word, below)
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -87,7 +91,7 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
-    def _merge_long(self, word: bytes) -> list[int]:
+    def _merge_long(self, word: bytes, below: int | None = None) -> list[int]:
         """The same by a heap over linked parts, for words of many bytes."""
         import heapq
 
@@ -98,7 +102,7 @@ class Encoder:
 
         def push(i: int) -> None:
             j = after[i]
-            if j < n and (r := ranks.get(word[i : end[j]])) is not None:
+            if j < n and (r := ranks.get(word[i : end[j]])) is not None and (below is None or r < below):
                 heapq.heappush(heap, (r, i, end[j]))
 
         for i in range(n - 1):
@@ -121,14 +125,17 @@ class Encoder:
         return out
 
     def _greedy(self, word: bytes) -> list[int]:
-        out, at, n, made, longest = [], 0, len(word), self.made, self.longest
+        out, at, n, made, lengths = [], 0, len(word), self.made, self.lengths
         while at < n:
-            for end in range(min(n, at + longest), at, -1):
-                r = made.get(word[at:end])
+            for size in lengths.get(word[at : at + 2], ()):
+                r = made.get(word[at : at + size]) if at + size <= n else None
                 if r is not None:
                     out.append(r)
-                    at = end
+                    at += size
                     break
+            else:
+                out.append(made[word[at : at + 1]])
+                at += 1
         return out
 
     def _rank_of_pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:

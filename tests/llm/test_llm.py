@@ -465,6 +465,21 @@ def test_pair_test_is_exact(reference):
     assert e.compatible(a, b).tolist() == [e._merge(names[x] + names[y]) == [x, y] for x, y in zip(a, b, strict=True)]
 
 
+def test_proposals_are_longest_matches(reference):
+    e, rng = p7.encoder(p7.TOKENIZERS, p7.NAME), random.Random(7)
+    longest = max(map(len, e.made))
+    for _ in range(300):
+        word = "".join(rng.choice("aetho éक中 =-") for _ in range(rng.randint(1, 40))).encode()
+        want, at = [], 0
+        while at < len(word):
+            end = next(b for b in range(min(len(word), at + longest), at, -1) if word[at:b] in e.made)
+            want.append(e.made[word[at:end]])
+            at = end
+        assert e._greedy(word) == want
+    word = b"ab" * 300
+    assert e._merge_long(word, 300) == [r for r in e._merge(word[:100], 300) for _ in "x"] * 6
+
+
 def test_token_table(spark, reference):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "a b", "x"), (3, "a b", "x")], "doc_id int, text string, ids string")
     assert [(r.doc_id, r.ids) for r in p7.token_ids(df).orderBy("doc_id").collect()] == [(1, []), (2, []), (3, reference.encode_ordinary("a b")), (3, reference.encode_ordinary("a b"))]
