@@ -284,13 +284,13 @@ SCENARIO_SQL = "CASE event_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v
 @query("j05_scenario_default", f"SELECT event_id, {SCENARIO_SQL} AS question FROM events")
 def j05(spark, folder):
     known = spark.createDataFrame(list(SCENARIOS.items()), "event_type string, question string")
-    return table(spark, folder, "events").join(F.broadcast(known), "event_type", "left").select("event_id", F.coalesce("question", F.lit("How can I help you?")).alias("question"))
+    return table(spark, folder, "events").join(known, "event_type", "left").select("event_id", F.coalesce("question", F.lit("How can I help you?")).alias("question"))
 
 
 @query("j06_cross_grid", "SELECT r_name, stage, count(c) AS n FROM region CROSS JOIN stage_config LEFT JOIN (SELECT stage AS s, result_id % 5 AS k, result_id AS c FROM experiment_results) ON s = stage AND k = r_regionkey GROUP BY r_name, stage")
 def j06(spark, folder):
     cells = table(spark, folder, "experiment_results").groupBy("stage", (F.col("result_id") % 5).alias("r_regionkey")).agg(F.count(F.lit(1)).alias("n"))
-    dims = table(spark, folder, "region").crossJoin(F.broadcast(table(spark, folder, "stage_config").select("stage")))
+    dims = table(spark, folder, "region").crossJoin(table(spark, folder, "stage_config").select("stage"))
     return dims.join(cells, ["stage", "r_regionkey"], "left").select("r_name", "stage", F.coalesce("n", F.lit(0)).alias("n"))
 
 

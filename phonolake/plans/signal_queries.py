@@ -446,17 +446,49 @@ def c06(spark, folder):
     return pipelines.filter_summary(table(spark, folder, "transcription_results"), ["hi", "en"])
 
 
-@query("c07_confidence_events", f"SELECT c.user_id, p AS avg_logprob, s AS no_speech_prob, CASE WHEN p < -0.8 OR s > 0.6 THEN 'YES' ELSE 'NO' END AS unsure FROM ({CONF}) c")
+@query("c06b_allowed_texts")
+def c06b(spark, folder):
+    """Every transcription with the reason why its language is rejected, its spoken numbers as digits, and its digits as words; the tests compare them."""
+    rows = table(spark, folder, "transcription_results")
+    label = F.when(F.col("Detected Language") != "", F.col("Detected Language"))
+    kept = rows.select("result_id", "File", F.col("Transcription").alias("raw"), segments.allowed_language(label, F.lit("hi"), ["hi", "en"]).alias("reason"), F.coalesce(label, F.lit("hi")).alias("lang"))
+    return kept.select("result_id", F.col("File").alias("file"), "reason", "raw", models.inverse_normalized(F.col("raw"), F.col("lang")).alias("itn"), models.text_normalized(F.col("raw")).alias("tn"))
+
+
+EVENTS_SQL = f"""
+WITH c AS ({CONF}),
+t AS (SELECT user_id, round(epoch((SELECT max(ts) FROM events)) - epoch(max(ts)), 3) AS silence FROM events GROUP BY user_id),
+k AS (SELECT user_id, string_agg(event_type, ', ' ORDER BY rk) AS events FROM (SELECT user_id, event_type, avg(value) AS m, row_number() OVER (PARTITION BY user_id ORDER BY avg(value) DESC, event_type DESC) AS rk FROM events GROUP BY user_id, event_type) WHERE rk <= 3 GROUP BY user_id)
+SELECT c.user_id, p AS avg_logprob, s AS no_speech_prob, CASE WHEN p < -0.8 OR s > 0.6 THEN 'YES' ELSE 'NO' END AS unsure, silence, CASE WHEN silence >= 0.8 THEN 'YES' ELSE 'NO' END AS finished, events FROM c JOIN t USING (user_id) JOIN k USING (user_id)
+"""
+
+
+@query("c07_confidence_events", EVENTS_SQL)
 def c07(spark, folder):
-    rows = confidences(spark, folder)
-    return rows.select("user_id", "avg_logprob", "no_speech_prob", tx.yes_no(segments.unsure(F.col("avg_logprob"), F.col("no_speech_prob"))).alias("unsure"))
+    """Confidence, end of turn and the strongest events of each clip; here a user's events stand for a clip's frames."""
+    e = table(spark, folder, "events")
+    last = e.groupBy("user_id").agg(F.max(seconds("ts")).alias("last"))
+    end = e.agg(F.max(seconds("ts")).alias("end"))
+    silence = last.crossJoin(end).select("user_id", F.round(segments.trailing_silence(F.col("end"), F.col("last")), 3).alias("silence"))
+    classes = segments.top_classes(e.select("user_id", F.col("event_type").alias("class_idx"), F.col("event_type").alias("class"), F.col("value").alias("score")), "user_id", 3)
+    rows = confidences(spark, folder).join(silence, "user_id").join(classes, "user_id")
+    flags = tx.yes_no(segments.unsure(F.col("avg_logprob"), F.col("no_speech_prob"))).alias("unsure"), tx.yes_no(segments.turn_finished(F.col("silence"), F.lit(True))).alias("finished")
+    return rows.select("user_id", "avg_logprob", "no_speech_prob", *flags, "silence", F.regexp_replace("classes", r" \([^)]*\)", "").alias("events"))
+
+
+ENDPOINT_SQL = """
+SELECT result_id, file, original_duration_seconds AS seconds, whisper_time_seconds AS inference_seconds, coalesce(vad_segments, 0) AS segments, vad_speech_seconds AS last_speech_end, greatest(0, original_duration_seconds - coalesce(vad_speech_seconds, 0)) AS silence,
+  CASE WHEN coalesce(vad_segments, 0) = 0 OR original_duration_seconds - coalesce(vad_speech_seconds, 0) >= 0.8 THEN 'YES' ELSE 'NO' END AS finished, hypothesis AS transcript FROM experiment_results
+"""
 
 
-@query("c08_vad_endpoint", "SELECT result_id, coalesce(vad_segments, 0) AS segments, CASE WHEN coalesce(vad_segments, 0) = 0 OR original_duration_seconds - coalesce(vad_speech_seconds, 0) >= 0.8 THEN 'YES' ELSE 'NO' END AS finished FROM experiment_results")
+@query("c08_vad_endpoint", ENDPOINT_SQL)
 def c08(spark, folder):
+    """The table of the speech detector: its segments, the silence at the end, and whether the turn is over."""
     silence = segments.trailing_silence(F.col("original_duration_seconds"), F.col("vad_speech_seconds"))
     n = F.coalesce("vad_segments", F.lit(0))
-    return table(spark, folder, "experiment_results").select("result_id", n.alias("segments"), tx.yes_no(segments.turn_finished(silence, n > 0)).alias("finished"))
+    c = F.col
+    return table(spark, folder, "experiment_results").select("result_id", "file", c("original_duration_seconds").alias("seconds"), c("whisper_time_seconds").alias("inference_seconds"), n.alias("segments"), c("vad_speech_seconds").alias("last_speech_end"), silence.alias("silence"), tx.yes_no(segments.turn_finished(silence, n > 0)).alias("finished"), c("hypothesis").alias("transcript"))
 
 
 QUESTION = "How can I help you?"

@@ -422,3 +422,14 @@ def test_stored_tables_are_released(spark):
     ranks.release(spark)
     with pytest.raises(Exception, match="(?i)path|file"):
         df.count()
+
+
+def test_allowed_texts(spark, folder, tmp_path):
+    rows = [{"result_id": 10**9 + k, "Detected Language": lang, "Transcription": text} for k, (lang, text) in enumerate([("en", "call nine one one at 5"), ("hi", "दो सौ रुपये"), ("fr", "à 7 h"), ("", None), (None, "")])]
+    stored, got = every(spark, folder, tmp_path, "c06b_allowed_texts", "transcription_results", rows)
+    by = {r.result_id: r for r in got}
+    assert len(got) == len(stored)
+    assert (by[10**9].reason, by[10**9].itn, by[10**9].tn) == (None, "call 911 at 5", "call nine one one at five")
+    assert by[10**9 + 1].itn == "200 रुपये" and by[10**9 + 2].reason and by[10**9 + 2].tn == "à seven h" and by[10**9 + 3].raw is None
+    for r in stored:
+        assert by[r.result_id].tn == models.digits_to_spoken(r.Transcription) and (by[r.result_id].reason is None) == ((r["Detected Language"] or "hi") in ("hi", "en"))
