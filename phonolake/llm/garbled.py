@@ -10,6 +10,10 @@ around it (counts of three characters in the labelled sentences) and likelier th
 there; a pair that explains more of the text is preferred. The text around them is left as it
 is. Text that was garbled again and again is restored in turns, until nothing changes.
 
+The counts are of every labelled sentence, however many there are: they are made and added up
+where the sentences lie, and the counts alone go to the workers. The documents themselves aren't
+counted: garbled text in them would count as usual.
+
 Defined results: null, empty and ASCII texts are never cases and come out as they are; a
 replacement character or a control character of the range 80-9F is a case that can't be
 restored; what stays garbled after the last turn is kept and marked; repeated rows give
@@ -18,9 +22,10 @@ repeated results; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from math import inf, log
 
@@ -214,16 +219,54 @@ UTF8_RUN = (
 )
 
 
+class Counts:
+    """Counts of one, two and three characters of labelled sentences. Equal counts are one key: a worker keeps what it works out of them over its tasks."""
+
+    __slots__ = ("digest", "grams")
+
+    def __init__(self, grams: dict[str, int]) -> None:
+        self.grams = grams
+        self.digest = hashlib.sha256("".join(f"{g}\t{n}\n" for g, n in sorted(grams.items())).encode("utf-8", "surrogatepass")).digest()
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Counts) and self.digest == other.digest
+
+    def __hash__(self) -> int:
+        return hash(self.digest)
+
+
+#: Labelled sentences, or the counts of them.
+Known = tuple[str, ...] | Counts
+
+
+def grams_of(texts: Iterable[str]) -> Counter:
+    """Counts of one, two and three characters, small and capital alike, with two blanks on either side."""
+    out: Counter = Counter()
+    for t in texts:
+        t = f"  {t.lower()}  "
+        out.update(t)
+        out.update(a + b for a, b in zip(t, t[1:], strict=False))
+        out.update(a + b + c for a, b, c in zip(t, t[1:], t[2:], strict=False))
+    return out
+
+
+def counted(df: DataFrame, text: str) -> Counts:
+    """The counts of all texts of a table, each text once. The driver gets a row for each sequence of characters, not the texts."""
+    src = df.select(F.col(f"`{text}`").cast("string").alias("text")).filter(F.length("text") > 0).distinct()
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = grams_of(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
+
+    return Counts({r.gram: r.n for r in src.mapInArrow(convert, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()})
+
+
 @cache
-def model(samples: tuple[str, ...]):
+def model(samples: Known):
     """Counts of letters and of pairs of letters in the labelled sentences, small and capital alike."""
-    one: Counter = Counter()
-    two: Counter = Counter()
-    for t in samples:
-        t = t.lower()
-        one.update(c for c in t if not c.isascii())
-        two.update(a + b for a, b in zip(t, t[1:], strict=False) if not (a.isascii() or b.isascii()))
-    return one, two
+    one, two, _, _ = threes(samples)
+    return Counter({c: n for c, n in one.items() if not c.isascii()}), Counter({g: n for g, n in two.items() if not (g[0].isascii() or g[1].isascii())})
 
 
 @cache
@@ -235,7 +278,7 @@ def script(c: str) -> int:
     return 1 if o < 0x250 else 2 if 0x400 <= o < 0x530 else 3 if 0x600 <= o < 0x700 else 4 if 0xE00 <= o < 0xE80 else 6 if 0x3041 <= o < 0xFFF0 else 5
 
 
-def likelihood(run: str, samples: tuple[str, ...]) -> float:
+def likelihood(run: str, samples: Known) -> float:
     """Log of how usual a run of characters beyond ASCII is as text in one script."""
     one, two = model(samples)
     size = {1: 60, 2: 40, 3: 45, 4: 70, 5: 120, 6: 3000}
@@ -265,7 +308,7 @@ def likelihood(run: str, samples: tuple[str, ...]) -> float:
 
 
 @cache
-def sum_of(samples: tuple[str, ...], s: int) -> int:
+def sum_of(samples: Known, s: int) -> int:
     return sum(n for c, n in model(samples)[0].items() if script(c) == s)
 
 
@@ -295,7 +338,7 @@ def drawn(run: str) -> bool:
     return not any(script(c) for c in run) and len(set(run)) < 4
 
 
-def decoded(run: str, samples: tuple[str, ...]) -> tuple[float, str, tuple[str, str]] | None:
+def decoded(run: str, samples: Known) -> tuple[float, str, tuple[str, str]] | None:
     """The likeliest reading of a run by all pairs of encodings, with its gain over the run; None if there is none, or if it is UTF-8."""
     if drawn(run):
         return None
@@ -330,7 +373,7 @@ def decoded(run: str, samples: tuple[str, ...]) -> tuple[float, str, tuple[str,
 
 
 @cache
-def memo(samples: tuple[str, ...]):
+def memo(samples: Known):
     from functools import lru_cache
 
     return lru_cache(200_000)(lambda run: decoded(run, samples))
@@ -363,7 +406,7 @@ def wide_spans(text: str) -> list[tuple[int, int, tuple[str, str]]]:
     return out
 
 
-def legacy_spans(text: str, samples: tuple[str, ...]) -> list[tuple[int, int, tuple[str, str]]]:
+def legacy_spans(text: str, samples: Known) -> list[tuple[int, int, tuple[str, str]]]:
     """Runs that a legacy pair makes likelier by LIKELIER, alone or with the words beside them."""
     out: list[tuple[int, int, tuple[str, str]]] = []
     row: list[tuple[int, int, float, tuple[str, str]]] = []
@@ -386,7 +429,7 @@ def legacy_spans(text: str, samples: tuple[str, ...]) -> list[tuple[int, int, tu
     return out
 
 
-def legacy_restored(text: str, samples: tuple[str, ...], least: int = 0) -> tuple[str, int]:
+def legacy_restored(text: str, samples: Known, least: int = 0) -> tuple[str, int]:
     """The text with the runs of legacy pairs decoded: those of a line by the pair that makes it likeliest, as one piece or each run alone. Lines with fewer than ``least`` such characters are left."""
     groups: list[list[tuple[int, int, tuple[str, str]]]] = []
     for s in legacy_spans(text, samples):
@@ -444,7 +487,7 @@ def as_written(piece: str, pair: tuple[str, str]) -> str | None:
     return good if all(c.isascii() or c in usual_set() for c in good) else None
 
 
-def is_garbled(text: str | None, samples: tuple[str, ...] = ()) -> bool:
+def is_garbled(text: str | None, samples: Known = ()) -> bool:
     if not text or text.isascii():
         return False
     if lone().search(text) or trace().search(text) and spans(text):
@@ -465,14 +508,10 @@ BETTER, PREFERRED, LATIN_ALONE = 1.0, 15.0, 1.0
 
 
 @cache
-def threes(samples: tuple[str, ...]):
+def threes(samples: Known):
     """Counts of one, two and three characters of the labelled sentences, small and capital alike."""
-    one, two, three = Counter(), Counter(), Counter()
-    for t in samples:
-        t = f"  {t.lower()}  "
-        one.update(t)
-        two.update(a + b for a, b in zip(t, t[1:], strict=False))
-        three.update(a + b + c for a, b, c in zip(t, t[1:], t[2:], strict=False))
+    grams = samples.grams if isinstance(samples, Counts) else grams_of(samples)
+    one, two, three = (Counter({g: n for g, n in grams.items() if len(g) == k}) for k in (1, 2, 3))
     return one, two, three, sum(one.values()) or 1
 
 
@@ -486,7 +525,7 @@ def base(c: str) -> float:
     return 1e-5 if c in SIGNS or 0x3000 <= ord(c) <= 0x3020 or 0xFF00 < ord(c) < 0xFF60 or ord(c) > 0x1F000 else 1e-8
 
 
-def usualness(piece: str, before: str, after: str, samples: tuple[str, ...]) -> float:
+def usualness(piece: str, before: str, after: str, samples: Known) -> float:
     """Log of how usual a piece is between the characters around it."""
     one, two, three, n = threes(samples)
     whole = f"  {before[-2:]}"[-2:] + piece + after[:2]
@@ -543,7 +582,7 @@ def partly(piece: str) -> Iterator[tuple[str, tuple[str, str]]]:
                 yield "".join(chars[ord(c) - 0xDC00] if x else c for x, c in zip(lost, good, strict=True)), ("utf-8", wrong)
 
 
-def settled(good: str, before: str, after: str, samples: tuple[str, ...]) -> tuple[float, str]:
+def settled(good: str, before: str, after: str, samples: Known) -> tuple[float, str]:
     """A reading, or where it is garbled UTF-8 itself what it comes from, with its usualness; each such step is shorter than the one before."""
     best = (usualness(good, before, after, samples) if in_a_word(good, before, after) else -inf, good)
     if sum(not c.isascii() for c in good) > 1:
@@ -565,7 +604,7 @@ def joins(c: str) -> bool:
     return not c.isascii() and (not c.isspace() or c in "\xa0\x85")
 
 
-def restored(text: str | None, samples: tuple[str, ...] = ()) -> tuple[str | None, int, bool]:
+def restored(text: str | None, samples: Known = ()) -> tuple[str | None, int, bool]:
     """The text with its garbled spans restored where possible, how many were, and whether nothing garbled is left."""
     done, lost = 0, False
     if not text or text.isascii():
@@ -598,7 +637,7 @@ def clusters(text: str, spans_of: list[tuple[int, int]], a: int, b: int) -> list
     return [(x, y) for x, y, sure in out if sure]
 
 
-def restore(text: str | None, samples: tuple[str, ...] = ()) -> tuple[str | None, int]:
+def restore(text: str | None, samples: Known = ()) -> tuple[str | None, int]:
     """The text with its garbled spans restored where possible, and how many were."""
     return restored(text, samples)[:2]
 
@@ -622,7 +661,7 @@ def grouped(text: str, hit: list[tuple[int, int, tuple[str, str]]]) -> list[tupl
     return [tuple(g) for g in groups]
 
 
-def _spans_back(text: str, hit: list[tuple[int, int, tuple[str, str]]], samples: tuple[str, ...], other: list[tuple[int, int, tuple[str, str]]] = ()) -> tuple[str, int, bool]:
+def _spans_back(text: str, hit: list[tuple[int, int, tuple[str, str]]], samples: Known, other: list[tuple[int, int, tuple[str, str]]] = ()) -> tuple[str, int, bool]:
     """The text with matched spans restored, how many were, and whether one had lost bytes.
 
     A match within a word that is otherwise not of its encodings counts only where no ``other``
@@ -690,9 +729,9 @@ def _spans_back(text: str, hit: list[tuple[int, int, tuple[str, str]]], samples:
     return "".join([*parts, text[at:]]), changed, lost
 
 
-def garbled(df: DataFrame, samples: list[str], doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+def garbled(df: DataFrame, samples: list[str] | Counts, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """The id of each affected row; with ``with_text`` also the restored text, the number of restored spans and ``whole`` (nothing garbled is left)."""
-    known = tuple(sorted(set(samples)))
+    known = samples if isinstance(samples, Counts) else tuple(sorted(set(samples)))
     kind = dict(df.select(F.col(f"`{doc_id}`").alias("i")).dtypes)["i"]
     src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).filter(F.col("text").rlike(r"[^\x00-\x7f]"))
     kinds = [pa.string(), pa.int32(), pa.bool_()]

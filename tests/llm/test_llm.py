@@ -620,6 +620,25 @@ def test_garbled_table(spark, samples):
     assert p9.garbled(df.limit(0), []).count() == 0
 
 
+def many_labelled(spark, folder, place):
+    """The labelled sentences behind more than two thousand others."""
+    own = spark.read.parquet(f"{folder}/lang_samples.parquet")
+    more = spark.range(1, 2101).selectExpr("id AS sample_id", "'en' AS lang", "concat('Line ', id, ' is here.') AS text")
+    more.unionByName(own.withColumn("sample_id", F.col("sample_id") + 10_000)).write.parquet(f"{place}/lang_samples.parquet")
+
+
+def test_garbled_counts_every_labelled_sentence(spark, folder, tmp_path):
+    many_labelled(spark, folder, tmp_path)
+    words = {1: ("съешь ещё", "koi8_r"), 2: ("ทดสอบ", "cp874")}
+    rows = [(i, "".join(p9.tables("cp1252")[0][b] for b in w.encode(c))) for i, (w, c) in words.items()]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.restored for r in q.p9_restored(spark, str(tmp_path)).collect()} == {i: w for i, (w, _) in words.items()}
+    labelled = spark.read.parquet(f"{tmp_path}/lang_samples.parquet")
+    texts = {r.text for r in labelled.collect() if r.text}
+    twice = labelled.select("text").union(labelled.select("text")).union(spark.createDataFrame([(None,), ("",)], "text string"))
+    assert len(texts) > 2100 and p9.counted(twice.repartition(7), "text").grams == p9.grams_of(texts)
+
+
 # ---- all -------------------------------------------------------------------------------------
 
 
