@@ -7,7 +7,8 @@ the word after. At a gap without a mark they hold the kinds of the characters on
 the blank between two Thai letters and the line break are boundaries, and a blank between other
 words is none, by what the labelled sentences say. Forward and backward sums over the gaps of a
 text give each gap's posterior probability of a boundary, and one half decides. The counts come
-from strings of labelled sentences (a few hundred, a fixed table).
+from strings of all labelled sentences, however many there are: they are made in buckets where the
+sentences lie, and added up. Texts without labels aren't counted.
 
 Shortenings are told by their counts: as words, by their form (length, case, a place at the
 beginning or after another shortening), and by what follows; the list below is one more trait,
@@ -22,11 +23,12 @@ whole, in time proportional to their length; repeated rows give repeated results
 
 from __future__ import annotations
 
+import ast
 import bisect
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -352,6 +354,26 @@ class HiddenEvents:
         """The counts alone, as plain mappings, for the workers."""
         return {"left": dict(self.left), "right": dict(self.right), "total": dict(self.total), "bare": dict(self.bare), "known": self.known, "memo": {}, "cold": set()}
 
+    def rows(self) -> Iterator[tuple[str, str, float, float]]:
+        """The counts as rows: the mapping, the key, and one or two numbers."""
+        for name in ("left", "bare"):
+            yield from ((name, repr(k), *n) for k, n in getattr(self, name).items())
+        for name in ("right", "total"):
+            yield from ((name, repr(k), n, 0.0) for k, n in getattr(self, name).items())
+
+    @classmethod
+    def of_rows(cls, rows: Iterable[tuple[str, str, float, float]], known: set[str]) -> HiddenEvents:
+        model = cls()
+        model.known = known
+        for name, key, a, b in rows:
+            counts, k = getattr(model, name), ast.literal_eval(key)
+            counts[k] = [counts[k][0] + a, counts[k][1] + b] if name in ("left", "bare") else counts[k] + a
+        return model
+
+    def divided(self, by: int) -> HiddenEvents:
+        """The model with all counts divided."""
+        return self.of_rows(((name, key, a / by, b / by) for name, key, a, b in self.rows()), self.known)
+
     def learn(self, left: tuple, right: tuple, starts: int, event: int, weight: float = 1.0) -> None:
         for c in self._contexts(left, starts):
             self.left[c][event] += weight
@@ -399,7 +421,7 @@ class HiddenEvents:
             self.memo[key] = got
         return got
 
-    def learn_bare(self, pair: tuple[str, str], event: int, weight: float) -> None:
+    def learn_bare(self, pair: tuple[str, str], event: int, weight: float = 1.0) -> None:
         """A gap without a mark, by the kinds of the characters beside it."""
         for c in ((), pair[:1], pair):
             self.bare[c][event] += weight
@@ -496,26 +518,45 @@ LAST = re.compile(rf"([^\W\d_]+)[{re.escape(MARKS + CLOSERS)}]*$")
 TITLE = re.compile(r"^([A-Z][a-z]{1,3})\.(?= [A-Z][a-z])")
 
 
-def train(samples: list[tuple[str, str]], rounds: int = 30, seed: int = 11) -> HiddenEvents:
+ROUNDS = 30
+#: Labelled sentences in a bucket, about; their strings are made in one place.
+BUCKET = 2048
+
+
+def words_told(texts: Iterable[str]) -> Counter:
+    """Counts of words written small within sentences, of first words, and of last words, each with its kind."""
+    told: Counter = Counter()
+    for t in texts:
+        told.update(("small", w) for w in re.findall(r"(?<=[^\W\d_,;] )[^\W\d_]+", t) if w.islower())
+        if m := re.match(r"[^\W\d_]+(?= )", t):
+            told["first", m.group().lower()] += 1
+        if (m := LAST.search(t)) and m.group(1).lower() not in SHORT:
+            told["last", m.group(1).lower() + "."] += 1
+    return told
+
+
+def known_words(told: Iterable[tuple[str, str, int]]) -> set[str]:
+    """Words written small or first in several sentences and, with a point, words that end sentences."""
+    return {w for kind, w, n in told if kind != "first" or n > 1}
+
+
+def strings_counted(samples: list[tuple[str, str]], known: set[str], rounds: int = ROUNDS, seed: int = 11) -> HiddenEvents:
     """Counts from strings of labelled sentences (language, text): each sentence has no boundary inside and one at its end.
 
-    ``rounds`` strings start at each sentence, which counts once in all of them; in some a pause
-    is written as dots after one of its words, a title is made up, or all are capitals, and in
-    half the list of shortenings doesn't count for titles. They follow on with sentences of the same
-    language, and now and then of another one, with a blank, two blanks, a line break or, after
-    marks that aren't a point, nothing between.
+    ``rounds`` strings start at each sentence; in some a pause is written as dots after one of
+    its words, a title is made up, or all are capitals, and in half the list of shortenings
+    doesn't count for titles. They follow on with sentences of the same language, and now and
+    then of another one, with a blank, two blanks, a line break or, after marks that aren't a
+    point, nothing between. The counts are whole numbers, so that those of several buckets add up
+    to the same in any order.
     """
     model, rng = HiddenEvents(), np.random.default_rng(seed)
+    model.known = known
     samples = sorted(set(samples))
     by: dict[str, list[str]] = defaultdict(list)
     for lang, text in samples:
         by[lang].append(text)
     every = [t for _, t in samples]
-    for t in every:
-        model.known.update(w for w in re.findall(r"(?<=[^\W\d_,;] )[^\W\d_]+", t) if w.islower())
-    firsts = Counter(m.group().lower() for t in every if (m := re.match(r"[^\W\d_]+(?= )", t)))
-    model.known.update(w for w, n in firsts.items() if n > 1)
-    model.known.update(m.group(1).lower() + "." for t in every if (m := LAST.search(t)) and m.group(1).lower() not in SHORT)
     for lang, text in samples:
         for turn in range(rounds):
             parts = [text]
@@ -540,23 +581,63 @@ def train(samples: list[tuple[str, str]], rounds: int = 30, seed: int = 11) -> H
             wanted, before = set(ends), 0
             for g in gaps(joined, model.known, turn % 2 == 0):
                 if g.fixed is not None:
-                    model.learn_bare(("line", "line"), END, 1 / rounds)  # no sentence has one within
+                    model.learn_bare(("line", "line"), END)  # no sentence has one within
                     before = 0
                     continue
                 event = END if g.at in wanted else NONE
-                model.learn(g.left, g.right, (1 if before == 1 else 2) if g.follows and before else 0, event, 1 / rounds)
+                model.learn(g.left, g.right, (1 if before == 1 else 2) if g.follows and before else 0, event)
                 before = 1 if event == END else 2
             for m in BARE.finditer(joined):
-                model.learn_bare((kind_of(m.group(1)), kind_of(m.group(2))), END if m.start() + 1 in wanted else NONE, 1 / rounds)
+                model.learn_bare((kind_of(m.group(1)), kind_of(m.group(2))), END if m.start() + 1 in wanted else NONE)
     return model
 
 
-def sentences(df: DataFrame, ids: list[str], text: str, samples: list[tuple[str, str]]) -> DataFrame:
-    """Ids, sent_no, start_char and end_char of each sentence, in order. One pass over the rows, no shuffle."""
+def train(samples: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 11) -> HiddenEvents:
+    """The model of labelled sentences (language, text); each counts once in all of its strings."""
+    every = [t for _, t in set(samples)]
+    return strings_counted(samples, known_words((*k, n) for k, n in words_told(every).items()), rounds, seed).divided(rounds)
+
+
+def counted(labelled: DataFrame, lang: str = "lang", text: str = "text", rounds: int = ROUNDS) -> HiddenEvents:
+    """The model of all labelled sentences of a table, as ``train`` makes it of a list.
+
+    The sentences are dealt by their hash to buckets of about ``BUCKET``, in which the strings are
+    drawn and counted; the driver gets the words and the counts, added up, and no sentence. A
+    table of one bucket gives the counts of ``train``. Made once for a driver and input.
+    """
+    src = labelled.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")).alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).filter(F.length("text") > 0).distinct()
+    told = src.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("lang", "text")), F.bit_xor(F.xxhash64("text", "lang", F.lit(1)))).first()
+    key = (*told, rounds, BUCKET)
+    if key in _MODELS:
+        return _MODELS[key]
+    buckets = max(1, -(-told[0] // BUCKET))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = words_told(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in found], pa.string()) for i in (0, 1)] + [pa.array(list(found.values()), pa.int64())], ["kind", "word", "n"])
+
+    sums = src.mapInArrow(words, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    known = known_words(sums.collect())
+
+    def strings(bucket: pa.Table) -> pa.Table:
+        rows = list(strings_counted(list(zip(bucket["lang"].to_pylist(), bucket["text"].to_pylist(), strict=True)), known, rounds).rows())
+        kinds = {"name": pa.string(), "key": pa.string(), "a": pa.float64(), "b": pa.float64()}
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
+    # a given number of partitions: buckets are few bytes and much work, and would be put into one task
+    dealt = src.withColumn("bucket", F.pmod(F.xxhash64("lang", "text"), F.lit(buckets))).repartition(buckets, "bucket")
+    counts = dealt.groupBy("bucket").applyInArrow(strings, "name string, key string, a double, b double").groupBy("name", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+    _MODELS[key] = HiddenEvents.of_rows(counts, known).divided(rounds)
+    return _MODELS[key]
+
+
+def sentences(df: DataFrame, ids: list[str], text: str, samples: list[tuple[str, str]] | HiddenEvents) -> DataFrame:
+    """Ids, sent_no, start_char and end_char of each sentence, in order, by labelled sentences or the model of them. One pass over the rows, no shuffle."""
     src = df.select(*[F.col(f"`{c}`") for c in ids], F.col(f"`{text}`").cast("string").alias("text")).filter(F.length("text") > 0)
     kinds = ", ".join(f"`{c}` {k}" for c, k in src.dtypes[: len(ids)])
 
-    model = trained(tuple(sorted(set(samples))))
+    model = samples if isinstance(samples, HiddenEvents) else trained(tuple(sorted(set(samples))))
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[tuple[int, int]]] = {}

@@ -106,6 +106,35 @@ def test_posteriors_are_probabilities(splitter):
     assert p and all(0 <= x <= 1 for x in p)
 
 
+def test_sentences_count_every_labelled_sentence(spark, folder, tmp_path):
+    many_labelled(spark, folder, tmp_path)
+    glued = lambda parts: ("" if ord(parts[0][0]) >= 0x2E80 else " ").join(parts)
+    texts = dict(enumerate([*WHOLE, ["บทเรียนนี้", "ให้ดี"]]))
+    spark.createDataFrame([(i, glued(parts)) for i, parts in texts.items()], "example_id bigint, reference string").write.parquet(f"{tmp_path}/examples.parquet")
+    spark.createDataFrame([], "result_id bigint, hypothesis string").write.parquet(f"{tmp_path}/experiment_results.parquet")
+    got = {}
+    for r in q.p1_found(spark, str(tmp_path)).orderBy("row_id", "sent_no").collect():
+        got.setdefault(r.row_id, []).append(glued(texts[r.row_id])[r.start_char : r.end_char])
+    assert got == texts
+
+
+def test_counts_of_buckets_add_up(spark, samples, splitter, monkeypatch):
+    """One bucket gives the counts of a list; several give each sentence the same weight, whatever the partitions."""
+    df = spark.createDataFrame(samples, "lang string, text string")
+    one = p1.counted(df.union(df).union(spark.createDataFrame([("en", None), ("en", "")], "lang string, text string")))
+    assert all(getattr(one, k) == getattr(splitter, k) for k in ("left", "right", "total", "bare", "known"))
+    monkeypatch.setattr(p1, "BUCKET", 100)
+    monkeypatch.setattr(p1, "_MODELS", {})
+    many = p1.counted(df.repartition(7))
+    p1._MODELS.clear()
+    again = p1.counted(df.repartition(2))
+    assert many.known == splitter.known and many.left != splitter.left and all(getattr(many, k) == getattr(again, k) for k in ("left", "right", "total", "bare"))
+    assert sum(many.bare[()]) == pytest.approx(sum(splitter.bare[()]), rel=0.05)
+    for parts in WHOLE:
+        text = ("" if ord(parts[0][0]) >= 0x2E80 else " ").join(parts)
+        assert [text[a:b] for a, b in many.split(text)] == parts
+
+
 # ---- 2 consistent form -----------------------------------------------------------------------
 
 FORMS = [
